@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import chat, fingerprint, mixing, packing, tokens, urls
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_document_fingerprints": fingerprint.op4_document_fingerprints,
+    "op6_packing": packing.op6_packing,
+    "op7_token_counts": tokens.op7_token_counts,
     "op9_url_filters": urls.op9_url_filters,
 }
 
 ORACLES = {
+    "op3_chat_formatting": chat.OP3_SQL,
     "op9_url_filters": urls.OP9_SQL,
 }
