@@ -176,13 +176,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(uid, key, n_shingles, component_id, kept) for every row; links need den * intersection >= num * union.
+    """(uid, key, n_shingles, component_id, kept, chosen) for every row; links need den * intersection >= num * union.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a set holds the distinct runs of k words,
     or the whole of fewer. Null, empty and blank texts have no set, link with nothing and keep their own key as component. A component's
     id is the least key in it; ``kept`` marks the rows that have it. Rows with a null key take part and are
-    never kept, unless nothing else is in their component (component_id is null then and kept is false). Repeated rows link with one another; rows that
-    share a key share whether it is kept. An empty table gives an empty one; other columns are not read.
+    never kept; where nothing else is in a component, its id is null. ``chosen`` marks exactly one row of each component, and every row without a set. Repeated rows link with one another. An empty table gives an empty one; other columns are not read.
     """
     least, width = num / den, band_width(num / den)
     rows = with_uid(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")))
@@ -214,11 +213,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     if not more.isEmpty():
         parts = components(links.unionAll(stash(_confirmed(more, bodies, k, num, den))))
     joined = marked.select("uid", "key", "n", "cls").join(parts, F.col("cls") == F.col("node"), "left").withColumn("part", F.coalesce("root", "cls"))
-    ids = joined.where("part IS NOT NULL").groupBy(F.col("part").alias("p")).agg(F.min("key").alias("least"))
+    ids = joined.where("part IS NOT NULL").groupBy(F.col("part").alias("p")).agg(F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "uid"))["uid"].alias("one"))
     found = joined.join(ids, F.col("part") == F.col("p"), "left")
     component = F.when(F.col("part").isNull(), F.col("key")).otherwise(F.col("least"))
-    return found.select("uid", F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+    return found.select("uid", F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"), F.coalesce(F.col("uid") == F.col("one"), F.lit(True)).alias("chosen"))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100).drop("uid")
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100).drop("uid", "chosen")
