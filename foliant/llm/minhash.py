@@ -8,8 +8,8 @@ of registers that are greater, less and equal sorts out most that are not alike;
 confirmed on the full sets.
 
 Work does not grow with the square of a group: documents with equal sets are one class from the start;
-in each bucket all classes meet its least and its greatest only; only where a bucket still holds
-several components are pairs between different components tried.
+in each bucket all classes meet its least one and the one that meets most others only; only where a bucket still holds
+several components are pairs between different components tried, by their sketches, in blocks.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ from .graph import components
 from .wordhash import mix, span_sums, spans, words_of
 
 U = np.uint64
-#: Registers; base, rate and greatest value of a register (a byte).
-REGISTERS, BASE, RATE, TOP = 128, 1.07, 20.0, 255
+#: Registers; those that bands are made of; base, rate and greatest value of a register (a byte).
+REGISTERS, BANDED, BASE, RATE, TOP = 512, 128, 1.07, 20.0, 255
 #: Chance to miss a pair right at the threshold, which settles the width of a band.
 MISS = 1e-4
-#: log likelihood by which the threshold must lose for a pair to be left out unconfirmed: 5 standard deviations.
-DOUBT = 12.5
+#: log likelihood by which the threshold must lose for a pair to be left out unconfirmed: 4 standard deviations.
+DOUBT = 8.0
+#: Similarities below the threshold, by their distance from it, that the threshold is weighed against.
+STEPS = (0.02, 0.04, 0.06, 0.08, 0.11, 0.15, 0.2, 0.3, 0.45)
+#: Classes of a bucket that one task holds.
+BLOCK = 1024
 #: Members of a star that are confirmed in one go.
 STAR = 256
 
@@ -42,7 +46,7 @@ _B = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 
 def band_width(least: float) -> int:
     """Registers of a band: the most with which a pair of this similarity is missed by all bands at a chance of at most MISS."""
-    return max(r for r in range(1, 33) if r == 1 or (1 - least**r) ** (REGISTERS // r) <= MISS)
+    return max(r for r in range(1, 33) if r == 1 or (1 - least**r) ** (BANDED // r) <= MISS)
 
 
 def shingles(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,23 +79,20 @@ def log_likelihood(jaccard, less, equal, greater, na, nb):
     return greater * np.log(above) + less * np.log(below) + equal * np.log(np.clip(1 - above - below, 1e-9, 1))
 
 
-def estimate(less, equal, greater, na, nb) -> np.ndarray:
-    """The likeliest Jaccard similarities, by golden-section search."""
-    low, high = np.zeros(len(na)), np.minimum(na, nb) / np.maximum(na, nb)
-    for _ in range(30):
-        a, b = low + 0.382 * (high - low), low + 0.618 * (high - low)
-        up = log_likelihood(a, less, equal, greater, na, nb) < log_likelihood(b, less, equal, greater, na, nb)
-        low, high = np.where(up, a, low), np.where(up, high, b)
-    return (low + high) / 2
-
-
 def plausible(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of sketches may well belong to sets of at least this similarity."""
+    """Which pairs of sketches may well belong to sets of at least this similarity.
+
+    The likelihood is concave in the similarity: if the threshold loses to any lower one by DOUBT, so do all above it.
+    """
     greater, less = (sa > sb).sum(1), (sa < sb).sum(1)
     counts = (less, REGISTERS - greater - less, greater, na.astype(np.float64), nb.astype(np.float64))
-    best = estimate(*counts)
-    at = np.minimum(least, np.minimum(na, nb) / np.maximum(na, nb))
-    return (best >= least) | (log_likelihood(best, *counts) - log_likelihood(at, *counts) <= DOUBT)
+    most = np.minimum(na, nb) / np.maximum(na, nb)
+    at = log_likelihood(np.minimum(least, most), *counts)
+    keep = most >= least * (1 - 1e-12)
+    for step in STEPS:
+        if least > step:
+            keep &= log_likelihood(np.minimum(least - step, most), *counts) - at <= DOUBT
+    return keep
 
 
 def _sketched(rows: DataFrame, k: int) -> DataFrame:
@@ -111,8 +112,8 @@ def _sketched(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame, width: int) -> DataFrame:
-    """(band, cls) for every band of every class."""
-    count = REGISTERS // width
+    """(band, slot, cls) for every band of every class; slot is the band's number."""
+    count = BANDED // width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, (count, width), dtype=U) * U(2) + U(1)
@@ -122,9 +123,9 @@ def _bands(classes: DataFrame, width: int) -> DataFrame:
                 marks = np.frombuffer(b"".join(part.column("marks").to_pylist()), np.uint8).reshape(-1, REGISTERS)[:, : count * width].reshape(-1, count, width)
                 keys = mix((mix(marks.astype(U) + base) * base).sum(2, dtype=U) + np.arange(count, dtype=U) * U(0x9E3779B97F4A7C15))
                 cls = np.repeat(part.column("cls").to_numpy(), count)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls)], ["band", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(count, dtype=np.int32), len(marks))), pa.array(cls)], ["band", "slot", "cls"])
 
-    return classes.select("cls", "marks").mapInArrow(run, "band long, cls long")
+    return classes.select("cls", "marks").mapInArrow(run, "band long, slot int, cls long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -143,6 +144,52 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
+def _across(left: DataFrame, classes: DataFrame, least: float, width: int) -> DataFrame:
+    """Plausible pairs (a, b) of different components that share a bucket, each from the first bucket that it shares.
+
+    ``left`` has (band, slot, cls, part). Classes stay in blocks of bounded size, and the others of their bucket stream by; a
+    hot bucket is spread over many blocks. Only pairs that pass the sketches leave.
+    """
+    count = BANDED // width
+    sized = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    marked = left.join(sized, "band").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(classes.select("cls", "n", "marks"), "cls")
+    stay = marked.withColumn("block", F.col("own")).withColumn("stays", F.lit(True))
+    pass_by = marked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("stays", F.lit(False))
+    ordered = stay.unionByName(pass_by).repartition("band", "block").sortWithinPartitions("band", "block", F.col("stays").desc())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, here = None, None
+        for batch in batches:
+            for small in range(0, batch.num_rows, 128):
+                part = batch.slice(small, 128)
+                tags = list(zip(*(part.column(c).to_pylist() for c in ("band", "block", "stays")), strict=True))
+                cuts = [0, *(i for i in range(1, len(tags)) if tags[i] != tags[i - 1]), len(tags)]
+                for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                    piece = part.slice(begin, end - begin)
+                    group = {c: piece.column(c).to_numpy() for c in ("cls", "part", "own", "n", "slot")}
+                    group["marks"] = np.frombuffer(b"".join(piece.column("marks").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+                    *tag, stays = tags[begin]
+                    if stays:
+                        here = {c: np.concatenate([here[c], group[c]]) for c in group} if at == tag else group
+                        at = tag
+                        continue
+                    v, r = group, here
+                    i, j = np.nonzero((v["part"][:, None] != r["part"]) & ((v["own"] != r["own"][0])[:, None] | (v["cls"][:, None] < r["cls"])) & (np.minimum(v["n"][:, None], r["n"]) >= least * (1 - 1e-12) * np.maximum(v["n"][:, None], r["n"])))
+                    found = []
+                    for some in range(0, len(i), 8192):
+                        p, q = i[some : some + 8192], j[some : some + 8192]
+                        ma, mb = v["marks"][p], r["marks"][q]
+                        same = (ma[:, : count * width] == mb[:, : count * width]).reshape(-1, count, width).all(2)
+                        ok = np.flatnonzero(same.argmax(1) == r["slot"][q])
+                        ok = ok[plausible(ma[ok], mb[ok], v["n"][p[ok]], r["n"][q[ok]], least)]
+                        found.append((v["cls"][p[ok]], r["cls"][q[ok]]))
+                    if found:
+                        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return ordered.select("band", "block", "stays", "cls", "part", "own", "n", "slot", "marks").mapInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Of pairs (a, b) those with den * intersection >= num * union on their full shingle sets.
 
@@ -190,26 +237,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     first = named.groupBy("cls").agg(F.min("uid").alias("uid"))
     classes = stash(named.join(first.select("uid"), "uid", "left_semi").select("uid", "cls", "n", "marks"))
     bands = _bands(classes, width)
-    shared = bands.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+    shared = bands.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
     # only classes that share a bucket go on
-    buckets = stash(bands.join(shared, "band"))
-    ends = buckets.select(F.col("low").alias("a"), F.col("cls").alias("b")).unionAll(buckets.select(F.col("high").alias("a"), F.col("cls").alias("b")))
-    tried = stash(ends.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.min("a").alias("a"), F.max("b").alias("b_")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")))
-    likely = _likely(tried, classes, least)
-    likely = stash(likely)
+    members = stash(bands.join(shared, "band"))
+    # the class that meets most others is the likeliest to be what they are copies of
+    score = members.groupBy("cls").agg(F.sum("many").alias("score"))
+    buckets = stash(members.select("band", "slot", "cls").join(score, "cls"))
+    centre = buckets.groupBy("band").agg(F.max(F.struct("score", "cls")).alias("top"), F.min("cls").alias("low"))
+    stars = buckets.select("band", "cls").join(centre.select("band", F.col("top.cls").alias("top"), "low"), "band")
+    ends = stars.select(F.col("top").alias("a"), F.col("cls").alias("b")).unionAll(stars.select(F.col("low").alias("a"), F.col("cls").alias("b"))).where("a <> b").distinct()
+    tried = stash(ends)
+    likely = stash(_likely(tried, classes, least))
     needed = buckets.select("cls").distinct().join(classes.select("cls", "uid"), "cls")
     bodies = stash(rows.select("uid", "text").join(needed, "uid").select("cls", "text"))
     links = stash(_confirmed(likely, bodies, k, num, den))
     parts = components(links)
     # buckets that still hold several components: all pairs between different ones
     lone = F.coalesce("root", "cls")
-    placed = buckets.select("band", "cls").join(parts, F.col("cls") == F.col("node"), "left").select("band", "cls", lone.alias("part"))
+    placed = buckets.select("band", "slot", "cls").join(parts, F.col("cls") == F.col("node"), "left").select("band", "slot", "cls", lone.alias("part"))
     mixed = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    left = stash(placed.join(mixed, "band"))
-    across = left.alias("l").join(left.alias("r"), F.expr("l.band = r.band AND l.part < r.part")).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-    met = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    fresh = across.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().join(met, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more = stash(_likely(fresh, classes, least))
+    across = _across(stash(placed.join(mixed, "band")), classes, least, width)
+    met = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stash(across.distinct().join(met, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         parts = components(links.unionAll(stash(_confirmed(more, bodies, k, num, den))))
     joined = marked.select("uid", "key", "n", "cls").join(parts, F.col("cls") == F.col("node"), "left").withColumn("part", F.coalesce("root", "cls"))
