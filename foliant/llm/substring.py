@@ -110,6 +110,28 @@ def kept_text(text: bytes, covered: np.ndarray) -> bytes:
     return b"".join(out) + text[last:]
 
 
+def deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, which halves what a shuffle of whole texts writes."""
+    for part, texts in slices(batches):
+        bodies = pa.array([None if t is None else zlib.compress(t, 5) for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("rest"), bodies], ["uid", "rest", "body"])
+
+
+def inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Runs of rows whose texts hold about SHARD_BYTES, with these texts."""
+    for batch in batches:
+        for small in range(0, batch.num_rows, 256):
+            piece = batch.slice(small, 256)
+            bodies = [None if b is None else zlib.decompress(b) for b in piece.column("body").to_pylist()]
+            begin, held = 0, 0
+            for i, body in enumerate(bodies):
+                if i > begin and held + len(body or b"") > SHARD_BYTES:
+                    yield piece.slice(begin, i - begin), bodies[begin:i]
+                    begin, held = i, 0
+                held += len(body or b"")
+            yield piece.slice(begin), bodies[begin:]
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text", texts: bool = True) -> DataFrame:
     """All rows and other columns of ``docs``, with n_words, n_removed and kept_sha256, and (``texts``) the text that is left.
 
@@ -132,11 +154,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     own = recurring.groupBy("uid").agg(F.collect_list(F.when(F.col("alike"), F.col("place"))).alias("alike"), F.collect_list(F.when(~F.col("alike"), F.col("place"))).alias("unlike"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, bodies in slices(batches):
+        for part, bodies in inflated(batches):
             h, bounds = words_of(bodies)
             sums = span_sums(h)
             out = [[] for _ in range(6)]
-            for i, (body, alike, unlike) in enumerate(zip(bodies, part.column("alike").to_pylist(), part.column("unlike").to_pylist(), strict=True)):
+            for i, (body, packed, alike, unlike) in enumerate(zip(bodies, *(part.column(c).to_pylist() for c in ("body", "alike", "unlike")), strict=True)):
                 tried = np.sort(np.array(unlike or [], np.int64))
                 many = tried % 64
                 starts = np.repeat(tried // 64, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -144,12 +166,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 flagged = bool(alike or unlike)
                 digest = None if flagged else hashlib.sha256(b" ".join((body or b"").split())).hexdigest()
                 keep = body is not None and (texts or flagged)
-                for column, value in zip(out, (int(bounds[i + 1] - bounds[i]), digest, zlib.compress(body, 1) if keep else None, np.array(alike or [], np.int64).tobytes() if flagged else None, starts.astype(np.int64).tobytes(), hashes.tobytes()), strict=True):
+                for column, value in zip(out, (int(bounds[i + 1] - bounds[i]), digest, packed if keep else None, np.array(alike or [], np.int64).tobytes() if flagged else None, starts.astype(np.int64).tobytes(), hashes.tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("rest"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), *(pa.array(x, pa.binary()) for x in out[2:])], ["uid", "rest", "n_words", "digest", "body", "alike", "starts", "hashes"])
 
     rest_kind = named.schema["rest"].dataType.simpleString()
-    looked = stash(named.join(own, "uid", "left").select("uid", "rest", "text", "alike", "unlike").mapInArrow(windows, f"uid long, rest {rest_kind}, n_words long, digest string, body binary, alike binary, starts binary, hashes binary"))
+    looked = named.select("uid", "rest", "text").mapInArrow(deflated, f"uid long, rest {rest_kind}, body binary")
+    looked = stash(looked.join(own, "uid", "left").select("uid", "rest", "body", "alike", "unlike").mapInArrow(windows, f"uid long, rest {rest_kind}, n_words long, digest string, body binary, alike binary, starts binary, hashes binary"))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,16 +189,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     clean = looked.where("alike IS NULL").select("rest", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.col("body"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for small in range(0, batch.num_rows, 512):
-                piece = batch.slice(small, 512)
-                bodies = [zlib.decompress(b) for b in piece.column("body").to_pylist()]
-                begin, held = 0, 0
-                for i, body in enumerate([*bodies, None]):
-                    if i > begin and (body is None or held + len(body) > SHARD_BYTES):
-                        yield shard(piece.slice(begin, i - begin), bodies[begin:i])
-                        begin, held = i, 0
-                    held += len(body or b"")
+        for part, bodies in inflated(batches):
+            yield shard(part, bodies)
 
     def shard(part: pa.RecordBatch, bodies: list[bytes]) -> pa.RecordBatch:
         documents, passages = [b.split() for b in bodies], []
@@ -187,7 +202,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             passages.append(np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1))
         covered = locate(documents, passages)
         digests = [hashlib.sha256(b" ".join([w for w, c in zip(words, mask.tolist(), strict=True) if not c])).hexdigest() for words, mask in zip(documents, covered, strict=True)]
-        left = [zlib.compress(kept_text(b, c), 1) if texts and c.any() else (zlib.compress(b, 1) if texts else None) for b, c in zip(bodies, covered, strict=True)]
+        left = [zlib.compress(kept_text(b, c), 1) if texts and c.any() else (zlib.compress(b, 5) if texts else None) for b, c in zip(bodies, covered, strict=True)]
         return pa.RecordBatch.from_arrays([part.column("rest"), part.column("n_words"), pa.array([int(c.sum()) for c in covered], pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.binary())], ["rest", "n_words", "n_removed", "kept_sha256", "body"])
 
     cut = suspects.select("rest", "n_words", "body", "alike", "confirmed").mapInArrow(mark, f"rest {rest_kind}, n_words long, n_removed long, kept_sha256 string, body binary")
