@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stash, table, with_uid
 from .lines import positions
-from .tokens import VOCABULARY, Pieces
+from .tokens import VOCABULARY, Kept, Pieces, byte_alphabet
 
 WINDOW, END_ID, QUANTUM = 2048, 1, 128
 #: Sources beyond so many share queues by hash, which bounds what every task must know.
@@ -36,45 +36,32 @@ class IdEncoder(Pieces):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__(path)
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self._chunks: dict[str, bytes] = {}
+        self._letters = {b: c for c, b in byte_alphabet().items()}
+        self._chunks = Kept(self._chunk, 2 * CACHE)
         self._pieces: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Encodes chunks that are not cached: their unknown pre-tokens go to the library as one batch."""
-        cut = {c: self.pieces(c) for c in set(chunks)}
-        new = list({p for pieces in cut.values() for p in pieces if p not in self._pieces})
-        if len(self._pieces) + len(new) > CACHE:
-            self._pieces.clear()
-            new = list({p for pieces in cut.values() for p in pieces})
-        for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self._pieces[p] = np.array(e.ids, self.width).tobytes()
-        known = self._pieces
-        found = {c: b"".join([known[p] for p in pieces]) for c, pieces in cut.items()}
-        if len(self._chunks) + len(found) > 2 * CACHE:
-            self._chunks.clear()
-        self._chunks.update(found)
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, two bytes an id (four for vocabularies over 65,536)."""
-        parts, missing = [], []
-        for text in texts:
-            own = []
-            for k, part in enumerate(self.segments(text)):
-                if k % 2:
-                    own.append(np.array([self.special[part]], self.width).tobytes())
-                elif part:
-                    chunks = self.chunks(part)
-                    own.append(chunks)
-                    missing += [c for c in chunks if c not in self._chunks]
-            parts.append(own)
-        if missing:
-            new = self._learn(missing)
-            held = self._chunks
-            if any(c not in held for own in parts for x in own if isinstance(x, list) for c in x):  # the cache was emptied meanwhile
-                new |= self._learn([c for own in parts for x in own if isinstance(x, list) for c in x if c not in held])
-        held = self._chunks
-        return [b"".join([x if isinstance(x, bytes) else b"".join([held[c] for c in x]) for x in own]) for own in parts]
+    def _chunk(self, chunk: str) -> bytes:
+        held, out = self._pieces, []
+        for piece in self.pieces(chunk):
+            ids = held.get(piece)
+            if ids is None:
+                if len(held) >= CACHE:
+                    held.clear()
+                # the library's own model; its byte letters are put in here, its pre-tokenizer would cut the piece no further
+                ids = held[piece] = np.array([t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self._letters))], self.width).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian ids, two bytes an id (four for vocabularies over 65,536)."""
+        out = []
+        for k, part in enumerate(self.segments(text)):
+            if k % 2:
+                out.append(np.array([self.special[part]], self.width).tobytes())
+            elif part:
+                head, tail = self.chunks(part)
+                out += [self._chunk(head), *map(self._chunks.__getitem__, tail)]
+        return b"".join(out)
 
 
 _kept: dict[str, IdEncoder] = {}
@@ -145,7 +132,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
         known = encoder(public_tokenizers.path(vocabulary))
         end = np.array([end_id], known.width).tobytes()
         for batch, texts in slices(batches):
-            ids = [x + end for x in known.encode([t.decode() if t else "" for t in texts])]
+            ids = [(known.encode(t.decode()) if t else b"") + end for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("key"), batch.column("source"), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["uid", "key", "source", "doc_tokens", "ids"])
 
     rows = with_uid(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"), docs[source].cast("string").alias("source")))

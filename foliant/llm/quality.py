@@ -25,7 +25,7 @@ BUCKETS, SIZE, SHAPES, NONZERO = 1 << 14, 48, 512, 4
 #: Plain ratios next to the pooled vectors.
 RATIOS = 8
 #: The fit takes at most so many labelled rows, those least by a hash of their id, of at most so many bytes each.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32 << 10
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 16 << 10
 HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.01, 1e-4
 THRESHOLD = 0.3
 
@@ -73,22 +73,21 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
 
 
 def learn_vectors(ids: np.ndarray, bounds: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Word vectors: sums of the neighbours' index vectors at distances 1 and 2 inside a text, scaled to length 1."""
+    """Word vectors: sums of the neighbours' index vectors at distances 1 and 2 inside a text, frequent neighbours damped, scaled to length 1."""
     index = index_vectors(n, seed)
+    damped = index / np.sqrt(1 + np.bincount(ids, minlength=n)).astype(np.float32)[:, None]
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    pairs = []
-    for far in (1, 2):
-        same = text[far:] == text[:-far]
-        a, b = ids[far:][same], ids[:-far][same]
-        pairs += [a * n + b, b * n + a]
     sums = np.zeros((n, SIZE), np.float32)
-    both, times = np.unique(np.concatenate(pairs) if pairs else np.empty(0, np.int64), return_counts=True)
-    left, first = np.unique(both // n, return_index=True)
-    for begin in range(0, len(left), 256):
-        stop = first[begin + 256] if begin + 256 < len(first) else len(both)
-        part = slice(first[begin], stop)
-        rows = index[both[part] % n] * np.log1p(times[part]).astype(np.float32)[:, None]
-        sums[left[begin : begin + 256]] = np.add.reduceat(rows, first[begin : begin + 256] - first[begin], axis=0)
+    for begin in range(0, len(ids), 1 << 16):  # bounds the gathered rows
+        for far in (1, 2):
+            left = slice(max(begin, far), min(len(ids), begin + (1 << 16)))
+            here, there = np.arange(left.start, left.stop), np.arange(left.start, left.stop) - far
+            same = text[here] == text[there]
+            for a, b in ((here[same], there[same]), (there[same], here[same])):
+                order = np.argsort(ids[a], kind="stable")
+                words, first = np.unique(ids[a][order], return_index=True)
+                if len(words):
+                    sums[words] += np.add.reduceat(damped[ids[b[order]]], first, axis=0)
     sums = np.where(np.abs(sums).sum(1, keepdims=True) > 0, sums, index)
     return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
 
@@ -139,7 +138,7 @@ def fit(texts: list, quality: np.ndarray, checked: np.ndarray) -> Model:
     parts, at = [], 0
     while at < len(texts):  # slices bound the byte arrays
         stop, held = at, 0
-        while stop < len(texts) and (stop == at or held < 1 << 21):
+        while stop < len(texts) and (stop == at or held < 1 << 19):
             held += len(texts[stop] or b"")
             stop += 1
         parts.append(tokens(texts[at:stop]))

@@ -69,9 +69,13 @@ class Pieces:
         return self._special.split(text) if self._special and any(s in text for s in self.special) else [text]
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Stretches between clean single spaces: no pre-token crosses their bounds. All but the first lost their leading space if ``_MIXED`` finds nothing."""
-        return [f" {c}" if i else c for i, c in enumerate(text.split(" "))] if not _MIXED.search(text) else _CLEAN_CUT.split(text)
+    def chunks(text: str) -> tuple[str, list[str]]:
+        """The first stretch, and the others without the space that each begins with; no pre-token crosses their bounds."""
+        if _MIXED.search(text):
+            head, *tail = _CLEAN_CUT.split(text)
+            return head, [c[1:] for c in tail]
+        head, *tail = text.split(" ")
+        return head, tail
 
     def pieces(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk."""
@@ -80,6 +84,19 @@ class Pieces:
         return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
 
+class Kept(dict):
+    """A bounded cache of what ``make`` makes of stretches that lost their leading space."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
+
+    def __missing__(self, chunk: str):
+        if len(self) >= self.limit:
+            self.clear()
+        made = self[chunk] = self.make(f" {chunk}")
+        return made
+
+
 class PrefixCounter(Pieces):
     """Exact token counts of whole texts and of all their prefixes."""
 
@@ -103,7 +120,7 @@ class PrefixCounter(Pieces):
             self._suffixes.add_word(t.decode("latin-1"), (i, len(t)))
         self._suffixes.make_automaton()
         self._tables: dict[str, tuple[int, ...]] = {}
-        self._totals: dict[str, int] = {}
+        self._totals = Kept(self._chunk, CHUNKS)
 
     def _stable(self, left: int, right: int, below: int = 1 << 60) -> bool:
         """Whether no merge older than ``below`` crosses from one token into the other.
@@ -153,22 +170,17 @@ class PrefixCounter(Pieces):
         return known
 
     def _chunk(self, chunk: str) -> int:
-        total = sum(self.piece_table(p)[-1] for p in self.pieces(chunk))
-        if len(self._totals) >= CHUNKS:
-            self._totals.clear()
-        self._totals[chunk] = total
-        return total
+        return sum([self.piece_table(p)[-1] for p in self.pieces(chunk)])
 
     def count(self, text: str) -> int:
         """Tokens of the whole text, as the library's encode() has them by default, without added ones."""
-        total, get = 0, self._totals.get
+        total = 0
         for k, part in enumerate(self.segments(text)):
             if k % 2:
                 total += 1
             elif part:
-                for chunk in self.chunks(part):
-                    n = get(chunk)
-                    total += self._chunk(chunk) if n is None else n
+                head, tail = self.chunks(part)
+                total += self._chunk(head) + sum(map(self._totals.__getitem__, tail))
         return total
 
     def prefix_counts(self, text: str) -> list[int]:
