@@ -11,6 +11,8 @@ padding and are cut at window bounds and document ends only, so that every windo
 from __future__ import annotations
 
 import os
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from .tokens import VOCABULARY, Kept, Pieces, byte_alphabet
 WINDOW, END_ID, QUANTUM = 2048, 1, 128
 #: Sources beyond so many share queues by hash, which bounds what every task must know.
 QUEUES = 2048
-CACHE = 300_000
+CACHE = 450_000
 
 
 class IdEncoder(Pieces):
@@ -36,6 +38,7 @@ class IdEncoder(Pieces):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__(path)
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self._model, self._code = self.library.model, "H" if self.width is np.uint16 else "I"
         self._letters = {b: c for c, b in byte_alphabet().items()}
         self._chunks = Kept(self._chunk, 2 * CACHE)
         self._pieces: dict[str, bytes] = {}
@@ -48,7 +51,7 @@ class IdEncoder(Pieces):
                 if len(held) >= CACHE:
                     held.clear()
                 # the library's own model; its byte letters are put in here, its pre-tokenizer would cut the piece no further
-                ids = held[piece] = np.array([t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self._letters))], self.width).tobytes()
+                ids = held[piece] = array(self._code, [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]).tobytes()
             out.append(ids)
         return b"".join(out)
 
@@ -114,9 +117,9 @@ class Schedule:
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, window: int = WINDOW, quantum: int = QUANTUM, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per piece: key, source, start, length, ids (binary), doc_tokens, sequence_id, offset.
+    """One row per piece: key, source, start, length, ids (binary), ids_crc32, doc_tokens, sequence_id, offset.
 
-    ids hold little-endian ids of two bytes (four for vocabularies over 65,536). ``sequence_id`` counts
+    ids hold little-endian ids of two bytes (four for vocabularies over 65,536); ids_crc32 is of the same as four-byte ids. ``sequence_id`` counts
     windows from 0, ``offset`` is the place in the window. Only the last sequence can be short; it is to be
     padded to ``window`` unless its length is a power of two. A null text counts as empty (its end id is
     still packed), a null source is a source. Repeated rows are documents of their own. An empty table gives
@@ -148,26 +151,22 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = batch.column("key"), [[] for _ in range(8)]
+            keys, out = batch.column("key"), [[] for _ in range(9)]
             for i, (queue, line, n, ids, src) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "line", "doc_tokens", "ids", "source")), strict=True)):
                 wide = len(ids) // n
+                long = np.frombuffer(ids, np.uint16 if wide == 2 else np.uint32).astype("<u4").tobytes()
                 for begin, length, at in plan.stretches(number[queue], line, line + n):
                     while length:
                         take = min(length, window - at % window)
                         start = begin - line
-                        for column, value in zip(out, (i, src, start, take, ids[start * wide : (start + take) * wide], n, at // window, at % window), strict=True):
+                        for column, value in zip(out, (i, src, start, take, ids[start * wide : (start + take) * wide], zlib.crc32(long[4 * start : 4 * (start + take)]), n, at // window, at % window), strict=True):
                             column.append(value)
                         begin, length, at = begin + take, length - take, at + take
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.string()), *(pa.array(x, pa.int64()) for x in out[2:4]), pa.array(out[4], pa.binary()), *(pa.array(x, pa.int64()) for x in out[5:])], [key, "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.string()), *(pa.array(x, pa.int64()) for x in out[2:4]), pa.array(out[4], pa.binary()), *(pa.array(x, pa.int64()) for x in out[5:])], [key, "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return joined.select("key", "source", "queue", "line", "doc_tokens", "ids").mapInArrow(cut, f"{narrow} {kind}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
-
-def wide_ids(ids):
-    """Two-byte little-endian ids as four-byte ones, natively."""
-    return F.unhex(F.regexp_replace(F.hex(ids), "(....)", "$10000"))
+    return joined.select("key", "source", "queue", "line", "doc_tokens", "ids").mapInArrow(cut, f"{narrow} {kind}, source string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32(wide_ids(F.col("ids"))).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -79,6 +79,11 @@ class Pieces:
 
     def pieces(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk."""
+        if chunk.isascii() and chunk[:1] == " ":  # most are a word, or a word and a mark
+            if chunk[1:].isalpha():
+                return [chunk]
+            if chunk[-1] in ".," and chunk[1:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
         if not _BEYOND.search(chunk):
             return _PIECE.findall(chunk)
         return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
