@@ -2,6 +2,175 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = ""
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import artifacts as A
+from .functions import text as T
+from .operators import blocks as B
+from .operators import structure as S
+from .plans.decorate import SQL, decorated
+from .sources.html import import_html
+
+QUERIES, ORACLES = {}, {}
+FLAGSHIP = "document_analysis"
+
+
+def register(sql: str):
+    def keep(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return keep
+
+
+#: Lines of the decorated documents with their fence parity, for the SQL side.
+_LINES = f"""WITH {SQL},
+split AS (SELECT doc_id, string_split(md, chr(10)) AS ls FROM decorated),
+raw AS (SELECT doc_id, unnest(ls) AS content, generate_subscripts(ls, 1) - 1 AS line FROM split),
+marked AS (SELECT *, regexp_matches(content, '^\\s*(```|~~~)') AS fence FROM raw),
+lines AS (SELECT doc_id, line, content, fence OR coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced FROM marked),
+heads AS (SELECT doc_id, line, length(regexp_extract(content, '^\\s*(#{{1,6}})', 1)) AS level, trim(regexp_replace(content, '^\\s*#{{1,6}}', '')) AS bare FROM lines WHERE NOT fenced AND regexp_matches(content, '^\\s*#{{1,6}}([ \\t]|$)')),
+headings AS (SELECT doc_id, line, level, trim(regexp_replace(bare, '\\{{#[^}}]*\\}}\\s*$', '')) AS title, nullif(regexp_extract(bare, '\\{{#([^}}]*)\\}}\\s*$', 1), '') AS label FROM heads)"""
+
+_TOKENS = r"len(regexp_extract_all(content, '[^\s\x{0085}\x{00A0}]*[\pL\pN][^\s\x{0085}\x{00A0}]*'))"
+
+
+@register(_LINES + f", words AS (SELECT doc_id, sum(CASE WHEN fenced THEN 0 ELSE {_TOKENS} END)::BIGINT AS words, count(*) AS n_lines FROM lines GROUP BY doc_id) SELECT doc_id, words, length(md) AS chars, n_lines, ceil(words / 200)::BIGINT AS reading_minutes, (len(regexp_extract_all(md, '!\\[')))::BIGINT AS images, greatest(len(regexp_extract_all(md, '\\]\\(')) - len(regexp_extract_all(md, '!\\[')), 0)::BIGINT AS links FROM words JOIN decorated USING (doc_id)")
+def document_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    md = F.col("md")
+    words = T.word_count(md)
+    return decorated(spark, sf_dir).select("doc_id", words.alias("words"), F.length(md).cast("long").alias("chars"), F.size(T.lines(md)).cast("long").alias("n_lines"), T.reading_minutes(words).alias("reading_minutes"), T.image_count(md).alias("images"), T.link_count(md).alias("links"))
+
+
+_CLASS = {k: p.replace("\\x", "\\x") for k, p in A.PATTERNS.items()}
+_COUNTS = ", ".join(f"len(regexp_extract_all(md, '{p}'))::BIGINT AS {k}" for k, p in _CLASS.items())
+
+
+@register(f"WITH {SQL} SELECT doc_id, {_COUNTS}, len(regexp_extract_all(md, '\\r'))::BIGINT AS line_end, len(list_filter(regexp_extract_all(md, '-+'), lambda r: length(r) = 2))::BIGINT AS double_hyphen FROM decorated")
+def artifact_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decorated(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in A.audit(F.col("md")).items()])
+
+
+@register(f"WITH {SQL}, kinds AS (UNPIVOT (SELECT doc_id, {_COUNTS} FROM decorated) ON {', '.join(_CLASS)} INTO NAME kind VALUE n) SELECT kind, sum(n)::BIGINT AS n, count(*) FILTER (n > 0) AS documents FROM kinds GROUP BY kind")
+def artifact_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = {k: c for k, c in A.audit(F.col("md")).items() if k in A.PATTERNS}
+    wide = decorated(spark, sf_dir).select(*[c.alias(k) for k, c in counts.items()])
+    long = wide.unpivot([], list(counts), "kind", "n")
+    return long.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("documents"))
+
+
+_SANITIZED = f"""replace(replace(replace(regexp_replace(translate(regexp_replace(replace(regexp_replace(regexp_replace(md, '[{A.WATERMARK}{A.DIRECTIONAL}{A.CONTROL}{A.ZERO_WIDTH}]', '', 'g'), '\\r\\n?|[\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(8239), chr(160)), '[{A.SPECIAL_SPACE}]', ' ', 'g'), '{A.LOOKALIKE}', '{A.LOOKALIKE_AS}'), '[{A.DASH}]', '-', 'g'), '---', chr(1)), '--', '-'), chr(1), '---')"""
+
+
+@register(f"WITH {SQL} SELECT doc_id, {_SANITIZED} AS text FROM decorated")
+def sanitize_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decorated(spark, sf_dir).select("doc_id", A.sanitize(F.col("md")).alias("text"))
+
+
+@register(f"""WITH {SQL} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '(?im)^(?:Certainly|Bien s[uû]r)[!,.]?\\s+', '', 'g'), '[ \\t]+([;!?])', chr(160) || '\\1', 'g'), '«[ \\t]+', '«' || chr(160), 'g'), '[ \\t]+»', chr(160) || '»', 'g') AS text
+FROM (SELECT doc_id, chr(10) || substr(md, strpos(md, chr(10)) + 1, strpos(md, '[@k') - strpos(md, chr(10))) || CASE WHEN lang = 'fr' THEN 'Oui ; non ! « mot »' ELSE '' END AS md FROM decorated)""")
+def decontaminate_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock phrases and French spacing over the decorated opening line and a French line."""
+    md = F.col("md")
+    opening = F.expr("substr(md, instr(md, chr(10)) + 1, instr(md, '[@k') - instr(md, chr(10)))")
+    french = F.when(F.col("lang") == "fr", "Oui ; non ! « mot »").otherwise("")
+    docs = decorated(spark, sf_dir).select("doc_id", F.concat(F.lit("\n"), opening, french).alias("md"))
+    return docs.select("doc_id", A.french_typography(A.remove_tics(md)).alias("text"))
+
+
+@register(_LINES + " SELECT doc_id, count(*) AS n_headings, string_agg(level || ':' || title, '|' ORDER BY line) AS outline FROM headings GROUP BY doc_id")
+def heading_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.outline(decorated(spark, sf_dir))
+
+
+_NUMBERS = ", groups AS (SELECT *, " + ", ".join(f"sum((level < {k})::INT) OVER w AS g{k}" for k in range(1, 7)) + " FROM headings WINDOW w AS (PARTITION BY doc_id ORDER BY line)), counters AS (SELECT *, [" + ", ".join(f"(sum((level = {k})::INT) OVER (PARTITION BY doc_id, g{k} ORDER BY line))::BIGINT::VARCHAR" for k in range(1, 7)) + "] AS cs FROM groups), numbered AS (SELECT doc_id, line, level, title, label, array_to_string(cs[1:level], '.') AS number FROM counters)"
+
+
+@register(_LINES + _NUMBERS + " SELECT doc_id, line, level, title, label, number FROM numbered")
+def section_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.section_numbers(decorated(spark, sf_dir))
+
+
+@register(_LINES + _NUMBERS + r""", rs AS (SELECT doc_id, line, regexp_extract_all(content, '\\(?:eq|c|C)?ref\{([^}]*)\}', 1) AS ts FROM lines WHERE NOT fenced),
+each AS (SELECT doc_id, line, unnest(ts) AS target, generate_subscripts(ts, 1) AS place FROM rs),
+known AS (SELECT doc_id, label, arg_min(number, line) AS number FROM numbered WHERE label IS NOT NULL GROUP BY ALL)
+SELECT e.doc_id, row_number() OVER (PARTITION BY e.doc_id ORDER BY line, place) AS ord, target, coalesce(number, '?') AS number FROM each e LEFT JOIN known k ON e.doc_id = k.doc_id AND e.target = k.label""")
+def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.references(decorated(spark, sf_dir))
+
+
+@register(_LINES + r""", gs AS (SELECT doc_id, line, regexp_extract_all(content, '\[((?:@[\w:-]+(?:;\s*)?)+)\]', 1) AS g FROM lines WHERE NOT fenced),
+g1 AS (SELECT doc_id, line, unnest(g) AS grp, generate_subscripts(g, 1) AS gi FROM gs), g2 AS (SELECT *, regexp_split_to_array(grp, ';\s*') AS ks FROM g1),
+each AS (SELECT doc_id, line, gi, unnest(ks) AS raw, generate_subscripts(ks, 1) AS nth FROM g2),
+firsts AS (SELECT doc_id, regexp_replace(raw, '^@', '') AS cited, min((line * 1000 + gi) * 1000 + nth) AS place FROM each GROUP BY ALL)
+SELECT doc_id, cited, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS number FROM firsts WHERE cited IN ('k0', 'k1', 'k2')""")
+def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bib = spark.sql("SELECT key FROM VALUES ('k0'), ('k1'), ('k2') AS b(key)")
+    return S.citations(decorated(spark, sf_dir), bib)
+
+
+@register(f"WITH {SQL}, i AS (SELECT doc_id, regexp_extract_all(md, '!\\[[^\\]]*\\]\\([^)]*\\)') AS xs FROM decorated), each AS (SELECT doc_id, unnest(xs) AS raw, generate_subscripts(xs, 1) - 1 AS ord FROM i) SELECT doc_id, ord, regexp_extract(raw, '!\\[([^\\]]*)\\]', 1) AS alt, regexp_extract(raw, '\\]\\(([^)]*)\\)$', 1) AS path FROM each")
+def image_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.images(decorated(spark, sf_dir))
+
+
+_WORDS = r", prose AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '`[^`]*`', ' ', 'g'), '\$[^$]*\$', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\[A-Za-z]+', ' ', 'g'), '\]\([^)]*\)', ' ', 'g') AS p FROM lines WHERE NOT fenced), each AS (SELECT doc_id, unnest(regexp_extract_all(lower(p), '(\pL(?:[\pL'']*\pL))', 1)) AS word FROM prose), words AS (SELECT doc_id, word, count(*) AS n FROM each GROUP BY ALL), dictionary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '(\pL(?:[\pL'']*\pL))', 1)) AS word FROM benchmark)"
+
+
+@register(_LINES + _WORDS + " SELECT doc_id, sum(n)::BIGINT AS n_misspelled, count(*) AS n_distinct, min(word) AS first_word, max(word) AS last_word FROM words ANTI JOIN dictionary USING (word) GROUP BY doc_id")
+def misspelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}(?:[\p{L}']*\p{L}))"), F.lit(1))
+    dictionary = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(found).alias("word"))
+    wrong = S.misspellings(decorated(spark, sf_dir), dictionary)
+    return wrong.groupBy("doc_id").agg(F.sum("n").alias("n_misspelled"), F.count("*").alias("n_distinct"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+
+
+@register(_LINES + r""" SELECT doc_id, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*[-*+][ \t]')) AS bullets, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*\d+[.)][ \t]')) AS ordered, count(*) FILTER (NOT fenced AND starts_with(trim(content), '|')) AS table_rows, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*>')) AS quotes, count(*) FILTER (NOT fenced AND regexp_matches(replace(replace(content, ' ', ''), chr(9), ''), '^(-{3,}|\*{3,}|_{3,})$')) AS rules, count(*) FILTER (fenced) AS fenced_lines FROM lines GROUP BY doc_id""")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, plain = F.col("content"), ~F.col("fenced")
+    kinds = {"bullets": T.is_bullet(c), "ordered": T.is_ordered(c), "table_rows": T.is_table_row(c), "quotes": c.rlike(r"^\s*>"), "rules": T.is_rule(c)}
+    return S.lines(decorated(spark, sf_dir)).groupBy("doc_id").agg(*[F.count_if(plain & k).alias(n) for n, k in kinds.items()], F.count_if("fenced").alias("fenced_lines"))
+
+
+@register(f"WITH {SQL}" + r""" SELECT doc_id, sha256(replace(replace(replace(replace(replace(md, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS xml, sha256(regexp_replace(md, '([\\{}])', '\\\1', 'g')) AS rtf, len(regexp_extract_all(md, '(?i)the'))::BIGINT AS the, sha256(regexp_replace(md, '(?i)the', '[$0]', 'g')) AS replaced, strlen(md[1:100])::BIGINT AS bytes_100, sha256(array_to_string(list_transform(string_split(md, chr(10)), lambda x: CASE WHEN x = '' THEN x ELSE '  ' || x END), chr(10))) AS indented FROM decorated""")
+def scalar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    md = F.col("md")
+    return decorated(spark, sf_dir).select("doc_id", F.sha2(T.escape_xml(md), 256).alias("xml"), F.sha2(T.escape_rtf(md), 256).alias("rtf"), T.find_count(md, "the").alias("the"), F.sha2(T.replace_all(md, "the", "[$0]"), 256).alias("replaced"), T.byte_offset(md, F.lit(100)).cast("long").alias("bytes_100"), F.sha2(T.indent(md), 256).alias("indented"))
+
+
+@register(r"""SELECT page_id, ltrim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&mdash;', '-'), '&ndash;', '-'), '&hellip;', '...'), '&copy;', '©'), '&reg;', '®'), '&trade;', '™'), '[ \t\n\f\r]+', ' ', 'g')) AS text FROM pages""")
+def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", T.collapse_space(T.decode_entities(F.col("html"))).alias("text"))
+
+
+@register("""WITH t AS (SELECT e.user_id, 'type,n' || chr(10) || string_agg(event_type || ',' || n, chr(10) ORDER BY event_type) AS csv FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) e GROUP BY e.user_id)
+SELECT user_id, '| type | n |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(list_transform(string_split(csv, chr(10))[2:], lambda r: '| ' || replace(r, ',', ' | ') || ' |'), chr(10)) AS md FROM t""")
+def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    rows = F.array_sort(F.collect_list(F.concat("event_type", F.lit(","), F.col("n").cast("string"))))
+    csv = events.groupBy("user_id").agg(F.concat(F.lit("type,n\n"), F.array_join(rows, "\n")).alias("csv"))
+    return csv.select("user_id", T.csv_table(F.col("csv")).alias("md"))
+
+
+@register(f"WITH {SQL}, e AS (SELECT doc_id FROM decorated WHERE doc_id % 4 = 0) SELECT doc_id, 'E_' || doc_id || ' = mc^2' AS latex FROM e")
+def display_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.equations(decorated(spark, sf_dir)).select("doc_id", "latex")
+
+
+@register(f"WITH {SQL} SELECT doc_id, 3 + 2 * (doc_id % 3 = 0)::INT AS heading, (doc_id % 4 = 0)::INT AS equation, (doc_id % 2 = 0)::INT AS code, (doc_id % 5 = 0)::INT AS \"table\", 1 AS quote FROM decorated")
+def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks by kind, of the kinds that only the decoration has."""
+    return B.block_counts(decorated(spark, sf_dir)).select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("heading", "equation", "code", "table", "quote")])
+
+
+def inline_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.inline_equations(decorated(spark, sf_dir))
+
+
+def html_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES |= {"inline_equations": inline_equations, "html_import": html_import}
