@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import minhash, mixing, packing, quality, substring
-from foliant.llm.common import WORD, table, with_uid
+from foliant.llm.common import WORD, replayable, table, with_uid
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8) stays."""
+    docs = replayable(docs)
     found = minhash.near_duplicates(docs, k=5, num=80, den=100)
     return with_uid(docs, "_uid").join(found.where("chosen").select(F.col("uid").alias("_uid")), "_uid", "left_semi").select(*docs.columns)
 
@@ -38,6 +39,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each time that it takes of a document, with the words it takes; n_chars is counted anew."""
+    docs = replayable(docs)
     taken, mixed = mixing.mix(docs)
     parts = mixed.groupBy("uid", "epoch").agg(F.min("begin").alias("_begin"), F.sum("length").alias("_length")).join(taken.select("uid", "size"), "uid")
     rows = with_uid(docs, "_uid").join(parts, F.col("_uid") == F.col("uid"))
