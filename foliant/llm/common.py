@@ -59,6 +59,22 @@ def n_words(text="text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_kept: dict = {}
+
+
+def kept(name: str, make):
+    """An object with caches that a worker process keeps from task to task; it holds one at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    """Gives up what an earlier operator kept in this worker process."""
+    _kept.clear()
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cuts Arrow batches into runs of rows whose texts hold about ``limit`` bytes.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stash, table, with_uid
+from .common import release, slices, stash, table, with_uid
 from .graph import components
 from .wordhash import mix, span_sums, spans, words_of
 
@@ -97,6 +97,7 @@ def plausible(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, le
 
 def _sketched(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part, texts in slices(batches):
             hashes, at = shingles(texts, k)
             n, cls, marks = [], [], []

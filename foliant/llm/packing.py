@@ -21,14 +21,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stash, table, with_uid
+from .common import kept, slices, stash, table, with_uid
 from .lines import positions
 from .tokens import VOCABULARY, Kept, Pieces, byte_alphabet
 
 WINDOW, END_ID, QUANTUM = 2048, 1, 128
 #: Sources beyond so many share queues by hash, which bounds what every task must know.
 QUEUES = 2048
-CACHE = 450_000
+CACHE = 350_000
 
 
 class IdEncoder(Pieces):
@@ -67,13 +67,8 @@ class IdEncoder(Pieces):
         return b"".join(out)
 
 
-_kept: dict[str, IdEncoder] = {}
-
-
 def encoder(path: str) -> IdEncoder:
-    if path not in _kept:
-        _kept[path] = IdEncoder(path)
-    return _kept[path]
+    return kept(f"encoder {path}", lambda: IdEncoder(path))
 
 
 def entitlements(totals: np.ndarray, window: np.ndarray, windows: int, quantum: int) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import release, slices, table
 from .wordhash import _CODES, mix, powers
 
 U = np.uint64
@@ -200,6 +200,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     kept = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part, texts in slices(batches, "_text"):
             found = pa.array(model.scores(texts), pa.float64())
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), found], [*kept, name])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stash, table, with_uid
+from .common import release, slices, stash, table, with_uid
 from .wordhash import span_sums, spans, words_of
 
 U = np.uint64
@@ -112,6 +112,7 @@ def kept_text(text: bytes, covered: np.ndarray) -> bytes:
 
 def deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, which halves what a shuffle of whole texts writes."""
+    release()
     for part, texts in slices(batches):
         bodies = pa.array([None if t is None else zlib.compress(t, 5) for t in texts], pa.binary())
         yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("rest"), bodies], ["uid", "rest", "body"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import kept, slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries that each cache may hold before it is emptied; a matter of memory, never of results.
@@ -255,14 +255,9 @@ class PrefixCounter(Pieces):
         return text[: max(i for i, n in enumerate(counts) if n <= budget)] if budget >= 0 else ""
 
 
-_kept: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
     """One for each worker process, which may serve many tasks."""
-    if path not in _kept:
-        _kept[path] = PrefixCounter(path)
-    return _kept[path]
+    return kept(f"counter {path}", lambda: PrefixCounter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
