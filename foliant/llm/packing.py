@@ -21,14 +21,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, slices, stash, table, with_uid
+from .common import kept, release, slices, stash, table, with_uid
 from .lines import positions
-from .tokens import VOCABULARY, Kept, Pieces, byte_alphabet
+from .tokens import CHUNKS, PIECES, VOCABULARY, Kept, Pieces, byte_alphabet
 
 WINDOW, END_ID, QUANTUM = 2048, 1, 128
 #: Sources beyond so many share queues by hash, which bounds what every task must know.
 QUEUES = 2048
-CACHE = 350_000
 
 
 class IdEncoder(Pieces):
@@ -40,20 +39,15 @@ class IdEncoder(Pieces):
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self._model, self._code = self.library.model, "H" if self.width is np.uint16 else "I"
         self._letters = {b: c for c, b in byte_alphabet().items()}
-        self._chunks = Kept(self._chunk, 2 * CACHE)
-        self._pieces: dict[str, bytes] = {}
+        self._chunks = Kept(lambda c: self._chunk(f" {c}"), CHUNKS)
+        self._pieces = Kept(self._piece, PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        """By the library's own model; its byte letters are put in here, its pre-tokenizer would cut the piece no further."""
+        return array(self._code, [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        held, out = self._pieces, []
-        for piece in self.pieces(chunk):
-            ids = held.get(piece)
-            if ids is None:
-                if len(held) >= CACHE:
-                    held.clear()
-                # the library's own model; its byte letters are put in here, its pre-tokenizer would cut the piece no further
-                ids = held[piece] = array(self._code, [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self._pieces[p] for p in self.pieces(chunk)])
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids, two bytes an id (four for vocabularies over 65,536)."""
@@ -145,6 +139,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
     joined = coded.join(placed.select("uid", "queue", "line"), "uid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keys, out = batch.column("key"), [[] for _ in range(9)]
             for i, (queue, line, n, ids, src) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "line", "doc_tokens", "ids", "source")), strict=True)):

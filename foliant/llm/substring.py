@@ -203,14 +203,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             passages.append(np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1))
         covered = locate(documents, passages)
         digests = [hashlib.sha256(b" ".join([w for w, c in zip(words, mask.tolist(), strict=True) if not c])).hexdigest() for words, mask in zip(documents, covered, strict=True)]
-        left = [zlib.compress(kept_text(b, c), 1) if texts and c.any() else (zlib.compress(b, 5) if texts else None) for b, c in zip(bodies, covered, strict=True)]
-        return pa.RecordBatch.from_arrays([part.column("rest"), part.column("n_words"), pa.array([int(c.sum()) for c in covered], pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.binary())], ["rest", "n_words", "n_removed", "kept_sha256", "body"])
+        left = [(kept_text(b, c) if c.any() else b).decode() if texts else None for b, c in zip(bodies, covered, strict=True)]
+        return pa.RecordBatch.from_arrays([part.column("rest"), part.column("n_words"), pa.array([int(c.sum()) for c in covered], pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string())], ["rest", "n_words", "n_removed", "kept_sha256", "body"])
 
-    cut = suspects.select("rest", "n_words", "body", "alike", "confirmed").mapInArrow(mark, f"rest {rest_kind}, n_words long, n_removed long, kept_sha256 string, body binary")
-    every = clean.unionByName(cut)
+    cut = suspects.select("rest", "n_words", "body", "alike", "confirmed").mapInArrow(mark, f"rest {rest_kind}, n_words long, n_removed long, kept_sha256 string, body string")
     columns = [F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(rest)]
     if not texts:
-        return every.select(*columns, *added)
+        return clean.drop("body").unionByName(cut.drop("body")).select(*columns, *added)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,8 +218,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 bodies = pa.array([None if b is None else zlib.decompress(b).decode() for b in part.column("body").to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("rest"), *(part.column(c) for c in added), bodies], ["rest", *added, "body"])
 
-    plain = every.mapInArrow(unpack, f"rest {rest_kind}, n_words long, n_removed long, kept_sha256 string, body string")
-    return plain.select(*columns, *added, F.col("body").alias(text))
+    plain = clean.mapInArrow(unpack, f"rest {rest_kind}, n_words long, n_removed long, kept_sha256 string, body string")
+    return plain.unionByName(cut).select(*columns, *added, F.col("body").alias(text))
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import kept, slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries that each cache may hold before it is emptied; a matter of memory, never of results.
-CHUNKS, PIECES, PAIRS = 700_000, 300_000, 500_000
+#: Entries that half a cache may hold; a matter of memory, never of results.
+CHUNKS, PIECES, PAIRS = 250_000, 150_000, 300_000
 LIMIT = 512
 
 _SPACES = "\t-\r \x85\xa0"  # white space below U+0250, as the tokenizer library has it
@@ -90,15 +90,19 @@ class Pieces:
 
 
 class Kept(dict):
-    """A bounded cache of what ``make`` makes of stretches that lost their leading space."""
+    """A bounded cache of what ``make`` makes of a key. Full, it becomes the older half, of which what is asked for again moves up."""
 
     def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
-    def __missing__(self, chunk: str):
+    def __missing__(self, key: str):
+        made = self.older.get(key)
+        if made is None:
+            made = self.make(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        made = self[chunk] = self.make(f" {chunk}")
+        self[key] = made
         return made
 
 
@@ -124,8 +128,8 @@ class PrefixCounter(Pieces):
         for t, i in self.number.items():
             self._suffixes.add_word(t.decode("latin-1"), (i, len(t)))
         self._suffixes.make_automaton()
-        self._tables: dict[str, tuple[int, ...]] = {}
-        self._totals = Kept(self._chunk, CHUNKS)
+        self._tables = Kept(self._table, PIECES)
+        self._totals = Kept(lambda c: self._chunk(f" {c}"), CHUNKS)
 
     def _stable(self, left: int, right: int, below: int = 1 << 60) -> bool:
         """Whether no merge older than ``below`` crosses from one token into the other.
@@ -147,32 +151,30 @@ class PrefixCounter(Pieces):
 
     def piece_table(self, piece: str) -> tuple[int, ...]:
         """Number of tokens of every byte prefix of a pre-token: entry i is for the first i bytes."""
-        known = self._tables.get(piece)
-        if known is None:
-            data = piece.encode()
-            pairs, last, count, done = self._pairs, [-1], [0], 0
-            for at, (token, size) in self._suffixes.iter(data.decode("latin-1")):
-                begin = at + 1 - size
-                if at < done:  # this prefix has its last token
+        return self._tables[piece]
+
+    def _table(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode()
+        pairs, last, count, done = self._pairs, [-1], [0], 0
+        for at, (token, size) in self._suffixes.iter(data.decode("latin-1")):
+            begin = at + 1 - size
+            if at < done:  # this prefix has its last token
+                continue
+            if begin:
+                pair = last[begin] << 20 | token
+                good = pairs.get(pair)
+                if good is None:
+                    good = pairs[pair] = self._stable(last[begin], token)
+                if not good:
                     continue
-                if begin:
-                    pair = last[begin] << 20 | token
-                    good = pairs.get(pair)
-                    if good is None:
-                        good = pairs[pair] = self._stable(last[begin], token)
-                    if not good:
-                        continue
-                last.append(token)
-                count.append(count[begin] + 1)
-                done += 1
-            if done < len(data):
-                raise ValueError("the vocabulary lacks a byte")
-            if len(pairs) >= PAIRS:
-                pairs.clear()
-            if len(self._tables) >= PIECES:
-                self._tables.clear()
-            known = self._tables[piece] = tuple(count)
-        return known
+            last.append(token)
+            count.append(count[begin] + 1)
+            done += 1
+        if done < len(data):
+            raise ValueError("the vocabulary lacks a byte")
+        if len(pairs) >= PAIRS:
+            pairs.clear()
+        return tuple(count)
 
     def _chunk(self, chunk: str) -> int:
         return sum([self.piece_table(p)[-1] for p in self.pieces(chunk)])
