@@ -111,6 +111,30 @@ def test_mixing(docs):
     assert sum(r["length"] for r in mixed.collect()) == sum(r["taken"] for r in rows)
 
 
+def test_mixing_tiny_sources_beside_large_blocks(spark):
+    sizes = {"hot": [900] * 60, None: [700] * 20, "x3": [3], "x40": [7] * 5 + [5], "x300": [100] * 3, "x1000": [250] * 4, "empty": [0, 0]}
+    rows = [(100 * i + j, s, " ".join(["w"] * n)) for i, (s, ns) in enumerate(sizes.items()) for j, n in enumerate(ns)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken, mixed = mixing.mix(docs, slots=20)  # so a block has thousands of words, more than the small sources
+    rows, pieces = taken.collect(), mixed.collect()
+    by, met, at = defaultdict(int), defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        by[r["source"]] += r["taken"]
+    for p in pieces:
+        met[p["uid"]] += p["length"]
+        at[p["slot"]][p["source"]] += p["length"]
+    goals = {r["source"]: r["target"] for r in rows}
+    assert set(by) == set(sizes)
+    assert all(-1 < by[s] - t <= 1e-6 for s, t in goals.items())
+    assert {r["uid"]: r["taken"] for r in rows if r["taken"]} == dict(met)
+    assert sorted(at) == list(range(len(at))) and all(len(v) == 1 for v in at.values())
+    held, largest = defaultdict(int), {s: max((n[s] for n in at.values() if s in n), default=0) for s in goals}
+    for k, slot in enumerate(sorted(at)):
+        for s, n in at[slot].items():
+            held[s] += n
+        assert all(abs(held[s] - t * (k + 1) / len(at)) <= 3 * largest[s] + 0.15 * t for s, t in goals.items())
+
+
 def test_targets_water_filling(spark):
     sizes = [("a", 100), ("b", 1000), ("c", 10), ("d", 5000), (None, 40)]
     found = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
