@@ -165,6 +165,11 @@ def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.block_counts(decorated(spark, sf_dir)).select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("heading", "equation", "code", "table", "quote")])
 
 
+def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock phrases and French spacing over the whole of every document, all 25 patterns."""
+    return decorated(spark, sf_dir).select("doc_id", A.french_typography(A.remove_tics(F.col("md"))).alias("text"))
+
+
 def inline_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.inline_equations(decorated(spark, sf_dir))
 
@@ -173,4 +178,4 @@ def html_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES |= {"inline_equations": inline_equations, "html_import": html_import}
+QUERIES |= {"decontaminate_documents": decontaminate_documents, "inline_equations": inline_equations, "html_import": html_import}
