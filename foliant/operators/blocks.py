@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 _HEADING = re.compile(r"\s*(#{1,6})(?:[ \t]|$)")
 _RULE = re.compile(r"(?:-{3,}|\*{3,}|_{3,})$")
 _BULLET, _ORDERED = re.compile(r"\s*[-*+][ \t]"), re.compile(r"\s*\d+[.)][ \t]")
@@ -156,6 +159,44 @@ def block_counts(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFr
     return docs.select(key).join(counts, key, "left").fillna(0)
 
 
+def analysis(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
+    """(key, measures): what a whole document holds, a row for every row; a null text is empty.
+
+    Words, characters, lines (as text editors count them), reading minutes, images and links are native; outline (headings as
+    they stand, without the marks), equations, code blocks and their languages, lists, quotes, tables, rules, HTML
+    blocks and paragraphs come from the parser.
+    """
+    text = F.coalesce(F.col(md), F.lit(""))
+    words = T.word_count(text)
+    n_lines = F.size(T.lines(text)) - F.when((text == "") | F.endswith(text, F.lit("\n")), 1).otherwise(0)
+    scalars = {"words": words, "chars": F.length(text), "n_lines": n_lines, "reading_minutes": T.reading_minutes(words), "images": T.image_count(text), "links": T.link_count(text)}
+    native = list(scalars)
+    ready = docs.select(F.col(key), text.alias("_md"), *[c.cast("long").alias(n) for n, c in scalars.items()])
+    kinds = {"headings": "heading", "display_equations": "equation", "code_blocks": "code", "bullet_lists": "bullets", "ordered_lists": "ordered", "quotes": "quote", "tables": "table", "rules": "rule", "html_blocks": "html", "paragraphs": "paragraph"}
+    heading = pa.struct([("level", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for small in range(0, batch.num_rows, 256):
+                part = batch.slice(small, 256)
+                counts, inline, outlines, languages = {n: [] for n in kinds}, [], [], []
+                for text in part.column("_md").to_pylist():
+                    lines, found = text.split("\n"), parse_blocks(text)
+                    held = Counter(b[0] for b in found)
+                    for n, kind in kinds.items():
+                        counts[n].append(held[kind])
+                    outlines.append([{"level": level, "text": "\n".join(lines[a:b]).strip().lstrip("#").strip()} for kind, level, _, a, b in found if kind == "heading"])
+                    languages.append([info for kind, _, info, _, _ in found if kind == "code" and info])
+                    inline.append(sum(is_eq for kind, _, _, a, b in found if kind not in ("code", "equation") for is_eq, _ in split_inline("\n".join(lines[a:b]))))
+                total = [a + b for a, b in zip(counts["display_equations"], inline, strict=True)]
+                numbers = [pa.array(c, pa.int64()) for c in (*counts.values(), inline, total)]
+                yield pa.RecordBatch.from_arrays([part.column(key), *(part.column(n) for n in native), *numbers, pa.array(outlines, pa.list_(heading)), pa.array(languages, pa.list_(pa.string()))], names)
+
+    names = [key, *native, *kinds, "inline_equations", "equations", "outline", "languages"]
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:-2]) + ", outline array<struct<level: int, text: string>>, languages array<string>"
+    return ready.mapInArrow(run, schema)
+
+
 def equations(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
     """(key, ord, latex) of display equations, delimiters taken off; those of unclosed openers do not count."""
     body = F.regexp_replace(F.trim("content"), r"(?s)^(?:\$\$|\\\[)\s*(.*?)\s*(?:\$\$|\\\]).*$", "$1")

@@ -170,6 +170,11 @@ def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decorated(spark, sf_dir).select("doc_id", A.french_typography(A.remove_tics(F.col("md"))).alias("text"))
 
 
+def document_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures of whole documents, with the blocks of all ten kinds."""
+    return B.analysis(decorated(spark, sf_dir))
+
+
 def inline_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.inline_equations(decorated(spark, sf_dir))
 
@@ -178,4 +183,4 @@ def html_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES |= {"decontaminate_documents": decontaminate_documents, "inline_equations": inline_equations, "html_import": html_import}
+QUERIES |= {"decontaminate_documents": decontaminate_documents, "document_measures": document_measures, "inline_equations": inline_equations, "html_import": html_import}

@@ -6,6 +6,8 @@ from pathlib import Path
 
 from foliant import queries as q
 from foliant.functions import artifacts as A
+from foliant.operators import blocks as B
+from foliant.operators.blocks import parse_blocks, split_inline
 from foliant.plans.decorate import decorated
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -48,3 +50,35 @@ def test_decontaminate_equals_brute_force(spark):
     rows = decorated(spark, DATA).collect()
     assert len(found) == len(rows) > 0
     assert all(found[r["doc_id"]] == cleaned(r["md"]) for r in rows)
+
+
+def test_measures_by_hand(spark):
+    md = "# A # b {#x}\n\npara $x$ and \\(y\\)\nmore\n\n## Deep\n- a $z$\n- b\n\n1. c\n\n> q\n> r\n\n---\n\n| a |\n| - |\n\n```py\n$no$ ![x](y)\n```\n\n~~~\nx\n~~~\n\n$$\nE\n$$\n\n<div>\nh $v$\n</div>\n\n![i](p) [l](u)\n"
+    docs = spark.createDataFrame([(1, md), (2, None), (2, ""), (3, "a\nb")], "doc_id long, md string")
+    rows = sorted(B.analysis(docs).collect(), key=lambda r: (r["doc_id"], r["chars"]))
+    assert len(rows) == 4
+    r = rows[0].asDict(recursive=True)
+    assert r["outline"] == [{"level": 1, "text": "A # b {#x}"}, {"level": 2, "text": "Deep"}]
+    assert r["languages"] == ["py"]
+    wanted = {"headings": 2, "display_equations": 1, "inline_equations": 4, "equations": 5, "code_blocks": 2, "bullet_lists": 1, "ordered_lists": 1, "quotes": 1, "tables": 1, "rules": 1, "html_blocks": 1, "paragraphs": 2, "images": 2, "links": 1, "n_lines": md.count("\n"), "chars": len(md)}
+    assert {k: r[k] for k in wanted} == wanted
+    for empty in rows[1:3]:
+        assert all(empty[k] == 0 for k in empty.asDict() if k not in ("doc_id", "outline", "languages")) and not empty["outline"]
+    assert rows[3]["n_lines"] == 2 and rows[3]["paragraphs"] == 1
+
+
+def test_measures_equal_brute_force(spark):
+    found = {r["doc_id"]: r for r in q.QUERIES["document_measures"](spark, DATA).collect()}
+    rows = decorated(spark, DATA).collect()
+    assert len(found) == len(rows) > 0
+    names = {"heading": "headings", "equation": "display_equations", "code": "code_blocks", "bullets": "bullet_lists", "ordered": "ordered_lists", "quote": "quotes", "table": "tables", "rule": "rules", "html": "html_blocks", "paragraph": "paragraphs"}
+    for d in rows:
+        r, md = found[d["doc_id"]], d["md"]
+        blocks = parse_blocks(md)
+        assert sum(r[n] for n in names.values()) == len(blocks)
+        for kind, name in names.items():
+            assert r[name] == sum(b[0] == kind for b in blocks)
+        assert len(r["outline"]) == r["headings"] and r["equations"] == r["display_equations"] + r["inline_equations"]
+        texts = ["\n".join(md.split("\n")[b[3] : b[4]]) for b in blocks if b[0] not in ("code", "equation")]
+        assert r["inline_equations"] == sum(is_eq for t in texts for is_eq, _ in split_inline(t))
+        assert (r["chars"], r["images"], r["n_lines"]) == (len(md), md.count("!["), md.count("\n") + (not md.endswith("\n")))
