@@ -6,10 +6,15 @@ windows, joins and aggregates over those, keyed by document, so that all of it r
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..llm.common import with_uid
 
 
 def lines(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
@@ -68,6 +73,67 @@ def citations(docs: DataFrame, bib: DataFrame, key: str = "doc_id", md: str = "m
     return first.select(key, "cited", F.row_number().over(Window.partitionBy(key).orderBy("place")).cast("long").alias("number"))
 
 
+_CITED = re.compile(r"\[@|\\cite\{")
+
+
+def cited_groups(text: str, resolves: Callable[[list[str]], bool]) -> Iterator[list[str]]:
+    r"""The keys of each citation group, ``[@k; @k2]`` or ``\cite{a,b}``, in order, fences or not.
+
+    A group is closed by the next ] or }, over line ends. One that ``resolves`` is passed over whole; else the
+    search goes on right behind its opener.
+    """
+    at = 0
+    while found := _CITED.search(text, at):
+        pandoc, at = found[0] == "[@", found.end()
+        close = text.find("]" if pandoc else "}", at)
+        if close == -1:
+            continue
+        inner = text[at - 1 : close] if pandoc else text[at:close]
+        keys = [k.strip().lstrip("@").strip() if pandoc else k.strip() for k in inner.split("; " if pandoc else ",")]
+        keys = [k for k in keys if k]
+        yield keys
+        if keys and resolves(keys):
+            at = close + 1
+
+
+def citation_order(docs: DataFrame, bib: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
+    r"""(key, cited, number) by the whole rule: both forms of citation, numbered by first appearance.
+
+    In a group, keys before the first unknown one get numbers, those after it get none from this group. ``bib``
+    is not collected: each document gets the known ones among the keys that it could cite.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows, keys = [], []
+            for i, text in enumerate(part.column("md").to_pylist()):
+                for k in {k for group in cited_groups(text, lambda _: False) for k in group}:
+                    rows.append(i)
+                    keys.append(k)
+            yield pa.RecordBatch.from_arrays([part.column("uid").take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], ["uid", "cited"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows, keys, numbers = [], [], []
+            for i, (text, known) in enumerate(zip(part.column("md").to_pylist(), part.column("known").to_pylist(), strict=True)):
+                known, order = set(known), {}
+                for group in cited_groups(text, known.issuperset):
+                    for k in group:
+                        if k not in known:
+                            break
+                        order.setdefault(k, len(order) + 1)
+                rows += [i] * len(order)
+                keys += order
+                numbers += order.values()
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows, pa.int64())), pa.array(keys, pa.string()), pa.array(numbers, pa.int64())], [key, "cited", "number"])
+
+    citing = with_uid(docs.select(F.col(key).alias("key"), F.col(md).alias("md"))).where(F.contains("md", F.lit("[@")) | F.contains("md", F.lit("\\cite{")))
+    asked = citing.select("uid", "md").mapInArrow(candidates, "uid long, cited string")
+    known = asked.join(bib.select(F.col("key").alias("cited")).distinct(), "cited").groupBy("uid").agg(F.collect_set("cited").alias("known"))
+    return citing.join(known, "uid").select("key", "md", "known").mapInArrow(number, f"`{key}` {kind}, cited string, number long")
+
+
 def words(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
     """(key, word, n): lower-cased words of two letters or more in prose (no fences, inline code, inline math, tags, commands, link targets)."""
     prose = F.col("content")
@@ -83,10 +149,17 @@ def misspellings(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", md
 
 
 def suggestions(wrong: DataFrame, dictionary: DataFrame, most: int = 8) -> DataFrame:
-    """(word, suggestion, rank): the nearest dictionary words with the same first letter and nearly the same length."""
-    near = dictionary.select(F.col("word").alias("suggestion")).distinct().withColumn("f", F.left("suggestion", F.lit(1))).withColumn("len", F.length("suggestion"))
-    asked = wrong.select("word").distinct().withColumn("f", F.left("word", F.lit(1))).withColumn("len", F.explode(F.array(*[F.length("word") + d for d in (-1, 0, 1)])))
-    scored = asked.join(near, ["f", "len"]).withColumn("d", F.levenshtein("word", "suggestion")).where("d <= 2")
+    """(word, suggestion, rank): the nearest dictionary words within two edits, whatever their first letter.
+
+    A dictionary word is cut into three pieces; two edits leave one of them whole, moved by two places at
+    most. So words meet on a piece, its number and the dictionary word's length, and few have to be compared.
+    """
+    near = dictionary.select(F.col("word").alias("suggestion")).distinct().withColumn("len", F.length("suggestion"))
+    near = near.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)]))).withColumn("piece", F.expr("substring(suggestion, CAST((len * i) DIV 3 + 1 AS INT), CAST((len * (i + 1)) DIV 3 - (len * i) DIV 3 AS INT))"))
+    asked = wrong.select("word").distinct().withColumn("len", F.explode(F.array(*[F.length("word") + d for d in range(-2, 3)]))).where("len >= 0")
+    asked = asked.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)]))).withColumn("at", F.explode(F.expr("transform(sequence(-2, 2), d -> (len * i) DIV 3 + 1 + d)"))).where("at >= 1")
+    asked = asked.select("word", "len", "i", F.expr("substring(word, CAST(at AS INT), CAST((len * (i + 1)) DIV 3 - (len * i) DIV 3 AS INT))").alias("piece")).distinct()
+    scored = asked.join(near, ["len", "i", "piece"]).select("word", "suggestion").distinct().withColumn("d", F.levenshtein("word", "suggestion")).where("d <= 2")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("d", "suggestion")))
     return ranked.where(F.col("rank") <= most).select("word", "suggestion", F.col("rank").cast("long").alias("rank"))
 

@@ -175,6 +175,12 @@ def document_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.analysis(decorated(spark, sf_dir))
 
 
+def citation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r"""Numbers of cited keys by the whole rule, with \cite{a,b} and groups that end at an unknown key."""
+    bib = spark.sql("SELECT key FROM VALUES ('k0'), ('k1'), ('k2') AS b(key)")
+    return S.citation_order(decorated(spark, sf_dir), bib)
+
+
 def inline_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.inline_equations(decorated(spark, sf_dir))
 
@@ -183,4 +189,4 @@ def html_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES |= {"decontaminate_documents": decontaminate_documents, "document_measures": document_measures, "inline_equations": inline_equations, "html_import": html_import}
+QUERIES |= {"citation_order": citation_order, "decontaminate_documents": decontaminate_documents, "document_measures": document_measures, "inline_equations": inline_equations, "html_import": html_import}

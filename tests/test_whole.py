@@ -7,6 +7,7 @@ from pathlib import Path
 from foliant import queries as q
 from foliant.functions import artifacts as A
 from foliant.operators import blocks as B
+from foliant.operators import structure as S
 from foliant.operators.blocks import parse_blocks, split_inline
 from foliant.plans.decorate import decorated
 
@@ -82,3 +83,57 @@ def test_measures_equal_brute_force(spark):
         texts = ["\n".join(md.split("\n")[b[3] : b[4]]) for b in blocks if b[0] not in ("code", "equation")]
         assert r["inline_equations"] == sum(is_eq for t in texts for is_eq, _ in split_inline(t))
         assert (r["chars"], r["images"], r["n_lines"]) == (len(md), md.count("!["), md.count("\n") + (not md.endswith("\n")))
+
+
+def test_citation_order(spark):
+    cases = {
+        1: (r"\cite{b,a} then [@a; @c]", {"b": 1, "a": 2, "c": 3}),
+        2: ("[@a; @no; @b] and [@c]", {"a": 1, "c": 2}),  # the group ends at the unknown key
+        3: (r"[@no; @a] \cite{no,b} \cite{ c , a}", {"c": 1, "a": 2}),
+        4: (r"[@no \cite{b}] [@a]", {"b": 1, "a": 2}),  # a literal group's inside is read on
+        5: ("[@a;@b] [@b", {}),
+        6: ("```\n[@b]\n```\n\\cite{a,\nc}", {"b": 1, "a": 2, "c": 3}),
+        7: ("[@]; \\cite{} \\cite{", {}),
+        8: (None, {}),
+    }
+    docs = spark.createDataFrame([(k, md) for k, (md, _) in cases.items()], "doc_id long, md string")
+    bib = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "key string")
+    found = {}
+    for r in S.citation_order(docs, bib).collect():
+        found.setdefault(r["doc_id"], {})[r["cited"]] = r["number"]
+    assert found == {k: w for k, (_, w) in cases.items() if w}
+
+
+def test_citation_order_on_the_documents(spark):
+    found = sorted((r["doc_id"], r["cited"], r["number"]) for r in q.QUERIES["citation_order"](spark, DATA).collect())
+    wanted = []
+    for r in decorated(spark, DATA).collect():
+        k = r["doc_id"] % 4
+        wanted += [] if k == 3 else [(r["doc_id"], f"k{k}", 1)] + [(r["doc_id"], "k1", 2)] * (k != 1)
+        assert r["md"].count("[@") == 1 and "\\cite{" not in r["md"]
+    assert found == sorted(wanted)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_suggestions_miss_no_word_within_two_edits(spark):
+    import random
+
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    known = sorted({make(rng.randint(1, 9)) for _ in range(250)} | {"hello", "abcdefgh"})
+    wrong = sorted({make(rng.randint(1, 10)) for _ in range(60)} | {"jello", "ello", "abcdefghij", "cdefgh", "a"})
+    found = {(r["word"], r["suggestion"], r["rank"]) for r in S.suggestions(spark.createDataFrame([(w,) for w in wrong], "word string"), spark.createDataFrame([(w,) for w in known], "word string"), most=1000).collect()}
+    wanted = set()
+    for w in wrong:
+        near = sorted((d, s) for s in known if (d := distance(w, s)) <= 2)
+        wanted |= {(w, s, k) for k, (_, s) in enumerate(near, 1)}
+    assert found == wanted
+    assert {("jello", "hello"), ("ello", "hello"), ("abcdefghij", "abcdefgh"), ("cdefgh", "abcdefgh")} <= {x[:2] for x in found}
