@@ -127,10 +127,15 @@ def csv_table(text: Column) -> Column:
     """CSV or TSV text as a pipe table: a tab anywhere makes tabs the delimiter; quotes are dropped."""
     rows = F.filter(lines(F.replace(text, F.lit("\r"), F.lit(""))), lambda x: F.trim(x) != "")
     cells = F.transform(rows, lambda r: F.transform(F.when(F.contains(text, F.lit("\t")), F.split(r, "\t")).otherwise(F.split(r, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))))
-    width = F.array_max(F.transform(cells, F.size))
-    padded = F.transform(cells, lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |")))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    return F.array_join(F.concat(F.slice(padded, 1, 1), F.array(rule), F.slice(padded, 2, 1_000_000)), "\n")
+
+    def padded(rows: Column, width: Column) -> Column:
+        lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |")))
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+        return once(lines, lambda x: F.array_join(F.concat(F.slice(x, 1, 1), F.array(rule), F.slice(x, F.lit(2), F.size(x))), "\n"))
+
+    # the cells and the width are made once, not for every row
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    return once(cells, lambda rows: once(F.array_max(F.transform(rows, F.size)), lambda width: padded(rows, width)))
 
 
 def output_name(path: Column, extension: str, prefix: str = "", suffix: str = "") -> Column:

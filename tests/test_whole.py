@@ -5,7 +5,10 @@ import re
 from pathlib import Path
 
 from foliant import queries as q
+from pyspark.sql import functions as F
+
 from foliant.functions import artifacts as A
+from foliant.functions import text as T
 from foliant.operators import blocks as B
 from foliant.operators import structure as S
 from foliant.operators.blocks import parse_blocks, split_inline
@@ -137,3 +140,10 @@ def test_suggestions_miss_no_word_within_two_edits(spark):
         wanted |= {(w, s, k) for k, (_, s) in enumerate(near, 1)}
     assert found == wanted
     assert {("jello", "hello"), ("ello", "hello"), ("abcdefghij", "abcdefgh"), ("cdefgh", "abcdefgh")} <= {x[:2] for x in found}
+
+
+def test_csv_table_keeps_every_row(spark):
+    docs = spark.range(1).select(F.concat(F.lit("h\n"), F.repeat(F.lit("r\n"), F.lit(1_000_500)), F.lit("last")).alias("t"))
+    md = docs.select(T.csv_table(F.col("t")).alias("md"))
+    assert md.select(F.size(F.split("md", "\n")), F.right("md", F.lit(8))).first() == (1_000_503, "| last |")
+    assert spark.createDataFrame([("a,b",), ("",)], "t string").select(T.csv_table(F.col("t"))).collect()[0][0] == "| a | b |\n| --- | --- |"
