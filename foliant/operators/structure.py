@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..llm.common import with_uid
+from ..rows import with_uid
 
 
 def lines(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
