@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..rows import replayable, shared_folder, spread_join, stash, with_uid
+
+__all__ = ["SLICE_BYTES", "WORD", "kept", "n_words", "release", "replayable", "shared_folder", "slices", "spread_join", "stash", "table", "with_uid"]
+
 #: A word is a maximal run of anything but space, \t, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,40 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where it names
-    none (tests) a temporary one is set. Spark removes the files once nothing refers to them
-    if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-"))
-    return df.checkpoint(eager=True)
-
-
-#: Plan nodes that give the same rows in the same order whenever they run again, and whatever columns are read.
-_STEADY = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "LocalRelation", "LogicalRDD", "DataSourceV2Relation", "Union"}
-
-
-def replayable(df: DataFrame) -> DataFrame:
-    """The rows in an order that every evaluation repeats: plain scans and checkpoints as they are, all else checkpointed once."""
-    left = [df._jdf.queryExecution().analyzed()]
-    while left:
-        node = left.pop()
-        if node.getClass().getSimpleName() not in _STEADY:
-            return stash(df)
-        left += [node.children().apply(i) for i in range(node.children().size())]
-    return df
-
-
-def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
-    """A row number that is the same in every evaluation."""
-    return replayable(df).withColumn(name, F.monotonically_increasing_id())
-
-
 def n_words(text="text"):
     """Number of words of a text column, natively; null counts as 0."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
