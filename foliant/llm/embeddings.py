@@ -6,7 +6,9 @@ order) until the share of neighbours at the threshold that must be found is reac
 is measured on the sample, with neighbours made right at the threshold, the hardest there are. Every
 candidate is verified by its cosine in double precision. Vectors compare only within their label.
 
-Codebooks are fitted on a bounded sample; all rows are indexed and all rows search.
+Codebooks grow with the square root of the number of vectors of a label, each size of vectors has its own, and they are fitted on
+a sample of EACH vectors for every centroid, at most EACH * CENTROIDS = 65,536 for a size; all rows are indexed and all
+rows search. A grid of CENTROIDS squared is full at some two billion vectors of a label; beyond, cells hold more.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, with_uid
+from .common import spread_join, stash, table, with_uid
 from .graph import components
 
-LEAST, RECALL = 0.93, 0.995
-#: Vectors that codebooks are fitted on, and centroids of each at most.
-SAMPLE, CENTROIDS = 16_000, 256
+LEAST, RECALL = 0.93, 0.98
+#: Centroids of a codebook at most; sampled vectors for each centroid, and in any case (of the largest size of vectors).
+CENTROIDS, EACH, SAMPLE = 4096, 16, 4000
 #: Vectors of a cell and label that the size of the codebooks aims at; residents of a block; visitors of one.
-FILL, RESIDENTS, VISITORS = 32, 2048, 16_384
+FILL, RESIDENTS, VISITORS = 128, 2048, 16_384
 
 
 def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +39,8 @@ def codebook(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means by Lloyd's rounds; an empty centroid stays where it is."""
     centres = x[np.sort(rng.choice(len(x), min(k, len(x)), replace=False))]
     for _ in range(10):
-        near = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+        norms = (centres**2).sum(1)
+        near = np.concatenate([(norms - 2 * x[i : i + 2048] @ centres.T).argmin(1) for i in range(0, len(x), 2048)])
         order = np.argsort(near, kind="stable")
         begins = np.searchsorted(near[order], np.arange(len(centres)))
         full = np.flatnonzero(np.diff(np.append(begins, len(x))))
@@ -81,8 +84,11 @@ class Index:
         With both halves' centroids sorted by distance, the k-th nearest cell is at places (i, j) with
         (i + 1) * (j + 1) <= k: only those are looked at.
         """
-        first, second = self._far(x)
-        order1, order2 = (np.argsort(d, axis=1, kind="stable")[:, : self.visits] for d in (first, second))
+        orders = []
+        for far in self._far(x):
+            few = np.argpartition(far, self.visits - 1, axis=1)[:, : self.visits] if self.visits < far.shape[1] else np.tile(np.arange(far.shape[1]), (len(x), 1))
+            orders.append((far, np.take_along_axis(few, np.argsort(np.take_along_axis(far, few, 1), axis=1, kind="stable"), 1)))
+        (first, order1), (second, order2) = orders
         first, second = np.take_along_axis(first, order1, 1), np.take_along_axis(second, order2, 1)
         i, j = np.array([(a, b) for a in range(order1.shape[1]) for b in range(order2.shape[1]) if (a + 1) * (b + 1) <= self.visits], np.int64).T
         best = np.argsort(first[:, i] + second[:, j], axis=1, kind="stable")[:, : self.visits]
@@ -90,25 +96,35 @@ class Index:
         return order1[rows, i[best]] * self.columns + order2[rows, j[best]]
 
 
-def unit(payloads: list[bytes], size: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(payloads), np.float64).reshape(-1, size)
+def unit(payloads: list[bytes], size: int, kind: str) -> np.ndarray:
+    """Vectors of length 1 in double precision out of their bytes (kind f4 or f8)."""
+    x = np.frombuffer(b"".join(payloads), kind).reshape(-1, size).astype(np.float64)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def links(v: dict[str, np.ndarray], r: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of visitors and residents that link here: class, number of links (with copies), least class of their component here.
 
-    A pair counts if the visitor's search reaches the resident's cell; if the resident's reaches the
-    visitor's as well, only at the search of the lower class.
+    Cell by cell, the visitors that search it meet its residents. A pair counts if the visitor's search reaches the
+    resident's cell; if the resident's reaches the visitor's as well, only at the search of the lower class.
     """
-    i, j = np.nonzero(v["x"] @ r["x"].T >= least)
-    reach = lambda seen, cell: (seen == cell[:, None]).any(1)
-    ok = np.zeros(len(i), bool)
-    for at in range(0, len(i), 1 << 17):
-        p, q = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
-        first = v["cls"][p] < r["cls"][q]
-        ok[at : at + (1 << 17)] = (v["cls"][p] != r["cls"][q]) & reach(v["seen"][p], r["cell"][q]) & (first | ~reach(r["seen"][q], v["cell"][p]))
-    i, j = i[ok], j[ok]
+    order = np.argsort(r["cell"], kind="stable")
+    cells, begins = np.unique(r["cell"][order], return_index=True)
+    ends, pairs = np.append(begins[1:], len(order)), []
+    for cell, begin, end in zip(cells, begins, ends, strict=True):
+        some = np.flatnonzero((v["seen"] == cell).any(1))
+        if not len(some):
+            continue
+        own = order[begin:end]
+        i, j = np.nonzero(v["x"][some] @ r["x"][own].T >= least)
+        i, j = some[i], own[j]
+        back = np.zeros(len(i), bool)
+        for at in range(0, len(i), 1 << 17):
+            p, q = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+            back[at : at + (1 << 17)] = (r["seen"][q] == v["cell"][p][:, None]).any(1)
+        ok = (v["cls"][i] != r["cls"][j]) & ((v["cls"][i] < r["cls"][j]) | ~back)
+        pairs.append((i[ok], j[ok]))
+    i, j = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
     left, right = v["cls"].copy(), r["cls"].copy()
     while True:
         before = left.copy(), right.copy()
@@ -127,66 +143,62 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, recall: float = RECAL
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with nothing.
     Vectors of different sizes do not link. Equal vectors of a label are one class: it searches once and counts for all, so
     copies are never compared among themselves. A component's id is the least key in it; ``kept`` marks rows that
-    have it (never a null key). An empty table gives an empty one; other columns are not read.
+    have it (never a null key), so that of rows that tie in the least key all are kept. Vectors of any length are compared whole. An empty table gives an empty one; other columns are not read.
 
     A vector goes, once, to each first-half centroid among its cells, where the residents of its cells wait in blocks of
     bounded size; visitors stream by, so that a task holds one block and one batch. Hot blocks are split on both sides.
     Links are counted where they are found (a pair that both sides find counts at the lower id's search);
     of the links themselves only a spanning forest for each block leaves it.
     """
+    exact = vectors.schema[vector].dataType.simpleString() == "array<float>"  # then four bytes a component lose nothing
+    kind = "<f4" if exact else "<f8"
     rows = with_uid(vectors.select(vectors[key].alias("key"), vectors[vector].cast("array<double>").alias("vector"), vectors[label].cast("string").alias("label")))
     good = F.col("label").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
-    named = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("cls", F.when(F.col("good"), F.xxhash64("label", "vector")))
-    classes = named.where("good").groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "label", "vector")).alias("one"))
+    named = rows.withColumn("good", F.coalesce(good, F.lit(False))).where("good").select("uid", "key", "label", "vector", F.xxhash64("label", "vector").alias("cls"), F.xxhash64(F.lit(1), "vector", "label").alias("proof"))
+    # equal vectors of a label (two hashes together: 2**128 values) are one class, which goes by its first row's number
+    kinds = stash(named.groupBy("cls", "proof").agg(F.count("*").alias("copies"), F.min("uid").alias("node"), F.min("key").alias("least")))
+    first = named.join(kinds.select(F.col("node").alias("uid"), "copies"), "uid").select(F.col("uid").alias("cls"), "copies", "label", "vector")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("vector")
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum([0, *lists.value_lengths().to_pylist()])
             payloads = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "copies", "label", "size")), pa.array(payloads, pa.binary())], ["cls", "copies", "label", "size", "payload"])
 
-    # scaled by its largest component, a vector's length can neither overflow nor vanish
-    scaled = classes.select("cls", "copies", "one.label", F.transform("one.vector", lambda v: v / F.array_max(F.transform("one.vector", F.abs))).alias("vector")).withColumn("size", F.size("vector"))
-    packed = stash(scaled.mapInArrow(pack, "cls long, copies long, label string, size int, payload binary"))
-    sample: dict[int, list[bytes]] = {}
-    for r in packed.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("size", "payload").collect():
-        sample.setdefault(r["size"], []).append(r["payload"])
-    counts = packed.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    k = int(min(CENTROIDS, max(4, round((counts[0] / max(1, counts[1]) / fill) ** 0.5))))
-    # sizes that the sample lacks, or nearly, have one cell, which holds all of their vectors
-    books = {size: Index(unit(v, size), k, least, recall) for size, v in sample.items() if len(v) >= 4 * k and size > 1}
+    # scaled by its largest component, the length of a vector of doubles can neither overflow nor vanish
+    scaled = F.col("vector") if exact else F.transform("vector", lambda v: v / F.array_max(F.transform("vector", F.abs)))
+    packed = stash(first.select("cls", "copies", "label", F.size("vector").alias("size"), scaled.alias("vector")).mapInArrow(pack, "cls long, copies long, label string, size int, payload binary"))
+    books = _books(packed, kind, fill, least, recall)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
                 sizes, payloads = part.column("size").to_pylist(), part.column("payload").to_pylist()
-                out: list[list] = [[] for _ in range(4)]
+                own, seen, rows = ([None] * len(sizes) for _ in range(3))
                 for size in set(sizes):
                     which = [i for i, s in enumerate(sizes) if s == size]
                     index = books.get(size)
-                    cells = index.visit(unit([payloads[i] for i in which], size)) if index else np.zeros((len(which), 1), np.int64)
-                    for i, own in zip(which, cells, strict=True):
-                        rows, seen = own // (index.columns if index else 1), np.sort(own).astype(np.int32).tobytes()
-                        for row in np.unique(rows):
-                            for column, value in zip(out, (i, int(row), int(own[0]), seen), strict=True):
-                                column.append(value)
-                take = pa.array(out[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("cls", "copies", "label", "size", "payload")), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["cls", "copies", "label", "size", "payload", "row", "cell", "seen"])
-
-    routed = packed.mapInArrow(route, "cls long, copies long, label string, size int, payload binary, row int, cell int, seen binary")
-    width = {size: index.columns for size, index in books.items()}
-    columns = F.coalesce(F.create_map(*[F.lit(x) for pair in width.items() for x in pair])[F.col("size")], F.lit(1)) if width else F.lit(1)
-    placed = routed.withColumn("home", F.floor(F.col("cell") / columns) == F.col("row"))
-    crowd = placed.groupBy("label", "size", "row").agg(F.count(F.when(F.col("home"), 1)).alias("residents"), F.count("*").alias("visitors")).where("residents > 0")
-    crowd = crowd.select("label", "size", "row", F.ceil(F.col("residents") / RESIDENTS).cast("int").alias("blocks"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("flows"))
-    met = placed.join(crowd, ["label", "size", "row"])
+                    cells = index.visit(unit([payloads[i] for i in which], size, kind)) if index else np.zeros((len(which), 1), np.int64)
+                    for i, found in zip(which, cells, strict=True):
+                        places = found // (index.columns if index else 1)
+                        own[i], seen[i], rows[i] = int(found[0]), np.sort(found).astype(np.int32).tobytes(), [int(places[0]), *(int(x) for x in np.unique(places) if x != places[0])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cls", "copies", "label", "size")), pa.array(own, pa.int32()), pa.array(seen, pa.binary()), pa.array(rows, pa.list_(pa.int32()))], ["cls", "copies", "label", "size", "cell", "seen", "rows"])
+
+    # where vectors live and search, without the vectors themselves: the home row comes first
+    routed = stash(packed.mapInArrow(route, "cls long, copies long, label string, size int, cell int, seen binary, rows array<int>"))
+    placed = routed.select("cls", "label", "size", F.posexplode("rows").alias("nth", "row")).withColumn("home", F.col("nth") == 0).drop("nth")
+    crowd = placed.groupBy("label", "size", "row").agg(F.count_if("home").alias("residents"), F.count("*").alias("visitors")).where("residents > 0")
+    crowd = crowd.select("label", "size", "row", "visitors", F.ceil(F.col("residents") / RESIDENTS).cast("int").alias("blocks"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("flows"))
+    met = spread_join(placed, crowd, ["label", "size", "row"], "visitors", F.col("cls"), placed.count())
     share = lambda salt, n: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
-    visitors = met.select("*", F.lit(False).alias("stays"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), share(1, "flows").alias("flow"))
-    residents = met.where("home").select("*", F.lit(True).alias("stays"), share(2, "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("flows") - 1)).alias("flow"))
     place = ["label", "size", "row", "block", "flow"]
-    ordered = visitors.unionByName(residents).repartition(*place).sortWithinPartitions(*place, F.col("stays").desc())
+    at = ["cls", "label", "size", "row", "stays", "block", "flow"]
+    visitors = met.select("*", F.lit(False).alias("stays"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), share(1, "flows").alias("flow")).select(*at)
+    residents = met.where("home").select("*", F.lit(True).alias("stays"), share(2, "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("flows") - 1)).alias("flow")).select(*at)
+    whole = packed.select("cls", "payload").join(routed.select("cls", "copies", "cell", "seen"), "cls")
+    ordered = visitors.unionByName(residents).join(whole, "cls").repartition(*place).sortWithinPartitions(*place, F.col("stays").desc())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, here = None, None
@@ -197,7 +209,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, recall: float = RECAL
                 cuts = [0, *(i for i in range(1, len(tags)) if tags[i] != tags[i - 1]), len(tags)]
                 for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
                     *tag, stays = tags[begin]
-                    group = _loaded(part.slice(begin, end - begin), tag[1])
+                    group = _loaded(part.slice(begin, end - begin), tag[1], kind)
                     if stays:  # a block may come in several pieces
                         here = {c: np.concatenate([here[c], group[c]]) for c in group} if at == tag else group
                         at = tag
@@ -206,19 +218,39 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, recall: float = RECAL
 
     found = stash(ordered.select(*place, "stays", "cls", "copies", "cell", "payload", "seen").mapInArrow(search, "cls long, links long, root long"))
     parts = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    degree = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    totals = packed.select("cls", "copies").join(degree, "cls", "left").join(parts, F.col("cls") == F.col("node"), "left")
-    totals = totals.select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("root", "cls").alias("part"))
-    joined = named.select("uid", "key", "cls").join(totals, "cls", "left")
-    ids = joined.where("part IS NOT NULL").groupBy(F.col("part").alias("p")).agg(F.min("key").alias("least"))
-    final = joined.join(ids, F.col("part") == F.col("p"), "left")
-    component = F.when(F.col("part").isNull(), F.col("key")).otherwise(F.col("least"))
-    return final.select("uid", F.col("key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
-
-
-def _loaded(part: pa.RecordBatch, size: int) -> dict[str, np.ndarray]:
+    degree = found.groupBy(F.col("cls").alias("d")).agg(F.sum("links").alias("links"))
+    # components of classes first, then of rows, so that only one join has a row for each vector
+    told = kinds.join(degree, F.col("node") == F.col("d"), "left").join(parts.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    told = told.select("cls", "proof", "node", "copies", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("root", "node").alias("part"))
+    ids = told.groupBy("part").agg(F.min("least").alias("component"), F.count("*").alias("classes"))
+    sizes = kinds.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    final = spread_join(told.drop("least"), ids, ["part"], "classes", F.col("node"), sizes[0]).select("cls", "proof", "copies", "n", "component")
+    joined = spread_join(named.select("uid", "key", "cls", "proof"), final, ["cls", "proof"], "copies", F.col("uid"), sizes[1])
+    linked = joined.select("uid", F.col("key").alias(key), F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"))
+    alone = rows.where(~F.coalesce(good, F.lit(False))).select("uid", F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.col("key").isNotNull().alias("kept"))
+    return linked.unionByName(alone)
+
+
+def _books(packed: DataFrame, kind: str, fill: int, least: float, recall: float) -> dict[int, Index]:
+    """An index for each size of vectors that fills more than one cell, fitted on a sample by hash; sizes without one have a single cell."""
+    sizes = packed.groupBy("size").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).where("size > 1").collect()
+    total, wanted = sum(r["n"] for r in sizes), {}
+    for r in sizes:
+        k = int(min(CENTROIDS, round((r["n"] / max(1, r["labels"]) / fill) ** 0.5)))
+        if k > 1:
+            wanted[r["size"]] = (k, min(1.0, max(EACH * k, SAMPLE * r["n"] // total) / r["n"]))
+    if not wanted:
+        return {}
+    share = F.create_map(*[F.lit(x) for size, (_, part) in wanted.items() for x in (size, int(part * (1 << 30)))])[F.col("size")]
+    drawn: dict[int, list] = {}
+    for r in packed.where(F.pmod(F.xxhash64(F.lit(7), "cls"), F.lit(1 << 30)) < share).select("size", "cls", "payload").collect():
+        drawn.setdefault(r["size"], []).append((r["cls"], r["payload"]))
+    return {size: Index(unit([p for _, p in sorted(found)], size, kind), wanted[size][0], least, recall) for size, found in drawn.items()}
+
+
+def _loaded(part: pa.RecordBatch, size: int, kind: str) -> dict[str, np.ndarray]:
     group = {c: part.column(c).to_numpy() for c in ("cls", "copies", "cell")}
-    return group | {"x": unit(part.column("payload").to_pylist(), size), "seen": np.stack([np.frombuffer(s, np.int32) for s in part.column("seen").to_pylist()])}
+    return group | {"x": unit(part.column("payload").to_pylist(), size, kind), "seen": np.stack([np.frombuffer(s, np.int32) for s in part.column("seen").to_pylist()])}
 
 
 def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

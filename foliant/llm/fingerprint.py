@@ -11,6 +11,7 @@ estimate how alike (Jaccard) the texts' sets of spans are.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_uid
+from .common import stash, table, with_uid
 from .wordhash import mix
 
 U = np.uint64
@@ -26,8 +27,8 @@ P = (U(2**31 - 1), U(2**31 - 19))
 BASES = (U(1_103_515_245 % (2**31 - 1)), U(1_664_525))
 #: Code points of a span, and the number of least span hashes that a fingerprint holds.
 WIDTH, LEAST = 16, 64
-#: Text bytes that one task orders, about.
-PART_BYTES = 48 << 20
+#: Text bytes that one task orders, about, up to so many tasks; rows of a range of keys.
+PART_BYTES, PARTS, RANGE_ROWS = 16 << 20, 100_000, 1_000_000
 
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -164,33 +165,68 @@ def compare(text: str, own: Prefixes, mark: str, following: str, then: Prefixes,
     return {"n_chars": own.n, "edited_sha256": hashlib.sha256(data).hexdigest(), "fingerprint": mark, "edited_fingerprint": edited_mark, "near_edited": likeness(mark, edited_mark), "near_next": likeness(mark, next_mark), "common_next": own.common(0, then, 0)}
 
 
+def _heads(rows: DataFrame) -> list[tuple]:
+    """(key, uid) of the first row of each part, in order: parts follow one another by descending key and hold about as many bytes each.
+
+    Only keys, row numbers and sizes are ordered, by ranges; running sums over the ranges say where a part begins. One pair comes to
+    the driver for each part.
+    """
+    kind = rows.schema["key"].dataType.simpleString()
+    order = [F.col("key").desc_nulls_last(), F.col("uid").asc()]
+    small = rows.select("key", "uid", (F.octet_length("text") + 64).cast("long").alias("size"))
+    stats = small.agg(F.count("*"), F.sum("size")).first()
+    least = max(PART_BYTES, (stats[1] or 0) // PARTS)
+    ranged = stash(small.repartitionByRange(1 + stats[0] // RANGE_ROWS, *order).sortWithinPartitions(*order)).withColumn("range", F.spark_partition_id())
+    sums = {r["range"]: r["size"] for r in ranged.groupBy("range").agg(F.sum("size").alias("size")).collect()}
+    before, begin = {}, 0
+    for k in sorted(sums):
+        before[k], begin = begin, begin + sums[k]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, last, seen = 0, -1, 0
+        for batch in batches:
+            sizes = batch.column("size").to_numpy()
+            upto = before[batch.column("range")[0].as_py()] + done + np.cumsum(sizes) - sizes if len(sizes) else sizes
+            part = upto // least
+            new = np.flatnonzero(np.diff(part, prepend=last))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(new)) for c in ("key", "uid", "range")] + [pa.array(part[new], pa.int64()), pa.array(new + seen, pa.int64())], ["key", "uid", "range", "part", "at"])
+            if len(sizes):
+                done, last, seen = done + int(sizes.sum()), part[-1], seen + len(sizes)
+
+    found = sorted(ranged.mapInArrow(first, f"key {kind}, uid long, range int, part long, at long").collect(), key=lambda r: (r["part"], r["range"], r["at"]))
+    return [(r["key"], r["uid"]) for i, r in enumerate(found) if not i or r["part"] != found[i - 1]["part"]]
+
+
+def _placed(rows: DataFrame, heads: list[tuple]) -> DataFrame:
+    """Adds ``part`` and ``extra``: each row in its part, and each part's first row in the part before it as well (the very first in the last)."""
+    known = sorted((key, -uid) for key, uid in heads if key is not None)
+    blank = sorted(uid for key, uid in heads if key is None)
+    number = {uid: i for i, (_, uid) in enumerate(heads)}
+
+    @F.udf("array<int>", useArrow=True)
+    def parts(key, uid: int) -> list[int]:
+        at = len(known) + bisect_right(blank, uid) if key is None else len(known) - bisect_left(known, (key, -uid))
+        return [at - 1, (at - 2) % len(heads)] if uid in number else [at - 1]
+
+    return rows.select("*", F.posexplode(parts("key", "uid")).alias("copy", "part")).withColumn("extra", F.col("copy") > 0).drop("copy")
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_next) for every row.
 
-    Rows are taken by descending key (null keys last, repeated keys by row number); a row's next
-    is the one that follows, the last row's is the first. A single row is its own next. A null text counts as empty.
+    Rows are taken by descending key of any type that has an order (null keys last, repeated keys by row number); a row's next
+    is the one that follows, the last row's is the first. A single row is its own next. A null text counts as empty, a very long one is
+    hashed whole. An empty table gives an empty one; other columns are not read.
     ``common_next`` is the longest common prefix with the next text, by binary search over the prefix arrays.
 
-    One shuffle: rows are dealt by key ranges (bounds from percentiles of the key), and each range's first row
-    goes along with the range before it as well, so that each task reads its rows and their successors
+    Texts are shuffled once: rows are dealt to parts of about equal bytes (PART_BYTES, and beyond PARTS parts as much more as it needs), whatever
+    their keys, and each part's first row goes along with the part before it as well, so that each task reads its rows and their successors
     in one ordered stream. A task holds one batch and one text's arrays.
     """
     kind, narrow = docs.schema[key].dataType.simpleString(), f"`{key}`"
     rows = with_uid(docs.select(docs[key].alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")))
-    size = rows.agg(F.sum(F.octet_length("text")), F.count("key")).first()
-    n = max(1, min(4096, -(-(size[0] or 0) // PART_BYTES)))
-    bounds = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 and size[1] else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    edges = F.array(*[F.lit(b).cast(kind) for b in bounds]) if bounds else None
-    # parts by descending key; null keys follow all others
-    part = F.coalesce(F.size(F.filter(edges, lambda b: b > F.col("key"))), F.lit(len(bounds) + 1)) if bounds else F.when(F.col("key").isNull(), 1).otherwise(0)
-    part = F.when(F.col("key").isNull(), F.lit(len(bounds) + 1)).otherwise(part)
-    dealt = rows.withColumn("part", part)
-    heads = dealt.groupBy("part").agg(F.max(F.struct("key", (-F.col("uid")).alias("order"))).alias("head")).select("part", (-F.col("head.order")).alias("uid")).orderBy("part").collect()
-    before = {h["uid"]: heads[i - 1]["part"] for i, h in enumerate(heads)}  # the first range's head follows the last row
-    also = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("uid")] if before else F.lit(None).cast("int")
-    copies = dealt.select("key", "text", "uid", F.col("part"), F.lit(False).alias("extra")).unionAll(dealt.where(F.col("uid").isin(list(before))).select("key", "text", "uid", also.alias("part"), F.lit(True).alias("extra"))) if before else dealt.withColumn("extra", F.lit(False))
-    ordered = copies.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "extra", F.col("key").desc_nulls_last(), "uid")
+    heads = _heads(rows)
+    ordered = _placed(rows, heads).repartitionById(max(1, len(heads)), "part").sortWithinPartitions("part", "extra", F.col("key").desc_nulls_last(), "uid")
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_next"]
     kinds = dict(zip(names, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices, stash, table, with_uid
+from .common import release, slices, spread_join, stash, table, with_uid
 from .graph import components
 from .wordhash import mix, span_sums, spans, words_of
 
@@ -100,16 +100,17 @@ def _sketched(rows: DataFrame, k: int) -> DataFrame:
         release()
         for part, texts in slices(batches):
             hashes, at = shingles(texts, k)
-            n, cls, marks = [], [], []
+            n, cls, proof, marks = [], [], [], []
             for i in range(len(texts)):
                 own = np.unique(hashes[at[i] : at[i + 1]])
                 n.append(len(own))
                 with np.errstate(over="ignore"):
                     cls.append(int(mix(np.array([own.sum(dtype=U) ^ (np.bitwise_xor.reduce(own) * U(0x9E3779B97F4A7C15)) ^ U(len(own))]))[0] >> U(1)) if len(own) else None)
+                    proof.append(int(mix(own ^ U(0xD1B54A32D192ED03)).sum(dtype=U) >> U(1)) if len(own) else None)
                 marks.append(sketch(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(marks, pa.binary())], ["uid", "key", "n", "cls", "marks"])
+            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(proof, pa.int64()), pa.array(marks, pa.binary())], ["uid", "key", "n", "cls", "proof", "marks"])
 
-    return rows.mapInArrow(run, f"uid long, key {rows.schema['key'].dataType.simpleString()}, n long, cls long, marks binary")
+    return rows.mapInArrow(run, f"uid long, key {rows.schema['key'].dataType.simpleString()}, n long, cls long, proof long, marks binary")
 
 
 def _bands(classes: DataFrame, width: int) -> DataFrame:
@@ -196,7 +197,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
 
     The members of a star travel to its centre, in groups of about STAR, and are compared as they stream by.
     """
-    sized = pairs.join(pairs.groupBy(F.col("a").alias("a_")).agg(F.count("*").alias("many")), F.col("a") == F.col("a_"))
+    sized = spread_join(pairs, pairs.groupBy("a").agg(F.count("*").alias("many")), ["a"], "many", F.col("b"), pairs.count())
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / STAR)).cast("long")
     members = sized.select("a", salt.alias("salt"), F.col("b").alias("cls"), F.lit(False).alias("centre"))
     centres = members.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("cls"), F.lit(True).alias("centre"))
@@ -229,44 +230,52 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a set holds the distinct runs of k words,
     or the whole of fewer. Null, empty and blank texts have no set, link with nothing and keep their own key as component. A component's
     id is the least key in it; ``kept`` marks the rows that have it. Rows with a null key take part and are
-    never kept; where nothing else is in a component, its id is null. ``chosen`` marks exactly one row of each component, and every row without a set. Repeated rows link with one another. An empty table gives an empty one; other columns are not read.
+    never kept; where nothing else is in a component, its id is null. ``chosen`` marks exactly one row of each component (of those that tie in
+    the key, the first by row number), and every row without a set. Repeated rows link with one another. Texts of any length are sketched and compared whole. An
+    empty table gives an empty one; other columns are not read.
     """
     least, width = num / den, band_width(num / den)
     rows = with_uid(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")))
     marked = stash(_sketched(rows, k))
     named = marked.where("n > 0")
-    first = named.groupBy("cls").agg(F.min("uid").alias("uid"))
-    classes = stash(named.join(first.select("uid"), "uid", "left_semi").select("uid", "cls", "n", "marks"))
+    # rows with equal sets (two hashes of the set together: some 2**126 values) are one class, which goes by its first row's number
+    best = F.struct(F.col("key").isNull().alias("blank"), "key", "uid")
+    kinds = stash(named.groupBy("cls", "proof").agg(F.min("uid").alias("node"), F.count("*").alias("rows"), F.min("key").alias("least"), F.min(best).alias("best")))
+    classes = stash(named.join(kinds.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cls"), "n", "marks"))
+    sizes = kinds.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     bands = _bands(classes, width)
     shared = bands.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
-    # only classes that share a bucket go on
-    members = stash(bands.join(shared, "band"))
+    # only classes that share a bucket go on; hot buckets are dealt to several tasks
+    entries = sizes[0] * (BANDED // width)
+    members = stash(spread_join(bands, shared, ["band"], "many", F.col("cls"), entries))
     # the class that meets most others is the likeliest to be what they are copies of
     score = members.groupBy("cls").agg(F.sum("many").alias("score"))
     buckets = stash(members.select("band", "slot", "cls").join(score, "cls"))
-    centre = buckets.groupBy("band").agg(F.max(F.struct("score", "cls")).alias("top"), F.min("cls").alias("low"))
-    stars = buckets.select("band", "cls").join(centre.select("band", F.col("top.cls").alias("top"), "low"), "band")
+    centre = buckets.groupBy("band").agg(F.max(F.struct("score", "cls"))["cls"].alias("top"), F.min("cls").alias("low"), F.count("*").alias("many"))
+    stars = spread_join(buckets.select("band", "cls"), centre, ["band"], "many", F.col("cls"), entries)
     ends = stars.select(F.col("top").alias("a"), F.col("cls").alias("b")).unionAll(stars.select(F.col("low").alias("a"), F.col("cls").alias("b"))).where("a <> b").distinct()
     tried = stash(ends)
     likely = stash(_likely(tried, classes, least))
-    needed = buckets.select("cls").distinct().join(classes.select("cls", "uid"), "cls")
-    bodies = stash(rows.select("uid", "text").join(needed, "uid").select("cls", "text"))
+    needed = buckets.select(F.col("cls").alias("uid")).distinct()
+    bodies = stash(rows.select("uid", "text").join(needed, "uid", "left_semi").select(F.col("uid").alias("cls"), "text"))
     links = stash(_confirmed(likely, bodies, k, num, den))
     parts = components(links)
     # buckets that still hold several components: all pairs between different ones
-    lone = F.coalesce("root", "cls")
-    placed = buckets.select("band", "slot", "cls").join(parts, F.col("cls") == F.col("node"), "left").select("band", "slot", "cls", lone.alias("part"))
-    mixed = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    across = _across(stash(placed.join(mixed, "band")), classes, least, width)
+    placed = buckets.select("band", "slot", "cls").join(parts, F.col("cls") == F.col("node"), "left").select("band", "slot", "cls", F.coalesce("root", "cls").alias("part"))
+    mixed = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("many")).where("low < high").select("band", "many")
+    across = _across(stash(spread_join(placed, mixed, ["band"], "many", F.col("cls"), entries).drop("many")), classes, least, width)
     met = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stash(across.distinct().join(met, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         parts = components(links.unionAll(stash(_confirmed(more, bodies, k, num, den))))
-    joined = marked.select("uid", "key", "n", "cls").join(parts, F.col("cls") == F.col("node"), "left").withColumn("part", F.coalesce("root", "cls"))
-    ids = joined.where("part IS NOT NULL").groupBy(F.col("part").alias("p")).agg(F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "uid"))["uid"].alias("one"))
-    found = joined.join(ids, F.col("part") == F.col("p"), "left")
-    component = F.when(F.col("part").isNull(), F.col("key")).otherwise(F.col("least"))
-    return found.select("uid", F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"), F.coalesce(F.col("uid") == F.col("one"), F.lit(True)).alias("chosen"))
+    # components of classes first, then of rows, so that only one join has a row for each document
+    told = kinds.join(parts.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").withColumn("part", F.coalesce("root", "node")).select("cls", "proof", "node", "rows", "least", "best", "part")
+    whole = told.groupBy("part").agg(F.min("least").alias("component"), F.min("best")["uid"].alias("one"), F.count("*").alias("classes"))
+    final = spread_join(told.select("cls", "proof", "node", "rows", "part"), whole, ["part"], "classes", F.col("node"), sizes[0]).select("cls", "proof", "rows", "component", "one")
+    found = spread_join(named.select("uid", "key", "n", "cls", "proof"), final, ["cls", "proof"], "rows", F.col("uid"), sizes[1])
+    with_set = found.select("uid", F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"), (F.col("uid") == F.col("one")).alias("chosen"))
+    without = marked.where("n = 0").select("uid", F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), F.col("key").isNotNull().alias("kept"), F.lit(True).alias("chosen"))
+    return with_set.unionByName(without)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,11 @@ from .common import kept, release, slices, stash, table, with_uid
 from .lines import positions
 from .tokens import CHUNKS, PIECES, VOCABULARY, Kept, Pieces, byte_alphabet
 
-WINDOW, END_ID, QUANTUM = 2048, 1, 128
-#: Sources beyond so many share queues by hash, which bounds what every task must know.
+WINDOW, END_ID, QUANTUM = 2048, 1, 256
+#: A source that holds at least this part of all tokens has a queue of its own (a token in every window, on average).
 QUEUES = 2048
+#: Entries of the windows by queues that are worked out at once.
+ROUNDS = 1 << 18
 
 
 class IdEncoder(Pieces):
@@ -65,55 +67,83 @@ def encoder(path: str) -> IdEncoder:
     return kept(f"encoder {path}", lambda: IdEncoder(path))
 
 
-def entitlements(totals: np.ndarray, window: np.ndarray, windows: int, quantum: int) -> np.ndarray:
-    """[windows, queues]: tokens that each queue has been served before each window.
+class Schedule:
+    """Maps a place on a queue to its place in the packed stream.
 
-    What it has earned by then, in whole quanta; at the end, everything. Exact in integers: the
-    products are split so that they hold for totals far beyond 2**32.
+    ``weights`` are the target proportions of the queues (by default what each holds, so that all end together). A queue
+    that has run out leaves its share to the others, by weight.
     """
-    w = np.asarray(window, np.int64)[:, None]
-    whole, rest = totals // windows, totals % windows
-    earned = whole[None, :] * w + (rest[None, :].astype(object) * w // windows).astype(np.int64) if windows >= 1 << 31 else whole[None, :] * w + rest[None, :] * w // windows
-    return np.where(w >= windows, totals[None, :], earned // quantum * quantum)
-
-
-class Schedule:
-    """Maps a place on a queue to its place in the packed stream."""
 
-    def __init__(self, totals: np.ndarray, window: int, quantum: int):
+    def __init__(self, totals: np.ndarray, window: int, quantum: int, weights: np.ndarray | None = None):
         self.totals, self.window, self.quantum = totals.astype(np.int64), window, quantum
         self.windows = max(1, -(-int(totals.sum()) // window))
+        self.weights = None if weights is None else weights.astype(np.float64)
+        if weights is not None:  # served tokens grow in straight lines with a common level, from one queue's end to the next
+            level = self.totals / self.weights
+            order = np.argsort(level, kind="stable")
+            left = self.weights.sum() - np.concatenate([[0.0], np.cumsum(self.weights[order])[:-1]])
+            steps = np.diff(level[order], prepend=0.0) * np.maximum(left, 0)
+            self.levels, self.served_at = np.concatenate([[0.0], level[order]]), np.concatenate([[0.0], np.cumsum(steps)])
+
+    def served(self, window: np.ndarray, queues: slice = slice(None)) -> np.ndarray:
+        """[windows, queues]: tokens that each queue has been served before each window.
+
+        What it has earned by then, in whole quanta; at the end, everything. By default exact in integers: the
+        products are split so that they hold for totals far beyond 2**32.
+        """
+        w, totals = np.asarray(window, np.int64)[:, None], self.totals[None, queues]
+        if self.weights is None:
+            whole, rest = totals // self.windows, totals % self.windows
+            earned = whole * w + ((rest.astype(object) * w // self.windows).astype(np.int64) if self.windows >= 1 << 31 else rest * w // self.windows)
+        else:
+            level = np.interp(w.astype(np.float64) * self.window, self.served_at, self.levels)
+            earned = np.minimum(totals, np.floor(self.weights[None, queues] * level).astype(np.int64))
+        return np.where(w >= self.windows, totals, earned // self.quantum * self.quantum)
 
     def _round(self, queue: int, at: np.ndarray) -> np.ndarray:
         """The window in which the token at this place of the queue is served."""
         total, n = int(self.totals[queue]), self.windows
         need = (at // self.quantum + 1) * self.quantum
-        w = np.minimum(n, (need * n + total - 1) // total if total * n < 1 << 61 else np.array([-(-int(x) * n // total) for x in need.ravel()], np.int64).reshape(need.shape))
-        return np.maximum(w, 1) - 1
-
-    def stretches(self, queue: int, begin: int, end: int) -> list[tuple[int, int, int]]:
+        if self.weights is None:
+            w = (need * n + total - 1) // total if total * n < 1 << 61 else np.array([-(-int(x) * n // total) for x in need.ravel()], np.int64).reshape(need.shape)
+            return np.maximum(np.minimum(n, w), 1) - 1
+        low, high = np.zeros(need.shape, np.int64), np.full(need.shape, n, np.int64)  # not served before low, served before high
+        while (high - low > 1).any():
+            middle = (low + high) // 2
+            enough = self.served(middle, slice(queue, queue + 1))[:, 0] >= need
+            low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+        return high - 1
+
+    def stretches(self, queue: int, begin: int, end: int) -> Iterator[tuple[int, int, int]]:
         """(place in the queue, length, place in the stream) of the stretches that [begin, end) is served in."""
-        quanta = np.arange(begin // self.quantum, (end - 1) // self.quantum + 1, dtype=np.int64) * self.quantum
-        rounds = self._round(queue, quanta)
-        first = np.flatnonzero(np.diff(rounds, prepend=-1))
-        rounds = rounds[first]
-        before = entitlements(self.totals, rounds, self.windows, self.quantum)
-        after = entitlements(self.totals, rounds + 1, self.windows, self.quantum)
-        base = before.sum(1) + (after - before)[:, :queue].sum(1)
-        begins = np.maximum(begin, quanta[first])
-        ends = np.append(begins[1:], end)
-        return [(int(b), int(e - b), int(s + b - own)) for b, e, s, own in zip(begins, ends, base, before[:, queue], strict=True)]
-
-
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, window: int = WINDOW, quantum: int = QUANTUM, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+        step = max(1, ROUNDS // len(self.totals)) * self.quantum
+        while begin < end:  # so much of a long document at once
+            stop = min(end, (begin // step + 1) * step)
+            quanta = np.arange(begin // self.quantum, (stop - 1) // self.quantum + 1, dtype=np.int64) * self.quantum
+            rounds = self._round(queue, quanta)
+            first = np.flatnonzero(np.diff(rounds, prepend=-1))
+            rounds = rounds[first]
+            before, upto = self.served(rounds), self.served(rounds + 1, slice(queue))
+            base = before[:, queue:].sum(1) + upto.sum(1)
+            begins = np.maximum(begin, quanta[first])
+            ends = np.append(begins[1:], stop)
+            yield from zip(begins.tolist(), (ends - begins).tolist(), (base + begins - before[:, queue]).tolist(), strict=True)
+            begin = stop
+
+
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, window: int = WINDOW, quantum: int = QUANTUM, weights: dict | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per piece: key, source, start, length, ids (binary), ids_crc32, doc_tokens, sequence_id, offset.
 
     ids hold little-endian ids of two bytes (four for vocabularies over 65,536); ids_crc32 is of the same as four-byte ids. ``sequence_id`` counts
     windows from 0, ``offset`` is the place in the window. Only the last sequence can be short; it is to be
-    padded to ``window`` unless its length is a power of two. A null text counts as empty (its end id is
-    still packed), a null source is a source. Repeated rows are documents of their own. An empty table gives
+    padded to ``window`` unless its length is a power of two. A null or empty text has its end id
+    only, a null source is a source, a very long text goes into as many windows as it takes. Repeated rows are documents of their own. An empty table gives
     an empty one. Other columns are not read.
 
+    ``weights`` (source -> positive number) are the token proportions that windows are to have while sources last; by default each source's share of
+    all tokens. A source that ``weights`` lacks has the share of all tokens as well. At every size of the corpus, sources below
+    one part in QUEUES of all tokens, which cannot be in every window, share one queue in random order; the others have one each.
+
     Texts are tokenized once; the ids are checkpointed, then shuffled once to meet the places that
     sums over queues give. Queues are ordered by a hash of the row number, in parts (see lines.positions), so that a
     source with a third of all rows is spread over many tasks.
@@ -130,12 +160,17 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
     rows = with_uid(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"), docs[source].cast("string").alias("source")))
     coded = stash(rows.mapInArrow(encode, f"uid long, key {kind}, source string, doc_tokens long, ids binary"))
     named = coded.groupBy("source").agg(F.sum("doc_tokens").alias("tokens"), F.count("*").alias("n"))
-    many = named.count() > QUEUES
-    queue = F.pmod(F.xxhash64("source"), F.lit(QUEUES)) if many else F.col("source")
-    totals = named.withColumn("queue", queue.cast("string")).groupBy("queue").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n")).orderBy(F.col("queue").asc_nulls_last()).collect()
-    number = {r["queue"]: i for i, r in enumerate(totals)}
-    plan = Schedule(np.array([r["tokens"] for r in totals] or [0], np.int64), window, quantum)
-    placed = positions(coded.select("uid", "doc_tokens", queue.cast("string").alias("queue")), "queue", F.xxhash64("uid"), "doc_tokens", "line", sum(r["n"] for r in totals))
+    whole = named.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    large = sorted(named.where(F.col("tokens") * QUEUES >= whole[0]).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))  # at most QUEUES
+    totals = [r["tokens"] for r in large] + [whole[0] - sum(r["tokens"] for r in large)]
+    told = None
+    if weights is not None:
+        told = np.array([float(weights.get(r["source"], 0)) for r in large] + [0.0])
+        told = np.where(told > 0, told / max(told.sum(), 1e-300), np.array(totals) / max(1, whole[0])) + 1e-12
+    plan = Schedule(np.array(totals, np.int64), window, quantum, told)
+    own = docs.sparkSession.createDataFrame([(r["source"], i) for i, r in enumerate(large)], "s string, q int")
+    queued = coded.select("uid", "doc_tokens", "source").join(F.broadcast(own), F.col("source").eqNullSafe(F.col("s")), "left").select("uid", "doc_tokens", F.coalesce("q", F.lit(len(large))).alias("queue"))
+    placed = positions(queued, "queue", F.xxhash64("uid"), "doc_tokens", "line", whole[1])
     joined = coded.join(placed.select("uid", "queue", "line"), "uid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +180,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
             for i, (queue, line, n, ids, src) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "line", "doc_tokens", "ids", "source")), strict=True)):
                 wide = len(ids) // n
                 long = np.frombuffer(ids, np.uint16 if wide == 2 else np.uint32).astype("<u4").tobytes()
-                for begin, length, at in plan.stretches(number[queue], line, line + n):
+                for begin, length, at in plan.stretches(queue, line, line + n):
                     while length:
                         take = min(length, window - at % window)
                         start = begin - line

@@ -24,8 +24,9 @@ U = np.uint64
 BUCKETS, SIZE, SHAPES, NONZERO = 1 << 14, 48, 512, 4
 #: Plain ratios next to the pooled vectors.
 RATIOS = 8
-#: The fit takes at most so many labelled rows, those least by a hash of their id, of at most so many bytes each.
-SAMPLE_ROWS, SAMPLE_BYTES = 2500, 16 << 10
+#: The fit takes at most so many labelled rows, those least by a hash of their id. Word vectors are learned from a span of so many characters of
+#: each, at a place by hash; the network is fitted on the features of whole texts.
+SAMPLE_ROWS, SPAN_CHARS = 2500, 12_000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.01, 1e-4
 THRESHOLD = 0.3
 
@@ -130,11 +131,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.pooled(texts).astype(np.float64)) / self.temperature, -35, 35)))
 
 
-def fit(texts: list, quality: np.ndarray, checked: np.ndarray) -> Model:
-    """Trains on the rows that are not ``checked`` and fits the temperature on those that are.
-
-    Without rows of both labels the score is the share of label 1, or one half without any row.
-    """
+def vectors(texts: list) -> Model:
+    """A model that has learned word and shape vectors from these texts, and knows nothing else yet."""
     parts, at = [], 0
     while at < len(texts):  # slices bound the byte arrays
         stop, held = at, 0
@@ -146,12 +144,19 @@ def fit(texts: list, quality: np.ndarray, checked: np.ndarray) -> Model:
     ids = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
     shape = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
     bounds = np.cumsum(np.concatenate([[0], *(np.diff(p[3]) for p in parts)]).astype(np.int64))
-    model = Model(learn_vectors(ids, bounds, BUCKETS, 1), learn_vectors(shape, bounds, SHAPES, 2), np.zeros(1), np.ones(1), np.zeros((2 * SIZE + RATIOS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
+    return Model(learn_vectors(ids, bounds, BUCKETS, 1), learn_vectors(shape, bounds, SHAPES, 2), np.zeros(1), np.ones(1), np.zeros((2 * SIZE + RATIOS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
+
+
+def fit(model: Model, x: np.ndarray, quality: np.ndarray, checked: np.ndarray) -> Model:
+    """Trains the network on the pooled vectors ``x`` of the rows that are not ``checked`` and fits the temperature on those that are.
+
+    Without rows of both labels the score is the share of label 1, or one half without any row.
+    """
     if len(set(quality[~checked])) < 2:
         share = (quality.sum() + 1) / (len(quality) + 2)
         model.b2 = float(np.log(share / (1 - share)))
         return model
-    x = np.concatenate([model.pooled(texts[i : i + 256]) for i in range(0, len(texts), 256)]).astype(np.float64)
+    x = x.astype(np.float64)
     model.mean, model.scale = x[~checked].mean(0), x[~checked].std(0) + 1e-3
     rng = np.random.Generator(np.random.PCG64(7))
     z, y = (x - model.mean) / model.scale, quality.astype(np.float64)
@@ -179,34 +184,50 @@ def fold(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, span: int = SPAN_CHARS, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Fits a model on a bounded sample of the labelled rows whose fold is not 0; fold 1 fits the temperature.
 
-    Null labels, keys and texts are not learned from; a key with two labels counts as the lower.
+    ``rows`` bounds the sample, whatever the length of its texts: word vectors are learned on the driver from a span of ``span`` characters
+    of each, features are pooled from the whole texts where these are. Null labels, keys and texts are not learned from, empty texts are; a key with
+    two labels counts as the lower, one with several texts as the least of them. Without labelled rows every score is one half. Other columns are not read.
     """
     known = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").where(fold(F.col("k")) != 0)
     chosen = known.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
-    held = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    found = held.join(F.broadcast(chosen), F.col("key") == F.col("k")).select("key", "text", "y", (fold(F.col("key")) == 1).alias("checked"))  # at most `rows` rows
-    sample = sorted(found.dropDuplicates(["key"]).collect(), key=lambda r: r["key"])
-    return fit([r["text"].encode() for r in sample], np.array([r["y"] for r in sample], np.int64), np.array([r["checked"] for r in sample], bool))
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most `rows` rows
+    held = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where("text IS NOT NULL")
+    found = held.join(F.broadcast(chosen), F.col("key") == F.col("k")).select("key", "text", "y", (fold(F.col("key")) == 1).alias("checked"))
+    begin = F.pmod(F.xxhash64("key"), F.greatest(F.length("text") - span, F.lit(0)) + 1).cast("int") + 1
+    cut = found.groupBy("key").agg(F.min(F.struct(F.xxhash64("text"), F.substring("text", begin, F.lit(span)).alias("span")))["span"].alias("span")).collect()
+    model = vectors([r["span"].encode() for r in sorted(cut, key=lambda r: r["key"])])
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for part, texts in slices(batches):
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "mark", "y", "checked")), pa.array([x.tobytes() for x in model.pooled(texts)], pa.binary())], ["key", "mark", "y", "checked", "x"])
+
+    kind = found.schema["key"].dataType.simpleString()
+    pooled = found.withColumn("mark", F.xxhash64("text")).select("key", "mark", "text", "y", "checked").mapInArrow(pool, f"key {kind}, mark long, y int, checked boolean, x binary")
+    sample = sorted(pooled.groupBy("key").agg(F.min(F.struct("mark", "y", "checked", "x")).alias("r")).collect(), key=lambda r: r["key"])
+    x = np.stack([np.frombuffer(r["r"]["x"], np.float32) for r in sample]) if sample else np.empty((0, 2 * SIZE + RATIOS), np.float32)
+    return fit(model, x, np.array([r["r"]["y"] for r in sample], np.int64), np.array([r["r"]["checked"] for r in sample], bool))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """All columns and rows of ``docs`` with a score from 0 to 1; null and empty texts are scored like any other.
+    """All columns and rows of ``docs`` with a score from 0 to 1; null and empty texts are scored like any other, very long ones are read whole.
 
-    One scan, no shuffle; scores depend on the text alone. A column of docs that has the score's name is replaced.
+    One scan, no shuffle; scores depend on the text alone, so that repeated texts tie. A column of docs that has the score's name is replaced;
+    no other name clashes, as columns go by number while they are scored. An empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for part, texts in slices(batches, "_text"):
+        for part, texts in slices(batches, "text"):
             found = pa.array(model.scores(texts), pa.float64())
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), found], [*kept, name])
 
     schema = docs.select(*[docs[c] for c in kept]).withColumn(name, F.lit(0.0)).schema
-    return docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(kept)], docs[text].cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

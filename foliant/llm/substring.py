@@ -1,18 +1,19 @@
-"""Repeated passages: confirmed by counting, then located by Aho-Corasick automata.
+"""Repeated passages: phrases confirmed by counting, then located by sharded Aho-Corasick automata.
 
 A window is a run of consecutive words of one document. Every window has an anchor, the least-hashed
 short run of words in it, at a place that depends on the window's words alone: equal windows have equal
 anchors. Neighbouring windows with their anchor at the same place form a stretch.
 
 1. Stretches are counted by anchor over the whole corpus. An anchor met once rules out all its windows.
-   Where all stretches of an anchor have the same words, all their windows recur. Elsewhere (at the
-   ends of passages) the windows themselves are counted.
-2. Windows that recur join into passages. Documents without any need no further look; the others are
-   dealt into shards together with the passages confirmed in them, each shard compiles its passages into an
-   automaton over words (pyahocorasick), streams its documents through it, and marks every occurrence.
+   Where all stretches of an anchor have the same words, the stretch is a phrase. Elsewhere (at the
+   ends of passages) the windows themselves are counted; those met again are phrases, and neighbouring ones travel together.
+2. A confirmed phrase is taken, once, from the first document that has it, as words. Documents are dealt into shards; a shard
+   is sent the phrases that were sighted in it, each once, compiles them into an automaton over words
+   (pyahocorasick), and streams its documents through it. Only what the automaton finds is marked. Documents without any recurring
+   anchor can hold no phrase and need no automaton.
 
 So each automaton has the phrases that can occur in its shard, and is bounded by the shard's
-size, whatever the size of the corpus. Words are compared by 64-bit hashes when counted.
+size, whatever the size of the corpus. Hashes only lead to phrases; the automaton compares words.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices, stash, table, with_uid
+from .common import release, slices, spread_join, stash, table, with_uid
 from .wordhash import span_sums, spans, words_of
 
 U = np.uint64
 WINDOW, ANCHOR = 35, 10
 #: Text bytes of a shard, about; a longer text is a shard of its own.
 SHARD_BYTES = 1 << 20
+#: Words of patterns in one automaton.
+NODES = 1_500_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -79,25 +82,51 @@ def covered_by(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(marks[:n]) > 0
 
 
-def locate(documents: list[list[bytes]], passages: list[np.ndarray]) -> list[np.ndarray]:
-    """Marks in each document (a list of words) all words that lie in an occurrence of any passage.
+class Passages:
+    """Aho-Corasick automata over words for the phrases of one shard.
 
-    ``passages``: for each document the (begin, end) of those confirmed in it. All go into one automaton.
+    A phrase is (whole, words): all of it recurs, or each ``window`` of it does. Words get numbers shard by shard. Beyond NODES words of patterns the
+    phrases make several automata, of which one is in memory at a time.
     """
-    number: dict[bytes, int] = {}
-    coded = [tuple([number.setdefault(w, len(number)) for w in words]) for words in documents]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for words, found in zip(coded, passages, strict=True):
-        for begin, end in found:
-            automaton.add_word(words[begin:end], int(end - begin))
-    if not len(automaton):
-        return [np.zeros(len(w), bool) for w in coded]
-    automaton.make_automaton()
-    out = []
-    for words in coded:
-        hits = np.array(list(automaton.iter(words)), np.int64).reshape(-1, 2) if words else np.empty((0, 2), np.int64)
-        out.append(covered_by(hits[:, 0] + 1 - hits[:, 1], hits[:, 0] + 1, len(words)))
-    return out
+
+    def __init__(self, phrases: list[tuple[bool, bytes]], window: int):
+        self.window, self.number = window, {}
+        self.parts: list[list[tuple[bool, list[int]]]] = [[]]
+        held = 0
+        for whole, text in phrases:
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in text.split()]
+            nodes = len(words) if whole else (len(words) - window + 1) * window
+            if held and held + nodes > NODES:
+                self.parts.append([])
+                held = 0
+            self.parts[-1].append((whole, words))
+            held += nodes
+        self._only = self._compiled(self.parts[0]) if len(self.parts) == 1 else None
+
+    def _compiled(self, phrases: list[tuple[bool, list[int]]]) -> ahocorasick.Automaton | None:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for whole, words in phrases:
+            if whole:
+                automaton.add_word(tuple(words), len(words))
+                continue
+            for begin in range(len(words) - self.window + 1):
+                automaton.add_word(tuple(words[begin : begin + self.window]), self.window)
+        if not len(automaton):
+            return None
+        automaton.make_automaton()
+        return automaton
+
+    def locate(self, documents: list[list[bytes]]) -> list[np.ndarray]:
+        """Marks in each document (a list of words) all words that lie in an occurrence of any phrase."""
+        known = self.number.get
+        coded = [tuple([known(w, 0) for w in words]) for words in documents]
+        found = [np.zeros(len(w), bool) for w in coded]
+        for part in self.parts:
+            automaton = self._only if len(self.parts) == 1 else self._compiled(part)
+            for words, marks in zip(coded, found, strict=True):
+                hits = np.array(list(automaton.iter(words)), np.int64).reshape(-1, 2) if words and automaton else np.empty((0, 2), np.int64)
+                marks |= covered_by(hits[:, 0] + 1 - hits[:, 1], hits[:, 0] + 1, len(words))
+        return found
 
 
 def kept_text(text: bytes, covered: np.ndarray) -> bytes:
@@ -138,42 +167,46 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     A word is removed if it lies in a window whose words also start anywhere else, in the same
     or another row; windows are judged on the input. ``kept_sha256`` is of the kept words, joined by one space. In the text that is left,
-    kept words keep the white space before them. A null text has no words, and stays null. Repeated rows
-    repeat each other's passages. A column of docs that has an added name is replaced. An empty table gives an empty one.
+    kept words keep the white space before them. A null text has no words, and stays null; an empty text and one shorter than a window lose nothing. Repeated rows
+    repeat each other's passages, so that of copies nothing is left. A text of any length is handled whole; one longer than a shard is a
+    shard of its own. A column of docs that has an added name is replaced, other names clash with nothing. An empty table gives an empty one.
 
     Texts are read twice for the stretches, whose anchors are counted with pre-aggregation, and shuffled once;
-    texts without recurring anchors are done then. No group is collected: what meets is a
-    document's own stretches.
+    texts without recurring anchors are done then. What is collected by group is a document's own stretches. Phrases are asked for
+    once by each shard; hot anchors and phrases are dealt to several tasks.
     """
     assert window <= 60
     added = ["n_words", "n_removed", "kept_sha256"]
     rest = [c for c in docs.columns if c != text and c not in added]
     named = with_uid(docs.select(docs[text].cast("string").alias("text"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("none")).alias("rest")))
     found = _stretch_rows(named, window, anchor)
-    counted = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
-    recurring = found.join(counted.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor")
-    own = recurring.groupBy("uid").agg(F.collect_list(F.when(F.col("alike"), F.col("place"))).alias("alike"), F.collect_list(F.when(~F.col("alike"), F.col("place"))).alias("unlike"))
+    counted = stash(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1").select("anchor", "n", (F.col("low") == F.col("high")).alias("alike")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    recurring = stash(spread_join(found.drop("whole"), counted, ["anchor"], "n", F.struct("uid", "place"), total).select("uid", "place", "anchor", "alike"))
+    own = recurring.groupBy("uid").agg(F.collect_list(F.when(~F.col("alike"), F.col("place"))).alias("unlike"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bodies in inflated(batches):
             h, bounds = words_of(bodies)
             sums = span_sums(h)
             out = [[] for _ in range(6)]
-            for i, (body, packed, alike, unlike) in enumerate(zip(bodies, *(part.column(c).to_pylist() for c in ("body", "alike", "unlike")), strict=True)):
+            for i, (body, packed, unlike) in enumerate(zip(bodies, *(part.column(c).to_pylist() for c in ("body", "unlike")), strict=True)):
                 tried = np.sort(np.array(unlike or [], np.int64))
                 many = tried % 64
                 starts = np.repeat(tried // 64, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 hashes = spans(sums, bounds[i] + starts, bounds[i] + starts + window)
-                flagged = bool(alike or unlike)
+                flagged = unlike is not None
                 digest = None if flagged else hashlib.sha256(b" ".join((body or b"").split())).hexdigest()
-                keep = body is not None and (texts or flagged)
-                for column, value in zip(out, (int(bounds[i + 1] - bounds[i]), digest, packed if keep else None, np.array(alike or [], np.int64).tobytes() if flagged else None, starts.astype(np.int64).tobytes(), hashes.tobytes()), strict=True):
+                for column, value in zip(out, (int(bounds[i + 1] - bounds[i]), digest, packed if texts or flagged else None, len(body or b"") if flagged else None, starts.astype(np.int64).tobytes(), hashes.tobytes()), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("rest"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), *(pa.array(x, pa.binary()) for x in out[2:])], ["uid", "rest", "n_words", "digest", "body", "alike", "starts", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("rest"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), *(pa.array(x, pa.binary()) for x in out[4:])], ["uid", "rest", "n_words", "digest", "body", "flagged", "starts", "hashes"])
 
     rest_kind = named.schema["rest"].dataType.simpleString()
     looked = named.select("uid", "rest", "text").mapInArrow(deflated, f"uid long, rest {rest_kind}, body binary")
-    looked = stash(looked.join(own, "uid", "left").select("uid", "rest", "body", "alike", "unlike").mapInArrow(windows, f"uid long, rest {rest_kind}, n_words long, digest string, body binary, alike binary, starts binary, hashes binary"))
+    looked = stash(looked.join(own, "uid", "left").select("uid", "rest", "body", "unlike").mapInArrow(windows, f"uid long, rest {rest_kind}, n_words long, digest string, body binary, flagged long, starts binary, hashes binary"))
+    suspects = looked.where("flagged IS NOT NULL")
+    shards = 1 + (suspects.agg(F.sum("flagged")).first()[0] or 0) // SHARD_BYTES
+    shard = F.pmod(F.xxhash64("uid"), F.lit(shards))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,32 +214,69 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 part = batch.slice(begin, 1024)
                 starts, hashes = (part.column(c).to_pylist() for c in ("starts", "hashes"))
                 uid = np.repeat(part.column("uid").to_numpy(), [len(s) // 8 for s in starts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(hashes), np.int64)), pa.array(uid), pa.array(np.frombuffer(b"".join(starts), np.int64))], ["window", "uid", "start"])
-
-    each = looked.where("length(starts) > 0").select("uid", "starts", "hashes").mapInArrow(single, "window long, uid long, start long")
-    again = each.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    confirmed = each.join(again, "window").groupBy(F.col("uid").alias("u")).agg(F.collect_list("start").alias("confirmed"))
-    suspects = looked.where("alike IS NOT NULL").select("uid", "rest", "n_words", "body", "alike").join(confirmed, F.col("uid") == F.col("u"), "left")
-    clean = looked.where("alike IS NULL").select("rest", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.col("body"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(hashes), np.int64)), pa.array(uid), pa.array(np.frombuffer(b"".join(starts), np.int64))], ["phrase", "uid", "start"])
+
+    # where phrases may be met: by shard, with the first place; a whole stretch, or a window of those that differ
+    each = suspects.where("length(starts) > 0").select("uid", "starts", "hashes").mapInArrow(single, "phrase long, uid long, start long")
+    whole = recurring.where("alike").select(F.col("anchor").alias("phrase"), "uid", F.expr("place DIV 64").alias("start"), F.lit(True).alias("whole"), (F.col("place") % 64 + window - 1).cast("int").alias("words"))
+    sightings = whole.unionByName(each.select("phrase", "uid", "start", F.lit(False).alias("whole"), F.lit(window).alias("words")))
+    wanted = stash(sightings.groupBy("whole", "phrase", shard.alias("shard")).agg(F.count("*").alias("n"), F.min(F.struct("uid", "start", "words")).alias("first")))
+    confirmed = wanted.groupBy("whole", "phrase").agg(F.sum("n").alias("n"), F.count("*").alias("shards"), F.min("first").alias("first")).where("n > 1")
+    # the first document that has a phrase gives its words
+    given = confirmed.groupBy(F.col("first.uid").alias("u")).agg(F.collect_list(F.struct("whole", F.col("first.start").alias("start"), F.col("first.words").alias("words"), "phrase", "shards")).alias("phrases"))
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bodies in inflated(batches):
+            out: list[list] = [[] for _ in range(4)]
+            for body, phrases in zip(bodies, part.column("phrases").to_pylist(), strict=True):
+                words, runs = body.split(), []
+                for p in sorted(phrases, key=lambda p: (p["whole"], p["start"])):
+                    last = runs[-1] if runs else None
+                    if last and not p["whole"] and not last[0] and p["start"] == last[2] + 1 and len(last[3]) < window:
+                        last[2], last[4] = p["start"], max(last[4], p["shards"])
+                        last[3].append(p["phrase"])
+                    else:
+                        runs.append([p["whole"], p["start"], p["start"], [p["phrase"]], p["shards"], p["words"]])
+                for is_whole, begin, end, known, most, size in runs:
+                    for column, value in zip(out, (is_whole, b" ".join(words[begin : end + size]), known, most), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.bool_()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64())], ["whole", "body", "phrases", "shards"])
+
+    givers = suspects.select("uid", "body").join(given, F.col("uid") == F.col("u")).select("body", "phrases")
+    runs = stash(givers.mapInArrow(extract, "whole boolean, body binary, phrases array<long>, shards long")).withColumn("run", F.monotonically_increasing_id())
+    asked = wanted.count()
+    sent = spread_join(wanted.select("whole", "phrase", "shard"), runs.select("whole", F.explode("phrases").alias("phrase"), "run", "shards"), ["whole", "phrase"], "shards", F.col("shard"), asked).select("run", "shard").distinct()
+    delivered = spread_join(sent, runs.select("run", "whole", "body", "shards"), ["run"], "shards", F.col("shard"), asked)
+    blank = F.lit(None)
+    patterns = delivered.select("shard", F.lit(False).alias("document"), "whole", "body", blank.cast(rest_kind).alias("rest"), blank.cast("long").alias("n_words"))
+    met = patterns.unionByName(suspects.select(shard.alias("shard"), F.lit(True).alias("document"), F.lit(False).alias("whole"), "body", "rest", "n_words"))
+    ordered = met.repartition("shard").sortWithinPartitions("shard", "document")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, bodies in inflated(batches):
-            yield shard(part, bodies)
-
-    def shard(part: pa.RecordBatch, bodies: list[bytes]) -> pa.RecordBatch:
-        documents, passages = [b.split() for b in bodies], []
-        for words, alike, sure in zip(documents, part.column("alike").to_pylist(), part.column("confirmed").to_pylist(), strict=True):
-            places = np.frombuffer(alike, np.int64)
-            starts = np.concatenate([places // 64, np.array(sure or [], np.int64)])
-            ends = np.concatenate([places // 64 + places % 64 - 1 + window, np.array(sure or [], np.int64) + window])
-            edge = np.diff(np.concatenate([[False], covered_by(starts, ends, len(words)), [False]]).astype(np.int8))
-            passages.append(np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1))
-        covered = locate(documents, passages)
+        at, phrases, passages = None, [], None
+        for batch in batches:
+            tags = list(zip(*(batch.column(c).to_pylist() for c in ("shard", "document")), strict=True))
+            cuts = [0, *(i for i in range(1, len(tags)) if tags[i] != tags[i - 1]), len(tags)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                (now, document), part = tags[begin], batch.slice(begin, end - begin)
+                if now != at:
+                    at, phrases, passages = now, [], None
+                if not document:  # a shard's phrases come before its documents
+                    phrases += zip(part.column("whole").to_pylist(), part.column("body").to_pylist(), strict=True)
+                    continue
+                passages = passages or Passages(phrases, window)
+                for some, bodies in inflated([part]):
+                    yield marked(some, bodies, passages)
+
+    def marked(part: pa.RecordBatch, bodies: list[bytes], passages: Passages) -> pa.RecordBatch:
+        documents = [b.split() for b in bodies]
+        covered = passages.locate(documents)
         digests = [hashlib.sha256(b" ".join([w for w, c in zip(words, mask.tolist(), strict=True) if not c])).hexdigest() for words, mask in zip(documents, covered, strict=True)]
         left = [(kept_text(b, c) if c.any() else b).decode() if texts else None for b, c in zip(bodies, covered, strict=True)]
         return pa.RecordBatch.from_arrays([part.column("rest"), part.column("n_words"), pa.array([int(c.sum()) for c in covered], pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string())], ["rest", "n_words", "n_removed", "kept_sha256", "body"])
 
-    cut = suspects.select("rest", "n_words", "body", "alike", "confirmed").mapInArrow(mark, f"rest {rest_kind}, n_words long, n_removed long, kept_sha256 string, body string")
+    cut = ordered.mapInArrow(mark, f"rest {rest_kind}, n_words long, n_removed long, kept_sha256 string, body string")
+    clean = looked.where("flagged IS NULL").select("rest", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.col("body"))
     columns = [F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(rest)]
     if not texts:
         return clean.drop("body").unionByName(cut.drop("body")).select(*columns, *added)
