@@ -36,6 +36,8 @@ DOUBT = 8.0
 STEPS = (0.02, 0.04, 0.06, 0.08, 0.11, 0.15, 0.2, 0.3, 0.45)
 #: Classes of a bucket that one task holds.
 BLOCK = 1024
+#: Least half hashes of a set that go along with its sketch into the blocks; smaller sets go whole.
+LEAST = 512
 #: Members of a star that are confirmed in one go.
 STAR = 256
 
@@ -146,18 +148,43 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def _across(left: DataFrame, classes: DataFrame, least: float, width: int) -> DataFrame:
+def least_of(hashes: np.ndarray) -> np.ndarray:
+    """The LEAST least upper halves of a set's hashes, in order."""
+    return np.unique((hashes >> U(32)).astype(np.uint32))[:LEAST]
+
+
+def may_link(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets may have the similarity, given their least hashes: by an estimate, or nearly exactly where both sets are whole."""
+    ordered = np.sort(np.concatenate([a, b]), kind="stable")
+    twice = ordered[1:] == ordered[:-1]
+    if len(a) < LEAST and len(b) < LEAST:
+        both = int(twice.sum())
+        return both + 2 >= least * (len(ordered) - both - 2)  # halves that collide change a set by hardly more
+    union = np.flatnonzero(np.append(~twice, True))[:LEAST]  # last places of the least values of both together
+    both = int(twice[: union[-1]].sum())
+    return both / LEAST >= least - 4 * (least * (1 - least) / LEAST) ** 0.5
+
+
+def _across(left: DataFrame, classes: DataFrame, bodies: DataFrame, k: int, least: float, width: int) -> DataFrame:
     """Plausible pairs (a, b) of different components that share a bucket, each from the first bucket that it shares.
 
     ``left`` has (band, slot, cls, part). Classes stay in blocks of bounded size, and the others of their bucket stream by; a
-    hot bucket is spread over many blocks. Only pairs that pass the sketches leave.
+    hot bucket is spread over many blocks. Only pairs that pass the sketches, and then the least hashes of both sets, leave, so that few leave that are no links.
     """
     count = BANDED // width
-    sized = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    marked = left.join(sized, "band").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(classes.select("cls", "n", "marks"), "cls")
-    stay = marked.withColumn("block", F.col("own")).withColumn("stays", F.lit(True))
-    pass_by = marked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("stays", F.lit(False))
-    ordered = stay.unionByName(pass_by).repartition("band", "block").sortWithinPartitions("band", "block", F.col("stays").desc())
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            hashes, at = shingles(texts, k)
+            yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([least_of(hashes[at[i] : at[i + 1]]).tobytes() for i in range(len(texts))], pa.binary())], ["cls", "least"])
+
+    needed = left.select("cls").distinct()
+    known = bodies.join(needed, "cls", "left_semi").mapInArrow(shrink, "cls long, least binary").join(classes.select("cls", "n", "marks"), "cls")
+    sized = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("many"))
+    dealt = spread_join(left, sized, ["band"], "many", F.col("cls"), left.count()).drop("many").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    stay = dealt.withColumn("block", F.col("own")).withColumn("stays", F.lit(True))
+    pass_by = dealt.where("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).where("own > 0").withColumn("stays", F.lit(False))
+    ordered = stay.unionByName(pass_by).join(known, "cls").repartition("band", "block").sortWithinPartitions("band", "block", F.col("stays").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, here = None, None
@@ -170,26 +197,38 @@ def _across(left: DataFrame, classes: DataFrame, least: float, width: int) -> Da
                     piece = part.slice(begin, end - begin)
                     group = {c: piece.column(c).to_numpy() for c in ("cls", "part", "own", "n", "slot")}
                     group["marks"] = np.frombuffer(b"".join(piece.column("marks").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+                    group["least"] = np.array([*map(_halves, piece.column("least").to_pylist()), None], object)[:-1]
                     *tag, stays = tags[begin]
+                    own = None  # pairs inside the block come from its rows against those before them
                     if stays:
-                        here = {c: np.concatenate([here[c], group[c]]) for c in group} if at == tag else group
+                        here, own = ({c: np.concatenate([here[c], group[c]]) for c in group}, len(here["cls"])) if at == tag else (group, 0)
                         at = tag
-                        continue
-                    v, r = group, here
-                    i, j = np.nonzero((v["part"][:, None] != r["part"]) & ((v["own"] != r["own"][0])[:, None] | (v["cls"][:, None] < r["cls"])) & (np.minimum(v["n"][:, None], r["n"]) >= least * (1 - 1e-12) * np.maximum(v["n"][:, None], r["n"])))
-                    found = []
-                    for some in range(0, len(i), 8192):
-                        p, q = i[some : some + 8192], j[some : some + 8192]
-                        ma, mb = v["marks"][p], r["marks"][q]
-                        same = (ma[:, : count * width] == mb[:, : count * width]).reshape(-1, count, width).all(2)
-                        ok = np.flatnonzero(same.argmax(1) == r["slot"][q])
-                        ok = ok[plausible(ma[ok], mb[ok], v["n"][p[ok]], r["n"][q[ok]], least)]
-                        found.append((v["cls"][p[ok]], r["cls"][q[ok]]))
-                    if found:
-                        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return ordered.select("band", "block", "stays", "cls", "part", "own", "n", "slot", "marks").mapInArrow(run, "a long, b long")
+                    if at == tag:
+                        a, b = pairs(group, here, own)
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def pairs(v: dict, r: dict, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        ok = (v["part"][:, None] != r["part"]) & (np.minimum(v["n"][:, None], r["n"]) >= least * (1 - 1e-12) * np.maximum(v["n"][:, None], r["n"]))
+        if own is not None:
+            ok &= own + np.arange(len(v["cls"]))[:, None] > np.arange(len(r["cls"]))
+        i, j = np.nonzero(ok)
+        found = []
+        for some in range(0, len(i), 8192):
+            p, q = i[some : some + 8192], j[some : some + 8192]
+            ma, mb = v["marks"][p], r["marks"][q]
+            same = (ma[:, : count * width] == mb[:, : count * width]).reshape(-1, count, width).all(2)
+            ok = np.flatnonzero(same.argmax(1) == r["slot"][q])
+            ok = ok[plausible(ma[ok], mb[ok], v["n"][p[ok]], r["n"][q[ok]], least)]
+            found += [(x, y) for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True) if may_link(v["least"][x], r["least"][y], least)]
+        x, y = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+        return v["cls"][x], r["cls"][y]
+
+    return ordered.select("band", "block", "stays", "cls", "part", "own", "n", "slot", "marks", "least").mapInArrow(run, "a long, b long")
+
+
+def _halves(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint32)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -263,7 +302,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # buckets that still hold several components: all pairs between different ones
     placed = buckets.select("band", "slot", "cls").join(parts, F.col("cls") == F.col("node"), "left").select("band", "slot", "cls", F.coalesce("root", "cls").alias("part"))
     mixed = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("many")).where("low < high").select("band", "many")
-    across = _across(stash(spread_join(placed, mixed, ["band"], "many", F.col("cls"), entries).drop("many")), classes, least, width)
+    across = _across(stash(spread_join(placed, mixed, ["band"], "many", F.col("cls"), entries).drop("many")), classes, bodies, k, least, width)
     met = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stash(across.distinct().join(met, ["a", "b"], "left_anti"))
     if not more.isEmpty():
