@@ -35,9 +35,9 @@ PATTERNS = {
 }
 
 
-def body(text: Column) -> Column:
-    """The text without a byte order mark at its begin."""
-    return F.regexp_replace(text, r"\A\x{FEFF}", "")
+def odd_characters(text: Column) -> Column:
+    """What is left of a text without a byte order mark at its begin, and without printable ASCII, tabs and line feeds: little, in most texts."""
+    return F.regexp_replace(F.coalesce(F.regexp_replace(text, r"\A\x{FEFF}", ""), F.lit("")), r"[\t\n -~]++", "")
 
 
 def carriage_returns(text: Column) -> Column:
@@ -47,30 +47,31 @@ def carriage_returns(text: Column) -> Column:
 
 def double_hyphens(text: Column) -> Column:
     """Runs of exactly two hyphens."""
-    return F.size(F.filter(F.regexp_extract_all(text, F.lit("(-+)"), F.lit(1)), lambda r: F.length(r) == 2))
+    runs = F.size(F.filter(F.regexp_extract_all(text, F.lit("(-+)"), F.lit(1)), lambda r: F.length(r) == 2))
+    return F.when(F.contains(text, F.lit("--")), runs).otherwise(0)
 
 
-def audit(text: Column) -> dict[str, Column]:
-    """kind -> count, as columns; a null text counts as empty."""
-    clean = F.coalesce(body(text), F.lit(""))
-    counts = {kind: F.regexp_count(clean, F.lit(p)) for kind, p in PATTERNS.items()}
-    return {k: c.cast("long") for k, c in (counts | {"line_end": carriage_returns(clean), "double_hyphen": double_hyphens(clean)}).items()}
+def audit(text: Column, odd: Column | None = None) -> dict[str, Column]:
+    """kind -> count, as columns; a null text counts as empty. ``odd`` is odd_characters() where that is at hand."""
+    odd = odd_characters(text) if odd is None else odd
+    counts = {kind: F.regexp_count(odd, F.lit(p)) for kind, p in PATTERNS.items()} | {"line_end": carriage_returns(odd)}
+    return {k: c.cast("long") for k, c in (counts | {"double_hyphen": F.coalesce(double_hyphens(text), F.lit(0))}).items()}
 
 
 def sanitize(text: Column, safelist: str = "") -> Column:
     """Prose without anomalies: invisible characters go, look-alikes, dashes, spaces and line ends become plain.
 
-    ``safelist`` names zero-width characters to keep. Null stays null.
+    Every anomaly is one of the input: two hyphens or a line end that only come together when something between them goes
+    stay two. ``safelist`` names zero-width characters to keep. Null stays null.
     """
     keep = "".join(f"&&[^{c}]" for c in safelist)
-    out = F.regexp_replace(text, f"[{WATERMARK}{DIRECTIONAL}{CONTROL}]", "")
-    out = F.regexp_replace(out, f"(?<!\\A)[{ZERO_WIDTH}{keep}]|\\A[{ZERO_WIDTH}&&[^\\x{{FEFF}}]{keep}]", "")
+    out = F.regexp_replace(text, "(?<!-)--(?!-)", "-")
     out = F.regexp_replace(out, r"\r\n?|[\x{2028}\x{2029}]", "\n")
+    out = F.regexp_replace(out, f"[{WATERMARK}{DIRECTIONAL}{CONTROL}]|(?!\\A\\x{{FEFF}})[{ZERO_WIDTH}{keep}]", "")
     out = F.replace(out, F.lit("\u202f"), F.lit("\u00a0"))
     out = F.regexp_replace(out, f"[{SPECIAL_SPACE}]", " ")
     out = F.translate(out, LOOKALIKE, LOOKALIKE_AS)
-    out = F.regexp_replace(out, f"[{DASH}]", "-")
-    return F.regexp_replace(out, "(?<!-)--(?!-)", "-")
+    return F.regexp_replace(out, f"[{DASH}]", "-")
 
 
 def french_typography(text: Column) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..kernels.text import ENTITIES
+
 FENCE = r"^\s*(```|~~~)"
-TOKEN = r"(?U)\S*[\p{IsAlphabetic}\p{N}]\S*"
+#: A token with a letter or digit: from its begin over what is neither to the first that is, then to its end, so that each place is tried once.
+TOKEN = r"(?U)(?<!\S)[^\s\p{IsAlphabetic}\p{N}]*+[\p{IsAlphabetic}\p{N}]\S*+"
 
 
 def lines(text: Column) -> Column:
@@ -24,6 +27,11 @@ def word_count(md: Column) -> Column:
     return F.coalesce(F.aggregate(lines(md), start, step, lambda s: s["n"]), F.lit(0)).cast("long")
 
 
+def line_count(text: Column) -> Column:
+    """Lines as editors count them: an end at the very end begins no further line."""
+    return (F.size(lines(text)) - F.when((text == "") | F.endswith(text, F.lit("\n")), 1).otherwise(0)).cast("long")
+
+
 def reading_minutes(words: Column) -> Column:
     return F.ceil(words / 200).cast("long")
 
@@ -46,11 +54,11 @@ def is_rule(line: Column) -> Column:
 
 
 def is_bullet(line: Column) -> Column:
-    return line.rlike(r"^\s*[-*+][ \t]")
+    return line.rlike(r"^\s*[-*+](?: |\s*$)")
 
 
 def is_ordered(line: Column) -> Column:
-    return line.rlike(r"^\s*\d+[.)][ \t]")
+    return line.rlike(r"^\s*\d+[.)] ")
 
 
 def is_table_row(line: Column) -> Column:
@@ -59,8 +67,7 @@ def is_table_row(line: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """The 13 named entities that importers know, one after the other, the ampersand first."""
-    # Entity names and what they stand for, in the order of replacement.
-    for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&mdash;", "-"), ("&ndash;", "-"), ("&hellip;", "..."), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™")):
+    for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
@@ -124,14 +131,19 @@ def byte_offset(text: Column, chars: Column) -> Column:
 
 
 def csv_table(text: Column) -> Column:
-    """CSV or TSV text as a pipe table: a tab anywhere makes tabs the delimiter; quotes are dropped."""
-    rows = F.filter(lines(F.replace(text, F.lit("\r"), F.lit(""))), lambda x: F.trim(x) != "")
-    cells = F.transform(rows, lambda r: F.transform(F.when(F.contains(text, F.lit("\t")), F.split(r, "\t")).otherwise(F.split(r, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))))
+    """CSV or TSV text as a pipe table: a tab anywhere makes tabs the delimiter; a quote turns it off and on and is dropped, blanks stay.
+
+    Delimiters outside quotes become a mark of their own first: in what a line's quotes cut it into, every second piece is quoted.
+    """
+    rows = F.filter(F.transform(lines(text), lambda x: F.regexp_replace(x, "\\r$", "")), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s", " ")) != "")
+    mark = F.when(F.contains(text, F.lit("\t")), "\t").otherwise(",")
+    plain = lambda row: F.array_join(F.transform(F.split(row, '"', -1), lambda piece, i: F.when(i % 2 == 0, F.replace(piece, mark, F.lit("\u0001"))).otherwise(piece)), "")
+    cells = F.transform(rows, lambda r: F.split(plain(r), "\u0001", -1))
 
     def padded(rows: Column, width: Column) -> Column:
         lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |")))
         rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-        return once(lines, lambda x: F.array_join(F.concat(F.slice(x, 1, 1), F.array(rule), F.slice(x, F.lit(2), F.size(x))), "\n"))
+        return once(lines, lambda x: F.concat(F.array_join(F.concat(F.slice(x, 1, 1), F.array(rule), F.slice(x, F.lit(2), F.size(x))), "\n"), F.lit("\n")))
 
     # the cells and the width are made once, not for every row
     once = lambda value, f: F.transform(F.array(value), f)[0]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,151 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-_HEADING = re.compile(r"\s*(#{1,6})(?:[ \t]|$)")
-_RULE = re.compile(r"(?:-{3,}|\*{3,}|_{3,})$")
-_BULLET, _ORDERED = re.compile(r"\s*[-*+][ \t]"), re.compile(r"\s*\d+[.)][ \t]")
-# Environments that are display mathematics, and tags that do not open an HTML block.
-MATH = ("equation", "align", "gather", "multline", "eqnarray", "flalign", "alignat", "displaymath", "math", "split", "cases", "matrix", "array")
-INLINE_TAGS = ("a", "abbr", "b", "br", "code", "em", "i", "img", "kbd", "mark", "s", "small", "span", "strong", "sub", "sup", "u")
-_BEGIN = re.compile(r"\s*\\begin\{(" + "|".join(MATH) + r")(\*?)\}")
-_TAG = re.compile(r"\s*<(/?)([A-Za-z][\w-]*)|\s*<!")
-
-
-def _opens(line: str) -> bool:
-    """Whether a line ends the paragraph before it."""
-    bare = line.strip()
-    return not bare or bool(_HEADING.match(line) or _BEGIN.match(line) or _BULLET.match(line) or _ORDERED.match(line) or _RULE.match(bare.replace(" ", ""))) or bare.startswith(("```", "~~~", "$$", "\\[", "|", ">"))
-
-
-def parse_blocks(md: str) -> list[tuple[str, int, str, int, int]]:
-    """(kind, level, info, first line, line after the last) of each block, in order.
-
-    Tests by line: heading, mathematics, fence, rule, table, quote, list items, HTML, paragraph. An
-    unclosed display equation ends at a blank line or heading and is a paragraph; a div extends to its
-    balancing end over blank lines, or is one line.
-    """
-    lines, out, i = md.split("\n"), [], 0
-    while i < len(lines):
-        line, bare = lines[i], lines[i].strip()
-        if not bare:
-            i += 1
-            continue
-        kind, level, info, stop = "paragraph", 0, "", i + 1
-        if found := _HEADING.match(line):
-            kind, level = "heading", len(found[1])
-        elif found := _BEGIN.match(line):
-            end = f"\\end{{{found[1]}{found[2]}}}"
-            close = next((k for k in range(i, len(lines)) if end in lines[k]), None)
-            if close is not None:
-                kind, info, stop = "equation", found[1] + found[2], close + 1
-        elif bare.startswith(("$$", "\\[")):
-            end, rest = ("$$" if bare[0] == "$" else "\\]"), bare[2:]
-            if end in rest:
-                kind = "equation"
-            else:
-                k = i + 1
-                while k < len(lines) and lines[k].strip() and not _HEADING.match(lines[k]) and end not in lines[k]:
-                    k += 1
-                if k < len(lines) and end in lines[k]:
-                    kind, stop = "equation", k + 1
-                else:
-                    stop = max(i + 1, min(k, len(lines)))
-        elif bare.startswith(("```", "~~~")):
-            mark = bare[:3]
-            close = next((k for k in range(i + 1, len(lines)) if lines[k].strip().startswith(mark)), len(lines) - 1)
-            kind, info, stop = "code", bare[3:].strip(), close + 1
-        elif _RULE.match(bare.replace(" ", "").replace("\t", "")):
-            kind = "rule"
-        elif bare.startswith("|"):
-            kind = "table"
-            while stop < len(lines) and lines[stop].strip().startswith("|"):
-                stop += 1
-        elif bare.startswith(">"):
-            kind = "quote"
-            while stop < len(lines) and lines[stop].strip().startswith(">"):
-                stop += 1
-        elif _BULLET.match(line) or _ORDERED.match(line):
-            test = _BULLET if _BULLET.match(line) else _ORDERED
-            kind = "bullets" if test is _BULLET else "ordered"
-            while stop < len(lines) and test.match(lines[stop]):
-                stop += 1
-        elif (found := _TAG.match(line)) and (found[2] or "").lower() not in INLINE_TAGS:
-            kind = "html"
-            if (found[2] or "").lower() == "div" and not found[1]:
-                depth, k = 0, i
-                while k < len(lines):
-                    depth += len(re.findall(r"<div\b", lines[k], re.I)) - len(re.findall(r"</div\s*>", lines[k], re.I))
-                    k += 1
-                    if depth <= 0:
-                        break
-                stop = k if depth <= 0 else i + 1
-            else:
-                while stop < len(lines) and lines[stop].strip():
-                    stop += 1
-        if kind == "paragraph":
-            while stop < len(lines) and not _opens(lines[stop]):
-                stop += 1
-        out.append((kind, level, info, i, stop))
-        i = stop
-    return out
-
-
-def split_inline(text: str) -> list[tuple[bool, str]]:
-    r"""(is equation, content) runs: ``\(..\)`` and ``$..$`` without space inside its ends; ``\$`` and ``$$`` are text."""
-    runs, begin, i = [], 0, 0
-    while i < len(text):
-        end = -1
-        if text.startswith("\\(", i):
-            end = text.find("\\)", i + 2)
-            size = 2
-        elif text.startswith("\\$", i) or text.startswith("$$", i):
-            i += 2
-            continue
-        elif text[i] == "$" and i + 1 < len(text) and not text[i + 1].isspace():
-            size, k = 1, i + 1
-            while (k := text.find("$", k)) != -1:
-                if text[k - 1] != "\\" and not text[k - 1].isspace():
-                    end = k
-                    break
-                k += 1
-        if end > i:
-            if begin < i:
-                runs.append((False, text[begin:i]))
-            runs.append((True, text[i + size : end]))
-            begin = i = end + size
-        else:
-            i += 1
-    return runs + ([(False, text[begin:])] if begin < len(text) else [])
+from ..kernels.blocks import KINDS, display_equations, lines_with_ends, parse_blocks, split_inline
+from .rowwise import many
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
-    """(key, ord, kind, level, info, first_line, n_lines, content) of every block; null texts have none."""
-    kind = docs.schema[key].dataType.simpleString()
-    names = ["ord", "kind", "level", "info", "first_line", "n_lines", "content"]
-    types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    """(key, ord, kind, level, info, first_line, n_lines, content, latex) of every block; null texts have none."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for small in range(0, batch.num_rows, 256):
-                part = batch.slice(small, 256)
-                out, rows = [[] for _ in names], []
-                for i, text in enumerate(part.column("md").to_pylist()):
-                    lines = (text or "").split("\n")
-                    for ord_, (what, level, info, a, b) in enumerate(parse_blocks(text) if text else []):
-                        rows.append(i)
-                        for column, value in zip(out, (ord_, what, level, info, a, b - a, "\n".join(lines[a:b])), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [key, *names])
+    def parsed(md: str | None) -> list[tuple]:
+        lines = lines_with_ends(md or "")
+        return [(b.kind, b.level, b.info, b.first, b.stop - b.first, "\n".join(lines[b.first : b.stop]), b.latex) for b in parse_blocks(md or "")]
 
-    return docs.select(F.col(key).alias("key"), F.col(md).alias("md")).mapInArrow(run, f"`{key}` {kind}, ord long, kind string, level int, info string, first_line long, n_lines long, content string")
+    return many(docs, key, {"md": md}, "kind string, level int, info string, first_line long, n_lines long, content string, latex string", parsed)
 
 
 def block_counts(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
     """(key, one column for each kind): how many blocks of each kind a document has."""
-    kinds = ("heading", "paragraph", "equation", "code", "rule", "table", "quote", "bullets", "ordered", "html")
     found = blocks(docs, key, md).select(key, "kind")
-    counts = found.groupBy(key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    counts = found.groupBy(key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
     return docs.select(key).join(counts, key, "left").fillna(0)
 
 
@@ -181,13 +53,13 @@ def analysis(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
                 part = batch.slice(small, 256)
                 counts, inline, outlines, languages = {n: [] for n in kinds}, [], [], []
                 for text in part.column("_md").to_pylist():
-                    lines, found = text.split("\n"), parse_blocks(text)
-                    held = Counter(b[0] for b in found)
+                    lines, found = lines_with_ends(text), parse_blocks(text)
+                    held = Counter(b.kind for b in found)
                     for n, kind in kinds.items():
                         counts[n].append(held[kind])
-                    outlines.append([{"level": level, "text": "\n".join(lines[a:b]).strip().lstrip("#").strip()} for kind, level, _, a, b in found if kind == "heading"])
-                    languages.append([info for kind, _, info, _, _ in found if kind == "code" and info])
-                    inline.append(sum(is_eq for kind, _, _, a, b in found if kind not in ("code", "equation") for is_eq, _ in split_inline("\n".join(lines[a:b]))))
+                    outlines.append([{"level": level, "text": "\n".join(lines[a:b]).strip().lstrip("#").strip()} for kind, level, _, a, b, _ in found if kind == "heading"])
+                    languages.append([info for kind, _, info, *_ in found if kind == "code" and info])
+                    inline.append(sum(r.is_equation for kind, _, _, a, b, _ in found if kind not in ("code", "equation") for r in split_inline("\n".join(lines[a:b]))))
                 total = [a + b for a, b in zip(counts["display_equations"], inline, strict=True)]
                 numbers = [pa.array(c, pa.int64()) for c in (*counts.values(), inline, total)]
                 yield pa.RecordBatch.from_arrays([part.column(key), *(part.column(n) for n in native), *numbers, pa.array(outlines, pa.list_(heading)), pa.array(languages, pa.list_(pa.string()))], names)
@@ -199,24 +71,17 @@ def analysis(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
 
 def equations(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
     """(key, ord, latex) of display equations, delimiters taken off; those of unclosed openers do not count."""
-    body = F.regexp_replace(F.trim("content"), r"(?s)^(?:\$\$|\\\[)\s*(.*?)\s*(?:\$\$|\\\]).*$", "$1")
-    return blocks(docs, key, md).where("kind = 'equation'").select(key, "ord", body.alias("latex"))
+    return many(docs, key, {"md": md}, "latex string", lambda md: [(x,) for x in display_equations(md or "")])
 
 
 def inline_equations(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
-    """(key, ord, nth, latex) of inline equations in all blocks but code and display mathematics."""
-    kind = docs.schema[key].dataType.simpleString()
+    """(key, ord, latex) of inline equations in all blocks but code and display mathematics."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            rows, nth, found = [], [], []
-            for i, text in enumerate(part.column("content").to_pylist()):
-                for n, latex in enumerate(x for is_eq, x in split_inline(text) if is_eq):
-                    rows.append(i)
-                    nth.append(n)
-                    found.append(latex)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("key").take(take), part.column("ord").take(take), pa.array(nth, pa.int64()), pa.array(found, pa.string())], [key, "ord", "nth", "latex"])
-
-    prose = blocks(docs, key, md).where("kind NOT IN ('code', 'equation')").where(F.contains("content", F.lit("$")) | F.contains("content", F.lit("\\(")))
-    return prose.select(F.col(key).alias("key"), "ord", "content").mapInArrow(run, f"`{key}` {kind}, ord long, nth long, latex string")
+    def listed(md: str | None) -> list[tuple]:
+        md = md or ""
+        if "$" not in md and "\\(" not in md:
+            return []
+        lines = lines_with_ends(md)
+        return [(r.text,) for b in parse_blocks(md) if b.kind not in ("code", "equation") for r in split_inline("\n".join(lines[b.first : b.stop])) if r.is_equation]
+
+    return many(docs, key, {"md": md}, "latex string", listed)

@@ -56,21 +56,14 @@ def section_numbers(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def references(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
-    """(key, ord, target, number) of every reference command outside fences; an unknown target has ``?``."""
-    named = F.regexp_extract_all("content", F.lit(r"\\(?:eq|c|C)?ref\{([^}]*)\}"), F.lit(1))
-    used = lines(docs, key, md).where(~F.col("fenced")).select(key, "line", F.posexplode(named).alias("at", "target"))
+    r"""(key, ord, target, number) of every reference command outside fences; an unknown target has ``?``, ``\eqref`` has parentheses."""
+    named = F.regexp_extract_all("content", F.lit(r"(\\(?:eq|c|C)?ref\{[^}]*\})"), F.lit(1))
+    used = lines(docs, key, md).where(~F.col("fenced")).select(key, "line", F.posexplode(named).alias("at", "raw")).withColumn("target", F.regexp_extract("raw", r"\{([^}]*)\}", 1))
     used = used.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("line", "at")).cast("long"))
     known = section_numbers(docs, key).where("label IS NOT NULL").groupBy(F.col(key).alias("k"), "label").agg(F.min_by("number", "line").alias("number"))
-    return used.join(known, (F.col(key) == F.col("k")) & (F.col("target") == F.col("label")), "left").select(key, "ord", "target", F.coalesce("number", F.lit("?")).alias("number"))
-
-
-def citations(docs: DataFrame, bib: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
-    """(key, cited, number) of the known keys that a document cites, numbered by first appearance."""
-    groups = F.regexp_extract_all("content", F.lit(r"\[((?:@[\w:-]+(?:;\s*)?)+)\]"), F.lit(1))
-    each = lines(docs, key, md).where(~F.col("fenced")).select(key, "line", F.posexplode(groups).alias("g", "group")).select(key, "line", "g", F.posexplode(F.split("group", r";\s*")).alias("at", "raw"))
-    cited = each.select(key, F.struct("line", "g", "at").alias("place"), F.regexp_replace("raw", "^@", "").alias("cited"))
-    first = cited.join(bib.select(F.col("key").alias("cited")).distinct(), "cited").groupBy(key, "cited").agg(F.min("place").alias("place"))
-    return first.select(key, "cited", F.row_number().over(Window.partitionBy(key).orderBy("place")).cast("long").alias("number"))
+    number = F.coalesce("number", F.lit("?"))
+    shown = F.when(F.startswith("raw", F.lit("\\eqref")), F.concat(F.lit("("), number, F.lit(")"))).otherwise(number)
+    return used.join(known, (F.col(key) == F.col("k")) & (F.col("target") == F.col("label")), "left").select(key, "ord", "target", shown.alias("number"))
 
 
 _CITED = re.compile(r"\[@|\\cite\{")

@@ -11,7 +11,7 @@ _PARTS = (
     f"CASE WHEN doc_id % 8 = 0 THEN CASE WHEN lang = 'fr' THEN 'Bien sûr, ' ELSE 'Certainly, ' END ELSE '' END || 'see ' || {_BS} || 'ref{{sec:b}} and ' || {_BS} || 'cref{{sec:a}} and [@k' || CAST(doc_id % 4 AS STRING) || '; @k1].' || {_NL}",
     f"'## Part {{#sec:a}}' || {_NL}",
     f"CASE WHEN doc_id % 3 = 0 THEN '#### Deep' || {_NL} || '### Sub {{#sec:b}}' || {_NL} ELSE '' END",
-    f"text || {_NL}",
+    f"coalesce(text, '') || {_NL}",
     f"CASE WHEN doc_id % 2 = 0 THEN '```python' || {_NL} || '# no heading' || {_NL} || 'x = 1' || {_NL} || '```' || {_NL} ELSE '' END",
     f"CASE WHEN doc_id % 3 = 0 THEN 'Inline $a_' || CAST(doc_id AS STRING) || '$ here.' || {_NL} ELSE '' END",
     f"CASE WHEN doc_id % 4 = 0 THEN {_NL} || '$$' || {_NL} || 'E_' || CAST(doc_id AS STRING) || ' = mc^2' || {_NL} || '$$' || {_NL} || {_NL} ELSE '' END",
@@ -26,10 +26,11 @@ _PARTS = (
 )
 EXPRESSION = " || ".join(f"({p.replace('{{', '{').replace('}}', '}')})" for p in _PARTS)
 #: A common table expression for the SQL side.
-SQL = f"decorated AS (SELECT doc_id, lang, source, {EXPRESSION} AS md FROM documents WHERE text IS NOT NULL)"
+SQL = f"decorated AS (SELECT doc_id, lang, source, {EXPRESSION} AS md FROM documents)"
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    """Every document as Markdown; a null text counts as empty."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     literal = EXPRESSION.replace("chr(92)", "char(92)")
     return docs.selectExpr("doc_id", "lang", "source", f"{literal} AS md")

