@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import artifacts as A
+from .kernels.export import _TEX_PREAMBLE
 from .operators import cleaning, mathematics, scholarly
 from .plans.decorate import SQL, decorated
 from .queries import ORACLES, QUERIES, register
+from .sinks.files import export_documents
 from .sources.files import import_documents
 
 _NL = "chr(10)"
@@ -176,5 +178,32 @@ def latex_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mathematics.convert_latex(met, "doc_id", "latex", "macros").select("doc_id", "unicode", "clean")
 
 
+_EXPORTED = "# Doc {id}\n\npara **b** *i* `c` [l](u)\n\n```text\n{text}\n```\n\n- x\n- y\n\n| a | b |\n| --- | --- |\n| 1 | {id} |\n"
+#: extension, what it has to become, and the text that it has, in SQL.
+_EXPORTS = (
+    ("txt", "# Doc {id}\n\npara b i `c` l\n\n\n    {text}\n\n  • x\n  • y\n\nab1{id}", "replace(t, chr(10), chr(10) || '    ')"),
+    ("tex", _TEX_PREAMBLE + "\\date{}\n\n\\begin{document}\n\n\n\\section{\nDoc {id}\n}\n\npara \\textbf{b} \\textit{i} \\texttt{c} \\href{u}{\nl}\n\n\\begin{lstlisting}[language=text]\n{text}\n\\end{lstlisting}\n\n\\begin{itemize}\n  \\item x\n  \\item y\n\\end{itemize}\n\n\n\\begin{table}[h]\\centering\n\\begin{tabular}{|l|l|}\n\\hline\na & b \\\\ \\hline\n1 & {id} \\\\ \\hline\n\\end{tabular}\n\\end{table}\n\n\\end{document}\n", "t"),
+    ("org", "#+OPTIONS: toc:t num:t\n\n* Doc {id}\n\npara *b* /i/ =c= [[u][l]]\n\n#+begin_src text\n{text}\n#+end_src\n\n- x\n- y\n\n\n| a | b |\n|---+---|\n| 1 | {id} |\n\n", "rtrim(t, ' ' || chr(10))"),
+    ("rst", "\nDoc {id}\n{line}\n\npara **b** *i* \\ ``c``\\  l\n\n.. code-block:: text\n\n   {text}\n\n- x\n- y\n\n\n.. list-table::\n   :header-rows: 1\n\n   * - a\n     - b\n   * - 1\n     - {id}\n\n", "replace(t, chr(10), chr(10) || '   ')"),
+    ("adoc", ":toc:\n:stem: latexmath\n\n== Doc {id}\n\npara *b* _i_ `c` l\n\n[source,text]\n----\n{text}\n----\n\n* x\n* y\n\n\n[options=\"header\"]\n|===\n| a | b \n| 1 | {id} \n|===\n\n", "rtrim(t, ' ' || chr(10))"),
+)
+
+
+def _exports_sql() -> str:
+    cases = []
+    for i, (_, told, text) in enumerate(_EXPORTS):
+        cases.append(f"WHEN {i} THEN " + _sql(told, text).replace("{line}", "' || repeat('=', 4 + length(doc_id::VARCHAR)) || '"))
+    return f"SELECT doc_id, CASE doc_id % {len(_EXPORTS)} {' '.join(cases)} END AS text FROM (SELECT doc_id, replace(coalesce(text, ''), '$$', 'SS') AS t FROM documents)"
+
+
+@register(_exports_sql())
+def export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as plain text, LaTeX, Org, reStructuredText and AsciiDoc. Two dollars, which would open an equation inside the fence, are written SS on both sides."""
+    kind = F.element_at(F.array(*[F.lit(e) for e, _, _ in _EXPORTS]), (F.col("doc_id") % len(_EXPORTS) + 1).cast("int"))
+    plain = _documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit("$$"), F.lit("SS")).alias("text"))
+    docs = plain.select("doc_id", _source(_EXPORTED).alias("md"), kind.alias("ext"))
+    return export_documents(docs, docs["ext"], "doc_id", "md").select("doc_id", F.decode("content", "utf-8").alias("text"))
+
+
 QUERIES |= {"purify_markdown": purify_markdown, "zone_decisions": zone_decisions}
 __all__ = ["ORACLES", "QUERIES"]
