@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import kept, release, slices, stash, table, with_uid
 from .lines import positions
-from .tokens import CHUNKS, PIECES, VOCABULARY, Kept, Pieces, byte_alphabet
+from .tokens import CHUNKS, PIECES, VOCABULARY, Kept, Pieces, byte_alphabet, unmixed
 
 WINDOW, END_ID, QUANTUM = 2048, 1, 256
 #: A source that holds at least this part of all tokens has a queue of its own (a token in every window, on average).
 QUEUES = 2048
 #: Entries of the windows by queues that are worked out at once.
 ROUNDS = 1 << 18
+#: The byte-level letter for a space, and marks that end a word of letters and are a pre-token.
+_SPACE, _MARKS = "\u0120", frozenset(".,;:!?)")
 
 
 class IdEncoder(Pieces):
@@ -41,13 +43,22 @@ class IdEncoder(Pieces):
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self._model, self._code = self.library.model, "H" if self.width is np.uint16 else "I"
         self._letters = {b: c for c, b in byte_alphabet().items()}
-        self._chunks = Kept(lambda c: self._chunk(f" {c}"), CHUNKS)
+        self._chunks = Kept(self._word, CHUNKS)
         self._pieces = Kept(self._piece, PIECES)
 
     def _piece(self, piece: str) -> bytes:
         """By the library's own model; its byte letters are put in here, its pre-tokenizer would cut the piece no further."""
         return array(self._code, [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """A word and the space before it. Most are plain letters, perhaps with a mark behind them, which is a piece of its own."""
+        if word.isascii():
+            if word.isalpha():
+                return array(self._code, [t.id for t in self._model.tokenize(f"{_SPACE}{word}")]).tobytes()
+            if word[-1:] in _MARKS and word[:-1].isalpha():
+                return self._chunks[word[:-1]] + self._pieces[word[-1]]
+        return self._chunk(f" {unmixed(word)}")
+
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self._pieces[p] for p in self.pieces(chunk)])
 
@@ -58,8 +69,7 @@ class IdEncoder(Pieces):
             if k % 2:
                 out.append(np.array([self.special[part]], self.width).tobytes())
             elif part:
-                head, tail = self.chunks(part)
-                out += [self._chunk(head), *map(self._chunks.__getitem__, tail)]
+                out += self.stretches(part, self._chunks, self._chunk)
         return b"".join(out)
 
 

@@ -5,8 +5,8 @@ short run of words in it, at a place that depends on the window's words alone: e
 anchors. Neighbouring windows with their anchor at the same place form a stretch.
 
 1. Stretches are counted by anchor over the whole corpus. An anchor met once rules out all its windows.
-   Where all stretches of an anchor have the same words, the stretch is a phrase. Elsewhere (at the
-   ends of passages) the windows themselves are counted; those met again are phrases, and neighbouring ones travel together.
+   A stretch whose words recur as a whole is a phrase. Where stretches of an anchor differ (at the ends of passages), the windows
+   of those met once, and of the first of each that recurs, are counted; those met again are phrases. Neighbours that always meet are one phrase.
 2. A confirmed phrase is taken, once, from the first document that has it, as words. Documents are dealt into shards; a shard
    is sent the phrases that were sighted in it, each once, compiles them into an automaton over words
    (pyahocorasick), and streams its documents through it. Only what the automaton finds is marked. Documents without any recurring
@@ -75,6 +75,42 @@ def _stretch_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     return rows.select("uid", "text").mapInArrow(run, "anchor long, whole long, uid long, place long")
 
 
+def sightings(sums: np.ndarray, base: int, whole: np.ndarray, unlike: np.ndarray, window: int) -> np.ndarray:
+    """[phrases, 3] of a document: hash, place and the hash of the phrase that follows directly (0 without one).
+
+    ``whole`` are places of stretches that recur as wholes, ``unlike`` those whose windows are tried one by one. Window phrases and
+    stretch phrases have hashes of their own.
+    """
+    parts = []
+    many = unlike % 64
+    starts = np.sort(np.repeat(unlike // 64, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+    for places, kind in ((np.sort(whole), U(0)), (starts * 64 + 1, U(0x5851F42D4C957F2D))):
+        start, step = places // 64, places % 64
+        hashes = (spans(sums, base + start, base + start + step - 1 + window) ^ kind).view(np.int64)
+        joined = np.append(start[1:] == (start + step)[:-1], False) if len(start) else np.empty(0, bool)
+        parts.append(np.stack([hashes, places, np.where(joined, np.roll(hashes, -1), 0)], 1))
+    return np.concatenate(parts)
+
+
+def chains(phrases: list[dict], window: int) -> list[tuple[int, int, list[int], int]]:
+    """(begin, end, phrases, shards) of the runs that one document gives.
+
+    A phrase and its neighbour are one run if the one is always followed by the other, and both are met equally often: then
+    they are never met apart.
+    """
+    out: list[tuple[int, int, list[int], int]] = []
+    last = None
+    for p in sorted(phrases, key=lambda p: (p["place"] % 64 == 1, p["place"])):
+        start, step = divmod(p["place"], 64)
+        if last and last["following"] == p["phrase"] and last["n"] == p["n"] and last["place"] // 64 + last["place"] % 64 == start:
+            begin, _, known, most = out[-1]
+            out[-1] = (begin, start + step - 1 + window, known + [p["phrase"]], max(most, p["shards"]))
+        else:
+            out.append((start, start + step - 1 + window, [p["phrase"]], p["shards"]))
+        last = p
+    return out
+
+
 def covered_by(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     marks = np.zeros(n + 1, np.int64)
     np.add.at(marks, begins, 1)
@@ -85,32 +121,27 @@ def covered_by(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 class Passages:
     """Aho-Corasick automata over words for the phrases of one shard.
 
-    A phrase is (whole, words): all of it recurs, or each ``window`` of it does. Words get numbers shard by shard. Beyond NODES words of patterns the
-    phrases make several automata, of which one is in memory at a time.
+    Words get numbers shard by shard. Beyond NODES words the phrases make several automata, of which one is in memory at a time.
     """
 
-    def __init__(self, phrases: list[tuple[bool, bytes]], window: int):
-        self.window, self.number = window, {}
-        self.parts: list[list[tuple[bool, list[int]]]] = [[]]
+    def __init__(self, phrases: list[bytes]):
+        self.number: dict[bytes, int] = {}
+        self.parts: list[list[tuple[int, ...]]] = [[]]
         held = 0
-        for whole, text in phrases:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in text.split()]
-            nodes = len(words) if whole else (len(words) - window + 1) * window
-            if held and held + nodes > NODES:
+        for text in phrases:
+            words = tuple([self.number.setdefault(w, len(self.number) + 1) for w in text.split()])
+            if held and held + len(words) > NODES:
                 self.parts.append([])
                 held = 0
-            self.parts[-1].append((whole, words))
-            held += nodes
+            self.parts[-1].append(words)
+            held += len(words)
         self._only = self._compiled(self.parts[0]) if len(self.parts) == 1 else None
 
-    def _compiled(self, phrases: list[tuple[bool, list[int]]]) -> ahocorasick.Automaton | None:
+    @staticmethod
+    def _compiled(phrases: list[tuple[int, ...]]) -> ahocorasick.Automaton | None:
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for whole, words in phrases:
-            if whole:
-                automaton.add_word(tuple(words), len(words))
-                continue
-            for begin in range(len(words) - self.window + 1):
-                automaton.add_word(tuple(words[begin : begin + self.window]), self.window)
+        for words in phrases:
+            automaton.add_word(words, len(words))
         if not len(automaton):
             return None
         automaton.make_automaton()
@@ -182,28 +213,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     found = _stretch_rows(named, window, anchor)
     counted = stash(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1").select("anchor", "n", (F.col("low") == F.col("high")).alias("alike")))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    recurring = stash(spread_join(found.drop("whole"), counted, ["anchor"], "n", F.struct("uid", "place"), total).select("uid", "place", "anchor", "alike"))
-    own = recurring.groupBy("uid").agg(F.collect_list(F.when(~F.col("alike"), F.col("place"))).alias("unlike"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    recurring = stash(spread_join(found, counted, ["anchor"], "n", F.struct("uid", "place"), total).select("uid", "place", "whole", "alike"))
+    # a stretch that recurs as a whole is one phrase; windows are tried of those that do not, and of the first of those that do
+    wholes = recurring.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("first")).where("n > 1")
+    first = (F.col("first.uid") == F.col("uid")) & (F.col("first.place") == F.col("place"))
+    twice = spread_join(recurring, wholes, ["whole"], "n", F.struct("uid", "place"), total, "left").select("uid", "place", F.col("n").isNotNull().alias("twice"), (~F.col("alike") & F.coalesce(first, F.lit(True))).alias("tried"))
+    own = twice.groupBy("uid").agg(F.collect_list(F.when(F.col("twice"), F.col("place"))).alias("whole"), F.collect_list(F.when(F.col("tried"), F.col("place"))).alias("unlike"))
+
+    def sight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bodies in inflated(batches):
             h, bounds = words_of(bodies)
             sums = span_sums(h)
-            out = [[] for _ in range(6)]
-            for i, (body, packed, unlike) in enumerate(zip(bodies, *(part.column(c).to_pylist() for c in ("body", "unlike")), strict=True)):
-                tried = np.sort(np.array(unlike or [], np.int64))
-                many = tried % 64
-                starts = np.repeat(tried // 64, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                hashes = spans(sums, bounds[i] + starts, bounds[i] + starts + window)
+            out = [[] for _ in range(5)]
+            for i, (body, packed, whole, unlike) in enumerate(zip(bodies, *(part.column(c).to_pylist() for c in ("body", "whole", "unlike")), strict=True)):
                 flagged = unlike is not None
                 digest = None if flagged else hashlib.sha256(b" ".join((body or b"").split())).hexdigest()
-                for column, value in zip(out, (int(bounds[i + 1] - bounds[i]), digest, packed if texts or flagged else None, len(body or b"") if flagged else None, starts.astype(np.int64).tobytes(), hashes.tobytes()), strict=True):
+                seen = sightings(sums, int(bounds[i]), np.array(whole, np.int64), np.array(unlike, np.int64), window).tobytes() if flagged else None
+                for column, value in zip(out, (int(bounds[i + 1] - bounds[i]), digest, packed if texts or flagged else None, len(body or b"") if flagged else None, seen), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("rest"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), *(pa.array(x, pa.binary()) for x in out[4:])], ["uid", "rest", "n_words", "digest", "body", "flagged", "starts", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("rest"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["uid", "rest", "n_words", "digest", "body", "flagged", "seen"])
 
     rest_kind = named.schema["rest"].dataType.simpleString()
     looked = named.select("uid", "rest", "text").mapInArrow(deflated, f"uid long, rest {rest_kind}, body binary")
-    looked = stash(looked.join(own, "uid", "left").select("uid", "rest", "body", "unlike").mapInArrow(windows, f"uid long, rest {rest_kind}, n_words long, digest string, body binary, flagged long, starts binary, hashes binary"))
+    looked = stash(looked.join(own, "uid", "left").select("uid", "rest", "body", "whole", "unlike").mapInArrow(sight, f"uid long, rest {rest_kind}, n_words long, digest string, body binary, flagged long, seen binary"))
     suspects = looked.where("flagged IS NOT NULL")
     shards = 1 + (suspects.agg(F.sum("flagged")).first()[0] or 0) // SHARD_BYTES
     shard = F.pmod(F.xxhash64("uid"), F.lit(shards))
@@ -212,44 +244,36 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
-                starts, hashes = (part.column(c).to_pylist() for c in ("starts", "hashes"))
-                uid = np.repeat(part.column("uid").to_numpy(), [len(s) // 8 for s in starts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(hashes), np.int64)), pa.array(uid), pa.array(np.frombuffer(b"".join(starts), np.int64))], ["phrase", "uid", "start"])
-
-    # where phrases may be met: by shard, with the first place; a whole stretch, or a window of those that differ
-    each = suspects.where("length(starts) > 0").select("uid", "starts", "hashes").mapInArrow(single, "phrase long, uid long, start long")
-    whole = recurring.where("alike").select(F.col("anchor").alias("phrase"), "uid", F.expr("place DIV 64").alias("start"), F.lit(True).alias("whole"), (F.col("place") % 64 + window - 1).cast("int").alias("words"))
-    sightings = whole.unionByName(each.select("phrase", "uid", "start", F.lit(False).alias("whole"), F.lit(window).alias("words")))
-    wanted = stash(sightings.groupBy("whole", "phrase", shard.alias("shard")).agg(F.count("*").alias("n"), F.min(F.struct("uid", "start", "words")).alias("first")))
-    confirmed = wanted.groupBy("whole", "phrase").agg(F.sum("n").alias("n"), F.count("*").alias("shards"), F.min("first").alias("first")).where("n > 1")
+                seen = part.column("seen").to_pylist()
+                columns = np.frombuffer(b"".join(seen), np.int64).reshape(-1, 3).T.copy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("uid").to_numpy(), [len(s) // 24 for s in seen])), *map(pa.array, columns)], ["uid", "phrase", "place", "following"])
+
+    # where phrases may be met: by shard, with the first place and what follows if that is always the same
+    each = suspects.select("uid", "seen").mapInArrow(single, "uid long, phrase long, place long, following long")
+    follows = [F.min("following").alias("low"), F.max("following").alias("high")]
+    wanted = stash(each.groupBy("phrase", shard.cast("int").alias("shard")).agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("first"), *follows))
+    confirmed = wanted.groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("shards"), F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1")
     # the first document that has a phrase gives its words
-    given = confirmed.groupBy(F.col("first.uid").alias("u")).agg(F.collect_list(F.struct("whole", F.col("first.start").alias("start"), F.col("first.words").alias("words"), "phrase", "shards")).alias("phrases"))
+    given = confirmed.groupBy(F.col("first.uid").alias("u")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "phrase", "n", "shards", F.when(F.col("low") == F.col("high"), F.col("low")).alias("following"))).alias("phrases"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bodies in inflated(batches):
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(3)]
             for body, phrases in zip(bodies, part.column("phrases").to_pylist(), strict=True):
-                words, runs = body.split(), []
-                for p in sorted(phrases, key=lambda p: (p["whole"], p["start"])):
-                    last = runs[-1] if runs else None
-                    if last and not p["whole"] and not last[0] and p["start"] == last[2] + 1 and len(last[3]) < window:
-                        last[2], last[4] = p["start"], max(last[4], p["shards"])
-                        last[3].append(p["phrase"])
-                    else:
-                        runs.append([p["whole"], p["start"], p["start"], [p["phrase"]], p["shards"], p["words"]])
-                for is_whole, begin, end, known, most, size in runs:
-                    for column, value in zip(out, (is_whole, b" ".join(words[begin : end + size]), known, most), strict=True):
+                words = body.split()
+                for begin, end, known, most in chains(phrases, window):
+                    for column, value in zip(out, (b" ".join(words[begin:end]), known, most), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.bool_()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64())], ["whole", "body", "phrases", "shards"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.int64())], ["body", "phrases", "shards"])
 
     givers = suspects.select("uid", "body").join(given, F.col("uid") == F.col("u")).select("body", "phrases")
-    runs = stash(givers.mapInArrow(extract, "whole boolean, body binary, phrases array<long>, shards long")).withColumn("run", F.monotonically_increasing_id())
+    runs = stash(givers.mapInArrow(extract, "body binary, phrases array<long>, shards long")).withColumn("run", F.monotonically_increasing_id())
     asked = wanted.count()
-    sent = spread_join(wanted.select("whole", "phrase", "shard"), runs.select("whole", F.explode("phrases").alias("phrase"), "run", "shards"), ["whole", "phrase"], "shards", F.col("shard"), asked).select("run", "shard").distinct()
-    delivered = spread_join(sent, runs.select("run", "whole", "body", "shards"), ["run"], "shards", F.col("shard"), asked)
+    sent = spread_join(wanted.select("phrase", "shard"), runs.select(F.explode("phrases").alias("phrase"), "run", "shards"), ["phrase"], "shards", F.col("shard"), asked).select("run", "shard").distinct()
+    delivered = spread_join(sent, runs.select("run", "body", "shards"), ["run"], "shards", F.col("shard"), asked)
     blank = F.lit(None)
-    patterns = delivered.select("shard", F.lit(False).alias("document"), "whole", "body", blank.cast(rest_kind).alias("rest"), blank.cast("long").alias("n_words"))
-    met = patterns.unionByName(suspects.select(shard.alias("shard"), F.lit(True).alias("document"), F.lit(False).alias("whole"), "body", "rest", "n_words"))
+    patterns = delivered.select("shard", F.lit(False).alias("document"), "body", blank.cast(rest_kind).alias("rest"), blank.cast("long").alias("n_words"))
+    met = patterns.unionByName(suspects.select(shard.cast("int").alias("shard"), F.lit(True).alias("document"), "body", "rest", "n_words"))
     ordered = met.repartition("shard").sortWithinPartitions("shard", "document")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +286,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 if now != at:
                     at, phrases, passages = now, [], None
                 if not document:  # a shard's phrases come before its documents
-                    phrases += zip(part.column("whole").to_pylist(), part.column("body").to_pylist(), strict=True)
+                    phrases += part.column("body").to_pylist()
                     continue
-                passages = passages or Passages(phrases, window)
+                passages = passages or Passages(phrases)
                 for some, bodies in inflated([part]):
                     yield marked(some, bodies, passages)
 

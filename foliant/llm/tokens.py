@@ -33,8 +33,6 @@ _L, _N = _class("L"), _class("N")
 #: The byte-level pre-tokenizer's pattern, for texts below U+0250; others go through the library's own.
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_SPACES}{_L}{_N}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 _BEYOND = re.compile("[^\x00-ɏ]")
-#: A space next to white space is no clean place to cut.
-_MIXED = re.compile(r"\s | \s")
 _CLEAN_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -49,6 +47,33 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Mixed(Exception):
+    """A stretch that begins or ends with white space, next to which a space is no place to cut."""
+
+
+def unmixed(word: str) -> str:
+    if not word or word[0].isspace() or word[-1].isspace():
+        raise Mixed
+    return word
+
+
+class Kept(dict):
+    """A bounded cache of what ``make`` makes of a key. Full, it becomes the older half, of which what is asked for again moves up."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key: str):
+        made = self.older.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = made
+        return made
+
+
 class Pieces:
     """Cuts texts where a byte-level BPE tokenizer cuts them, in two steps that caches can follow."""
 
@@ -69,13 +94,23 @@ class Pieces:
         return self._special.split(text) if self._special and any(s in text for s in self.special) else [text]
 
     @staticmethod
-    def chunks(text: str) -> tuple[str, list[str]]:
-        """The first stretch, and the others without the space that each begins with; no pre-token crosses their bounds."""
-        if _MIXED.search(text):
-            head, *tail = _CLEAN_CUT.split(text)
-            return head, [c[1:] for c in tail]
+    def stretches(text: str, known: Kept, chunk) -> list:
+        """What ``known`` or ``chunk`` makes of each stretch of an ordinary text; no pre-token crosses their bounds.
+
+        A space between two words is a clean place to cut, a space next to white space is none. ``known`` takes words without the
+        space before them; the first stretch goes to ``chunk`` as it is.
+        """
         head, *tail = text.split(" ")
-        return head, tail
+        if not tail:
+            return [chunk(head)]
+        last = tail.pop()
+        if head and last and not head[-1].isspace() and not last[0].isspace():
+            try:
+                return [chunk(head), *map(known.__getitem__, tail), chunk(f" {last}") if last[-1].isspace() else known[last]]
+            except Mixed:
+                pass
+        head, *tail = _CLEAN_CUT.split(text)
+        return [chunk(head), *(chunk(c) if c[-1].isspace() else known[c[1:]] for c in tail)]
 
     def pieces(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk."""
@@ -89,23 +124,6 @@ class Pieces:
         return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
 
-class Kept(dict):
-    """A bounded cache of what ``make`` makes of a key. Full, it becomes the older half, of which what is asked for again moves up."""
-
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key: str):
-        made = self.older.get(key)
-        if made is None:
-            made = self.make(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = made
-        return made
-
-
 class PrefixCounter(Pieces):
     """Exact token counts of whole texts and of all their prefixes."""
 
@@ -129,7 +147,7 @@ class PrefixCounter(Pieces):
             self._suffixes.add_word(t.decode("latin-1"), (i, len(t)))
         self._suffixes.make_automaton()
         self._tables = Kept(self._table, PIECES)
-        self._totals = Kept(lambda c: self._chunk(f" {c}"), CHUNKS)
+        self._totals = Kept(lambda c: self._chunk(f" {unmixed(c)}"), CHUNKS)
 
     def _stable(self, left: int, right: int, below: int = 1 << 60) -> bool:
         """Whether no merge older than ``below`` crosses from one token into the other.
@@ -186,8 +204,7 @@ class PrefixCounter(Pieces):
             if k % 2:
                 total += 1
             elif part:
-                head, tail = self.chunks(part)
-                total += self._chunk(head) + sum(map(self._totals.__getitem__, tail))
+                total += sum(self.stretches(part, self._totals, self._chunk))
         return total
 
     def prefix_counts(self, text: str) -> list[int]:
