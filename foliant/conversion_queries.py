@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from .functions import artifacts as A
 from .kernels.export import _TEX_PREAMBLE
-from .operators import cleaning, mathematics, scholarly
+from .operators import cleaning, mathematics, parts, scholarly
 from .plans.decorate import SQL, decorated
 from .queries import ORACLES, QUERIES, register
 from .sinks.files import export_documents
-from .sources.files import import_documents
+from .sources.files import import_documents, recover_documents
 
 _NL = "chr(10)"
 
@@ -205,5 +205,63 @@ def export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_documents(docs, docs["ext"], "doc_id", "md").select("doc_id", F.decode("content", "utf-8").alias("text"))
 
 
+@register(f"WITH {SQL} SELECT doc_id, sha256(md) AS sha256, true AS lossless, length(md)::BIGINT AS chars, strlen(md)::BIGINT AS bytes, left(md, 200) AS preview FROM decorated")
+def word_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as Word files and read back: exactly what they were."""
+    files = export_documents(decorated(spark, sf_dir), "docx")
+    return recover_documents(files, "doc_id").select("doc_id", F.sha2("md", 256).alias("sha256"), "lossless", "chars", "bytes", "preview")
+
+
+_PACKAGED = "# Doc {id}\n\npara **b** *i* [l](u)\n\n```\n{text}\n```\n\n- x\n- y\n\n| a | b |\n| --- | --- |\n| 1 | {id} |\n"
+
+
+@register("""SELECT doc_id, CASE doc_id % 2
+WHEN 0 THEN '# Doc ' || doc_id || chr(10) || chr(10) || 'para **b** *i* l' || chr(10) || chr(10) || coalesce(t || chr(10) || chr(10), '') || '- x' || chr(10) || '- y' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || doc_id || ' |' || chr(10)
+ELSE '# Doc ' || doc_id || chr(10) || chr(10) || chr(10) || 'para **b** *i* l' || chr(10) || chr(10) || '```' || chr(10) || raw || CASE WHEN suffix(raw, chr(10)) THEN '' ELSE chr(10) END || '```' || chr(10) || chr(10) || '- x' || chr(10) || '- y' || chr(10) || chr(10) || chr(10) || '| a| b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1| ' || doc_id || ' |' || chr(10) END AS md
+FROM (SELECT doc_id, text AS raw, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""")
+def package_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as OpenDocument texts and EPUB books and imported again."""
+    docs = _documents(spark, sf_dir).select("doc_id", _source(_PACKAGED).alias("md"), F.when(F.col("doc_id") % 2 == 0, "odt").otherwise("epub").alias("ext"))
+    files = export_documents(docs, docs["ext"]).join(docs.select("doc_id", "ext"), "doc_id")
+    return import_documents(files, "doc_id", "content", files["ext"]).select("doc_id", "md")
+
+
+@register(f"""WITH {SQL}, found AS (SELECT doc_id, strpos(md, '| a | b |') AS p FROM decorated WHERE doc_id % 5 = 0)
+SELECT doc_id, 0 AS tbl, c.r AS row, c.k AS col, c.t AS text, p - 1 + c.o AS begin, p + c.o AS "end" FROM found,
+(VALUES (0, 0, 'a', 2), (0, 1, 'b', 6), (1, 0, '1', 26), (1, 1, '2', 30)) AS c(r, k, t, o)""")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of all pipe tables with their places."""
+    return parts.table_cells(decorated(spark, sf_dir)).drop("ord")
+
+
+@register(f"WITH {SQL} SELECT doc_id, 'fig' AS alt, 'img_' || doc_id || '.png' AS path, strpos(md, '![fig]') - 1 AS begin, strpos(md, '![fig]') - 1 + length('![fig](img_' || doc_id || '.png)') AS \"end\" FROM decorated WHERE doc_id % 7 = 0")
+def located_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image references with their places."""
+    return parts.located_images(decorated(spark, sf_dir)).drop("ord")
+
+
+@register(f"WITH {SQL}, e AS (SELECT doc_id, md, strpos(md, chr(10) || '$$' || chr(10) || 'E_') AS p FROM decorated WHERE doc_id % 4 = 0) SELECT doc_id, 1 AS ord, 'E_' || doc_id || ' = mc^2' AS content, p AS begin, p + length('$$' || chr(10) || 'E_' || doc_id || ' = mc^2' || chr(10) || '$$' || chr(10)) AS \"end\" FROM e")
+def equation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display equations as segments between texts, with their places."""
+    return parts.segments(decorated(spark, sf_dir)).where("is_equation").select("doc_id", "ord", "content", "begin", "end")
+
+
+@register("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'f_' || o_orderkey || '_x.html' ELSE 'x_f_' || o_orderkey || '.html' END AS name,
+CASE WHEN o_orderkey % 4 = 0 THEN 'image/jpeg' WHEN o_orderkey % 4 = 1 THEN 'image/svg+xml' ELSE 'image/png' END AS mime, CASE WHEN o_orderkey % 4 = 2 THEN NULL ELSE 'a b/f_' || o_orderkey || '.x' END AS local,
+least(1 + o_custkey, 600)::BIGINT AS width, (CASE WHEN 1 + o_custkey <= 600 THEN 1 + o_orderkey ELSE (1 + o_orderkey) * 600 // (1 + o_custkey) END)::BIGINT AS height, o_orderkey % 5 <> 0 AS safe FROM orders""")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, media types, local paths and sizes of images."""
+    from .functions import files as N
+
+    k = F.col("o_orderkey")
+    base = F.concat(F.lit("dir/f_"), k.cast("string"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", F.concat(base, F.lit(".md")).alias("path"), F.concat(base, F.element_at(F.array(F.lit(".JPG"), F.lit(".svg"), F.lit(".png"), F.lit("")), (k % 4 + 1).cast("int"))).alias("image"))
+    source = F.when(k % 4 == 2, F.concat(F.lit("HTTPS://h/f_"), k.cast("string"))).otherwise(F.concat(F.lit(" file://a%20b/f_"), k.cast("string"), F.lit(".x")))
+    size = N.fit_width(F.col("o_custkey") + 1, k + 1, 600)
+    name = F.when(k % 3 == 0, N.output_name(F.col("path"), "html", "x")).otherwise(N.output_name(F.col("path"), "html", "x", True))
+    tried = F.element_at(F.array(F.lit("../x"), F.lit("a/b"), F.lit("a..b"), F.lit("x.y"), F.lit("a/c/..d")), (k % 5 + 1).cast("int"))
+    return rows.select("o_orderkey", name.alias("name"), N.image_mime(F.col("image")).alias("mime"), N.local_image(source).alias("local"), size["width"].alias("width"), size["height"].alias("height"), N.safe_name(tried).alias("safe"))
+
+
 QUERIES |= {"purify_markdown": purify_markdown, "zone_decisions": zone_decisions}
 __all__ = ["ORACLES", "QUERIES"]

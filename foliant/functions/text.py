@@ -96,7 +96,7 @@ def escape_xml(text: Column) -> Column:
 def escape_tex(text: Column) -> Column:
     text = F.replace(text, F.lit("\\"), F.lit("\u0000"))
     text = F.regexp_replace(text, r"([&%$#_{}])", r"\\$1")
-    for a, b in (("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"), ("\u0000", r"\textbackslash{}")):
+    for a, b in (("~", r"\textasciitilde{}"), ("^", r"\^{}"), ("\u0000", r"\textbackslash{}")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
@@ -150,6 +150,41 @@ def csv_table(text: Column) -> Column:
     return once(cells, lambda rows: once(F.array_max(F.transform(rows, F.size)), lambda width: padded(rows, width)))
 
 
-def output_name(path: Column, extension: str, prefix: str = "", suffix: str = "") -> Column:
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
-    return F.concat(F.lit(prefix), stem, F.lit(f"{suffix}.{extension}"))
+def escape_typst(text: Column) -> Column:
+    return F.regexp_replace(text, r"([\\#*_`$@])", r"\\$1")
+
+
+def escape_rst(text: Column) -> Column:
+    return F.regexp_replace(text, r"([*`|])", r"\\$1")
+
+
+def escape_html(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def collapse_newlines(text: Column) -> Column:
+    """At most one blank line in a row, and one line end at the end."""
+    return F.concat(F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"(?U)\s+\z", ""), F.lit("\n"))
+
+
+def line_number(text: Column, chars: Column) -> Column:
+    """The line, from 1, that a place in characters is on."""
+    return (F.regexp_count(F.left(text, chars), F.lit("\n")) + 1).cast("long")
+
+
+def set_alignment(div: Column, how: str) -> Column:
+    """A div with another text alignment."""
+    return F.regexp_replace(div, r"text-align\s*:\s*[\w-]+", f"text-align: {how}")
+
+
+def toggle_comment(line: Column) -> Column:
+    """A line as a comment, or a comment's line."""
+    return F.when(line.rlike("^\\s*<!-- .* -->\\s*$"), F.regexp_replace(line, "^(\\s*)<!-- (.*) -->\\s*$", "$1$2")).otherwise(F.concat(F.lit("<!-- "), line, F.lit(" -->")))
+
+
+def duplicate_line(text: Column, number: Column) -> Column:
+    """The text with a line (from 1) twice."""
+    parts = lines(text)
+    return F.array_join(F.concat(F.slice(parts, F.lit(1), number), F.slice(parts, number, F.greatest(F.size(parts) - number + 1, F.lit(0)))), "\n")

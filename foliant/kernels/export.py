@@ -126,8 +126,6 @@ class Writer:
                     self.buf += e.value
                 else:
                     self.on_text(e.value)
-            elif e.what == "soft":
-                self.buf += " "
             else:
                 getattr(self, f"on_{e.what}", lambda value: None)(e.value)
         return "".join(self.out)
@@ -135,6 +133,9 @@ class Writer:
     def on_text(self, text: str) -> None:
         self.buf += self.escape(text)
 
+    def on_soft(self, _: object) -> None:
+        self.buf += " "
+
     def _table(self, e: Event) -> None:
         if e.tag == "table" and e.what == "start":
             self.flush()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import export as X
+from ..kernels import package
 from ..operators.rowwise import each
 
 #: extension -> what makes a file's text of Markdown, a title and an author.
@@ -31,6 +32,7 @@ TEXT_EXPORTERS: dict[str, Callable[[str, str, str], str]] = {
 }
 #: extension -> what makes a file's bytes.
 EXPORTERS: dict[str, Callable[[str, str, str], bytes]] = {ext: (lambda md, title, author, f=f: f(md, title, author).encode("utf-8", "surrogatepass")) for ext, f in TEXT_EXPORTERS.items()}
+EXPORTERS |= {"docx": package.to_word, "odt": package.to_opendocument, "epub": package.to_epub}
 
 
 def export_documents(docs: DataFrame, ext: str | Column, key: str = "doc_id", md: str = "md", title: str | None = None, author: str | None = None) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..kernels import html, markup, records, tex
+from ..kernels import html, markup, office, records, tex
 from ..kernels.encoding import read_text
-from ..operators.rowwise import each
+from ..operators.rowwise import each, many
 
 
 def _texts(f: Callable[[str], str]) -> Callable[[bytes], str]:
@@ -37,7 +37,14 @@ _TEXT_FORMATS = {
 #: extension -> what makes Markdown of a file's bytes.
 IMPORTERS: dict[str, Callable[[bytes], str]] = {ext: _texts(f) for exts, f in _TEXT_FORMATS.items() for ext in exts.split()}
 IMPORTERS |= {ext: _code(language) for ext, language in records.LANGUAGES.items()}
-IMPORTERS["fb2"] = lambda data: records.book_to_md(data.decode("utf-8"))
+IMPORTERS |= {
+    "fb2": lambda data: records.book_to_md(data.decode("utf-8")),
+    "rtf": lambda data: office.rtf_to_md(data.decode("utf-8")),
+    "docx": lambda data: office.recover_word(data)[0] if office.SOURCE_ENTRY.encode() in data else office.word_to_md(data),
+    "odt": office.opendocument_to_md,
+    "epub": office.epub_to_md,
+    "pptx": office.slides_to_md,
+}
 IMAGES = ("png", "jpg", "jpeg", "gif", "svg", "webp")
 
 
@@ -64,6 +71,21 @@ def import_documents(files: DataFrame, key: str = "path", content: str = "conten
     return each(files, key, {"data": content, "ext": extension(files[key]) if ext is None else ext}, "md string", one)
 
 
+def recover_documents(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, md, lossless, fidelity, chars, bytes, preview, error) of Word files: their Markdown, and whether it is exactly what was exported."""
+
+    def one(data: bytes | None) -> tuple:
+        return (None, None) if data is None else office.recover_word(bytes(data))
+
+    found = each(files, key, {"data": content}, "md string, lossless boolean", one)
+    return found.select(key, "md", "lossless", F.when(F.col("lossless"), "lossless").otherwise(F.when(~F.col("lossless"), "partial")).alias("fidelity"), F.length("md").cast("long").alias("chars"), F.octet_length("md").cast("long").alias("bytes"), F.left("md", F.lit(200)).alias("preview"), "error")
+
+
+def review_items(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, ord, kind, author, date, text, context) of tracked changes and comments in Word files."""
+    return many(files, key, {"data": content}, "kind string, author string, date string, text string, context string", lambda data: [] if data is None else office.review_items(bytes(data)))
+
+
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """All files of a folder as Markdown."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
