@@ -193,7 +193,7 @@ def inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield piece.slice(begin), bodies[begin:]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text", texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text", texts: bool = True, automata: type = Passages) -> DataFrame:
     """All rows and other columns of ``docs``, with n_words, n_removed and kept_sha256, and (``texts``) the text that is left.
 
     A word is removed if it lies in a window whose words also start anywhere else, in the same
@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     Texts are read twice for the stretches, whose anchors are counted with pre-aggregation, and shuffled once;
     texts without recurring anchors are done then. What is collected by group is a document's own stretches. Phrases are asked for
-    once by each shard; hot anchors and phrases are dealt to several tasks.
+    once by each shard; hot anchors and phrases are dealt to several tasks. ``automata`` compiles a shard's phrases and marks its documents.
     """
     assert window <= 60
     added = ["n_words", "n_removed", "kept_sha256"]
@@ -288,7 +288,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 if not document:  # a shard's phrases come before its documents
                     phrases += part.column("body").to_pylist()
                     continue
-                passages = passages or Passages(phrases)
+                passages = passages or automata(phrases)
                 for some, bodies in inflated([part]):
                     yield marked(some, bodies, passages)
 
