@@ -167,7 +167,7 @@ def cited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scholarly.cite(decorated(spark, sf_dir), bib).select("doc_id", "md")
 
 
-@register("SELECT doc_id, 'A' || doc_id || '²/(2b) ≤ αᵢ ' || CASE WHEN doc_id % 2 = 0 THEN '√(x)' ELSE 'y' END AS unicode, 'A' || doc_id || '^2/(2b) \\le \\alpha_{i} ' || CASE WHEN doc_id % 2 = 0 THEN '\\sqrt{x}' ELSE 'y' END AS clean FROM documents")
+@register("SELECT doc_id, 'A' || doc_id || '²/(2b) ≤ αᵢ ' || CASE WHEN doc_id % 2 = 0 THEN '√(x)' ELSE 'y' END AS unicode, 'A' || doc_id || '^2/(2b) \\le \\alpha_{i} ' || CASE WHEN doc_id % 2 = 0 THEN '\\sqrt{x}' ELSE 'y' END AS clean, 'A' || doc_id || '^2/(2b) <= alpha_(i) ' || CASE WHEN doc_id % 2 = 0 THEN 'sqrt(x)' ELSE 'y' END AS typst FROM documents")
 def latex_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A formula of each document, with the macros that the document defines (the later definition wins), cleaned and as plain text."""
     define = F.concat(F.lit("\\newcommand{\\foo}[1]{no}\n\\def\\half#1{}\n"), F.lit("\\renewcommand{\\foo}[1]{A#1^2}\n\\newcommand{\\end}{"), F.when(F.col("doc_id") % 2 == 0, "\\sqrt{x}").otherwise("y"), F.lit("}\n"))
@@ -175,7 +175,7 @@ def latex_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     formula = F.concat(F.lit("\\label{eq:1}\\foo{"), F.col("doc_id").cast("string"), F.lit("}/(2b) \\le\\nonumber \\alpha_{i}\\;\\end"))
     known = mathematics.macro_map(mathematics.macros(docs))
     met = docs.join(known, "doc_id", "left").select("doc_id", formula.alias("latex"), "macros")
-    return mathematics.convert_latex(met, "doc_id", "latex", "macros").select("doc_id", "unicode", "clean")
+    return mathematics.convert_latex(met, "doc_id", "latex", "macros").select("doc_id", "unicode", "clean", "typst")
 
 
 _EXPORTED = "# Doc {id}\n\npara **b** *i* `c` [l](u)\n\n```text\n{text}\n```\n\n- x\n- y\n\n| a | b |\n| --- | --- |\n| 1 | {id} |\n"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import latex as K
+from ..kernels.typst import to_typst
 from .rowwise import each, many
 
 
@@ -20,12 +21,12 @@ def macro_map(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def convert_latex(equations: DataFrame, key: str, latex: str = "latex", macros: str | None = None) -> DataFrame:
-    """(key, clean, unicode, error): each formula expanded and cleaned, and as plain text. ``macros`` is a column of macro_map()."""
+    """(key, clean, unicode, typst, error): each formula expanded and cleaned, as plain text and as Typst mathematics. ``macros`` is a column of macro_map()."""
 
     def one(latex: str | None, macros: object) -> tuple:
         if latex is None:
-            return None, None
+            return None, None, None
         known = {n: K.Macro(m["argc"], m["body"]) for n, m in dict(macros or {}).items()}
-        return K.expand_and_sanitize(latex, known), K.to_unicode(latex, known)
+        return K.expand_and_sanitize(latex, known), K.to_unicode(latex, known), to_typst(latex, known)
 
-    return each(equations, key, {"latex": latex, "macros": macros or F.lit(None).cast("map<string,struct<argc:int,body:string>>")}, "clean string, unicode string", one)
+    return each(equations, key, {"latex": latex, "macros": macros or F.lit(None).cast("map<string,struct<argc:int,body:string>>")}, "clean string, unicode string, typst string", one)

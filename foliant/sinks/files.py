@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import export as X
-from ..kernels import package
+from ..kernels import package, pdf
 from ..operators.rowwise import each
 
 #: extension -> what makes a file's text of Markdown, a title and an author.
@@ -32,7 +32,7 @@ TEXT_EXPORTERS: dict[str, Callable[[str, str, str], str]] = {
 }
 #: extension -> what makes a file's bytes.
 EXPORTERS: dict[str, Callable[[str, str, str], bytes]] = {ext: (lambda md, title, author, f=f: f(md, title, author).encode("utf-8", "surrogatepass")) for ext, f in TEXT_EXPORTERS.items()}
-EXPORTERS |= {"docx": package.to_word, "odt": package.to_opendocument, "epub": package.to_epub}
+EXPORTERS |= {"docx": package.to_word, "odt": package.to_opendocument, "epub": package.to_epub, "pdf": pdf.to_pdf}
 
 
 def export_documents(docs: DataFrame, ext: str | Column, key: str = "doc_id", md: str = "md", title: str | None = None, author: str | None = None) -> DataFrame:
@@ -82,3 +82,19 @@ def write_files(files: DataFrame, folder: str, name: str = "name", content: str
 def batch_summary(jobs: DataFrame) -> DataFrame:
     """(total, converted, failed) of rows with an ``error``."""
     return jobs.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("converted"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def write_annotations(annotations: DataFrame, folder: str) -> None:
+    """Notes on documents as JSON lines beside them; (key, items, …) rows without items are not written."""
+    annotations.where(F.size("items") > 0).write.mode("overwrite").json(folder)
+
+
+def referenced_assets(images: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, path, content) of the local files that documents show and that may be copied beside an export: relative names below the folder, each once.
+
+    ``images`` has (key, path), ``files`` has (path, content) with names relative to the documents.
+    """
+    from ..functions.files import local_image, safe_name
+
+    wanted = images.select(key, local_image(F.col("path")).alias("path")).where("path IS NOT NULL").where(safe_name(F.col("path"))).distinct()
+    return wanted.join(files.select("path", "content"), "path").select(key, "path", "content")
