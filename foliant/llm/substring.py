@@ -34,8 +34,8 @@ from .wordhash import span_sums, spans, words_of
 
 U = np.uint64
 WINDOW, ANCHOR = 35, 10
-#: Text bytes of a shard, about; a longer text is a shard of its own.
-SHARD_BYTES = 1 << 20
+#: Text bytes of a shard, about (a longer text has most of one to itself), and of what is looked at together.
+SHARD_BYTES, RUN_BYTES = 4 << 20, 1 << 20
 #: Words of patterns in one automaton.
 NODES = 1_500_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -76,7 +76,7 @@ def _stretch_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def sightings(sums: np.ndarray, base: int, whole: np.ndarray, unlike: np.ndarray, window: int) -> np.ndarray:
-    """[phrases, 3] of a document: hash, place and the hash of the phrase that follows directly (0 without one).
+    """[phrases, 2] of a document: hash and place, in order of place, stretches first.
 
     ``whole`` are places of stretches that recur as wholes, ``unlike`` those whose windows are tried one by one. Window phrases and
     stretch phrases have hashes of their own.
@@ -87,11 +87,16 @@ def sightings(sums: np.ndarray, base: int, whole: np.ndarray, unlike: np.ndarray
     for places, kind in ((np.sort(whole), U(0)), (starts * 64 + 1, U(0x5851F42D4C957F2D))):
         start, step = places // 64, places % 64
         hashes = (spans(sums, base + start, base + start + step - 1 + window) ^ kind).view(np.int64)
-        joined = np.append(start[1:] == (start + step)[:-1], False) if len(start) else np.empty(0, bool)
-        parts.append(np.stack([hashes, places, np.where(joined, np.roll(hashes, -1), 0)], 1))
+        parts.append(np.stack([hashes, places], 1))
     return np.concatenate(parts)
 
 
+def followers(uid: np.ndarray, phrase: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The phrase that begins where each one's windows end, in the same document; 0 without one."""
+    joined = np.append((uid[1:] == uid[:-1]) & (place[1:] // 64 == (place // 64 + place % 64)[:-1]), False) if len(uid) else np.empty(0, bool)
+    return np.where(joined, np.roll(phrase, -1), 0)
+
+
 def chains(phrases: list[dict], window: int) -> list[tuple[int, int, list[int], int]]:
     """(begin, end, phrases, shards) of the runs that one document gives.
 
@@ -179,14 +184,14 @@ def deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Runs of rows whose texts hold about SHARD_BYTES, with these texts."""
+    """Runs of rows whose texts hold about RUN_BYTES, with these texts."""
     for batch in batches:
         for small in range(0, batch.num_rows, 256):
             piece = batch.slice(small, 256)
             bodies = [None if b is None else zlib.decompress(b) for b in piece.column("body").to_pylist()]
             begin, held = 0, 0
             for i, body in enumerate(bodies):
-                if i > begin and held + len(body or b"") > SHARD_BYTES:
+                if i > begin and held + len(body or b"") > RUN_BYTES:
                     yield piece.slice(begin, i - begin), bodies[begin:i]
                     begin, held = i, 0
                 held += len(body or b"")
@@ -213,11 +218,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     found = _stretch_rows(named, window, anchor)
     counted = stash(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1").select("anchor", "n", (F.col("low") == F.col("high")).alias("alike")))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    recurring = stash(spread_join(found, counted, ["anchor"], "n", F.struct("uid", "place"), total).select("uid", "place", "whole", "alike"))
+    recurring = stash(spread_join(found, counted, ["anchor"], "n", F.struct("uid", "place"), total).select("uid", "place", "whole", "alike"), packed=True)
     # a stretch that recurs as a whole is one phrase; windows are tried of those that do not, and of the first of those that do
-    wholes = recurring.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("first")).where("n > 1")
+    differ = recurring.where("NOT alike").select("uid", "place", "whole")
+    wholes = differ.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("first")).where("n > 1")
     first = (F.col("first.uid") == F.col("uid")) & (F.col("first.place") == F.col("place"))
-    twice = spread_join(recurring, wholes, ["whole"], "n", F.struct("uid", "place"), total, "left").select("uid", "place", F.col("n").isNotNull().alias("twice"), (~F.col("alike") & F.coalesce(first, F.lit(True))).alias("tried"))
+    told = spread_join(differ, wholes, ["whole"], "n", F.struct("uid", "place"), total, "left").select("uid", "place", F.col("n").isNotNull().alias("twice"), F.coalesce(first, F.lit(True)).alias("tried"))
+    twice = recurring.where("alike").select("uid", "place", F.lit(True).alias("twice"), F.lit(False).alias("tried")).unionByName(told)
     own = twice.groupBy("uid").agg(F.collect_list(F.when(F.col("twice"), F.col("place"))).alias("whole"), F.collect_list(F.when(F.col("tried"), F.col("place"))).alias("unlike"))
 
     def sight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +235,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             for i, (body, packed, whole, unlike) in enumerate(zip(bodies, *(part.column(c).to_pylist() for c in ("body", "whole", "unlike")), strict=True)):
                 flagged = unlike is not None
                 digest = None if flagged else hashlib.sha256(b" ".join((body or b"").split())).hexdigest()
-                seen = sightings(sums, int(bounds[i]), np.array(whole, np.int64), np.array(unlike, np.int64), window).tobytes() if flagged else None
+                seen = sightings(sums, int(bounds[i]), np.array(whole, np.int64), np.array(unlike, np.int64), window)[:, :2].tobytes() if flagged else None
                 for column, value in zip(out, (int(bounds[i + 1] - bounds[i]), digest, packed if texts or flagged else None, len(body or b"") if flagged else None, seen), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("rest"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["uid", "rest", "n_words", "digest", "body", "flagged", "seen"])
@@ -245,16 +252,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
                 seen = part.column("seen").to_pylist()
-                columns = np.frombuffer(b"".join(seen), np.int64).reshape(-1, 3).T.copy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("uid").to_numpy(), [len(s) // 24 for s in seen])), *map(pa.array, columns)], ["uid", "phrase", "place", "following"])
+                uid = np.repeat(part.column("uid").to_numpy(), [len(s) // 16 for s in seen])
+                phrase, place = np.frombuffer(b"".join(seen), np.int64).reshape(-1, 2).T.copy()
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (uid, phrase, place, followers(uid, phrase, place)))], ["uid", "phrase", "place", "following"])
 
     # where phrases may be met: by shard, with the first place and what follows if that is always the same
     each = suspects.select("uid", "seen").mapInArrow(single, "uid long, phrase long, place long, following long")
-    follows = [F.min("following").alias("low"), F.max("following").alias("high")]
-    wanted = stash(each.groupBy("phrase", shard.cast("int").alias("shard")).agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("first"), *follows))
-    confirmed = wanted.groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("shards"), F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1")
+    met = each.groupBy("phrase", shard.cast("int").alias("shard")).agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("first"), F.min("following").alias("low"), F.max("following").alias("high"))
+    wanted = stash(met.select("phrase", "shard", F.col("n").cast("int").alias("n"), "first", "low", (F.col("low") == F.col("high")).alias("same")), packed=True)
+    # always followed by the same phrase: so it is in each shard, and the least and the greatest of the shards are one
+    follows = F.when((F.min("low") == F.max("low")) & F.bool_and("same"), F.min("low"))
+    confirmed = wanted.groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("shards"), F.min("first").alias("first"), follows.alias("following")).where("n > 1")
     # the first document that has a phrase gives its words
-    given = confirmed.groupBy(F.col("first.uid").alias("u")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "phrase", "n", "shards", F.when(F.col("low") == F.col("high"), F.col("low")).alias("following"))).alias("phrases"))
+    given = confirmed.groupBy(F.col("first.uid").alias("u")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "phrase", "n", "shards", "following")).alias("phrases"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bodies in inflated(batches):
@@ -267,14 +277,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.int64())], ["body", "phrases", "shards"])
 
     givers = suspects.select("uid", "body").join(given, F.col("uid") == F.col("u")).select("body", "phrases")
-    runs = stash(givers.mapInArrow(extract, "body binary, phrases array<long>, shards long")).withColumn("run", F.monotonically_increasing_id())
+    runs = stash(givers.mapInArrow(extract, "body binary, phrases array<long>, shards long"), packed=True).withColumn("run", F.monotonically_increasing_id())
     asked = wanted.count()
     sent = spread_join(wanted.select("phrase", "shard"), runs.select(F.explode("phrases").alias("phrase"), "run", "shards"), ["phrase"], "shards", F.col("shard"), asked).select("run", "shard").distinct()
     delivered = spread_join(sent, runs.select("run", "body", "shards"), ["run"], "shards", F.col("shard"), asked)
     blank = F.lit(None)
     patterns = delivered.select("shard", F.lit(False).alias("document"), "body", blank.cast(rest_kind).alias("rest"), blank.cast("long").alias("n_words"))
-    met = patterns.unionByName(suspects.select(shard.cast("int").alias("shard"), F.lit(True).alias("document"), "body", "rest", "n_words"))
-    ordered = met.repartition("shard").sortWithinPartitions("shard", "document")
+    streams = patterns.unionByName(suspects.select(shard.cast("int").alias("shard"), F.lit(True).alias("document"), "body", "rest", "n_words"))
+    ordered = streams.repartition("shard").sortWithinPartitions("shard", "document")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, phrases, passages = None, [], None
