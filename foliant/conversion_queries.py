@@ -217,7 +217,7 @@ _PACKAGED = "# Doc {id}\n\npara **b** *i* [l](u)\n\n```\n{text}\n```\n\n- x\n- y
 
 @register("""SELECT doc_id, CASE doc_id % 2
 WHEN 0 THEN '# Doc ' || doc_id || chr(10) || chr(10) || 'para **b** *i* l' || chr(10) || chr(10) || coalesce(t || chr(10) || chr(10), '') || '- x' || chr(10) || '- y' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || doc_id || ' |' || chr(10)
-ELSE '# Doc ' || doc_id || chr(10) || chr(10) || chr(10) || 'para **b** *i* l' || chr(10) || chr(10) || '```' || chr(10) || raw || CASE WHEN suffix(raw, chr(10)) THEN '' ELSE chr(10) END || '```' || chr(10) || chr(10) || '- x' || chr(10) || '- y' || chr(10) || chr(10) || chr(10) || '| a| b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1| ' || doc_id || ' |' || chr(10) END AS md
+ELSE '# Doc ' || doc_id || chr(10) || chr(10) || 'para **b***i*l' || chr(10) || chr(10) || '```' || chr(10) || raw || CASE WHEN suffix(raw, chr(10)) THEN '' ELSE chr(10) END || '```' || chr(10) || chr(10) || '- x' || chr(10) || '- y' || chr(10) || chr(10) || chr(10) || '| a| b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1| ' || doc_id || ' |' || chr(10) END AS md
 FROM (SELECT doc_id, text AS raw, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""")
 def package_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as OpenDocument texts and EPUB books and imported again."""
