@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, release, slices, stash, table, with_uid
 from .lines import positions
-from .tokens import CHUNKS, PIECES, VOCABULARY, Kept, Pieces, byte_alphabet, unmixed
+from .tokens import BEYOND, CHUNKS, PIECES, VOCABULARY, Kept, Pieces, byte_alphabet, unmixed
 
 WINDOW, END_ID, QUANTUM = 2048, 1, 256
 #: A source that holds at least this part of all tokens has a queue of its own (a token in every window, on average).
@@ -52,11 +52,13 @@ class IdEncoder(Pieces):
 
     def _word(self, word: str) -> bytes:
         """A word and the space before it. Most are plain letters, perhaps with a mark behind them, which is a piece of its own."""
-        if word.isascii():
-            if word.isalpha():
+        if word.isalpha():
+            if word.isascii():
                 return array(self._code, [t.id for t in self._model.tokenize(f"{_SPACE}{word}")]).tobytes()
-            if word[-1:] in _MARKS and word[:-1].isalpha():
-                return self._chunks[word[:-1]] + self._pieces[word[-1]]
+            if max(word) < BEYOND:
+                return self._piece(f" {word}")
+        elif word[-1:] in _MARKS and word[:-1].isalpha() and max(word) < BEYOND:
+            return self._chunks[word[:-1]] + self._pieces[word[-1]]
         return self._chunk(f" {unmixed(word)}")
 
     def _chunk(self, chunk: str) -> bytes:
@@ -95,50 +97,62 @@ class Schedule:
             steps = np.diff(level[order], prepend=0.0) * np.maximum(left, 0)
             self.levels, self.served_at = np.concatenate([[0.0], level[order]]), np.concatenate([[0.0], np.cumsum(steps)])
 
-    def served(self, window: np.ndarray, queues: slice = slice(None)) -> np.ndarray:
-        """[windows, queues]: tokens that each queue has been served before each window.
+    def served(self, window: np.ndarray, queue: np.ndarray) -> np.ndarray:
+        """Tokens that a queue has been served before a window; both arrays are matched, or spread, one against the other.
 
         What it has earned by then, in whole quanta; at the end, everything. By default exact in integers: the
         products are split so that they hold for totals far beyond 2**32.
         """
-        w, totals = np.asarray(window, np.int64)[:, None], self.totals[None, queues]
+        totals = self.totals[queue]
         if self.weights is None:
             whole, rest = totals // self.windows, totals % self.windows
-            earned = whole * w + ((rest.astype(object) * w // self.windows).astype(np.int64) if self.windows >= 1 << 31 else rest * w // self.windows)
+            earned = whole * window + ((rest.astype(object) * window // self.windows).astype(np.int64) if self.windows >= 1 << 31 else rest * window // self.windows)
         else:
-            level = np.interp(w.astype(np.float64) * self.window, self.served_at, self.levels)
-            earned = np.minimum(totals, np.floor(self.weights[None, queues] * level).astype(np.int64))
-        return np.where(w >= self.windows, totals, earned // self.quantum * self.quantum)
-
-    def _round(self, queue: int, at: np.ndarray) -> np.ndarray:
-        """The window in which the token at this place of the queue is served."""
-        total, n = int(self.totals[queue]), self.windows
-        need = (at // self.quantum + 1) * self.quantum
-        if self.weights is None:
-            w = (need * n + total - 1) // total if total * n < 1 << 61 else np.array([-(-int(x) * n // total) for x in need.ravel()], np.int64).reshape(need.shape)
-            return np.maximum(np.minimum(n, w), 1) - 1
+            level = np.interp(np.asarray(window, np.float64) * self.window, self.served_at, self.levels)
+            earned = np.minimum(totals, np.floor(self.weights[queue] * level).astype(np.int64))
+        return np.where(window >= self.windows, totals, earned // self.quantum * self.quantum)
+
+    def _round(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The window in which the token at this place of its queue is served."""
+        n = self.windows
+        need, total = (at // self.quantum + 1) * self.quantum, self.totals[queue]
+        if self.weights is None and int(self.totals.max()) * n < 1 << 61:
+            return np.maximum(np.minimum(n, (need * n + total - 1) // total), 1) - 1
         low, high = np.zeros(need.shape, np.int64), np.full(need.shape, n, np.int64)  # not served before low, served before high
         while (high - low > 1).any():
             middle = (low + high) // 2
-            enough = self.served(middle, slice(queue, queue + 1))[:, 0] >= need
+            enough = self.served(middle, queue) >= need
             low, high = np.where(enough, low, middle), np.where(enough, middle, high)
         return high - 1
 
-    def stretches(self, queue: int, begin: int, end: int) -> Iterator[tuple[int, int, int]]:
-        """(place in the queue, length, place in the stream) of the stretches that [begin, end) is served in."""
-        step = max(1, ROUNDS // len(self.totals)) * self.quantum
-        while begin < end:  # so much of a long document at once
-            stop = min(end, (begin // step + 1) * step)
-            quanta = np.arange(begin // self.quantum, (stop - 1) // self.quantum + 1, dtype=np.int64) * self.quantum
-            rounds = self._round(queue, quanta)
-            first = np.flatnonzero(np.diff(rounds, prepend=-1))
-            rounds = rounds[first]
-            before, upto = self.served(rounds), self.served(rounds + 1, slice(queue))
-            base = before[:, queue:].sum(1) + upto.sum(1)
-            begins = np.maximum(begin, quanta[first])
-            ends = np.append(begins[1:], stop)
-            yield from zip(begins.tolist(), (ends - begins).tolist(), (base + begins - before[:, queue]).tolist(), strict=True)
-            begin = stop
+    def pieces(self, queue: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each piece of the documents at [begin, end) of their queues: document, place in the queue, length, place in the stream.
+
+        A document's pieces are the stretches that it is served in, cut at the ends of windows.
+        """
+        first = begin // self.quantum
+        many = (end - 1) // self.quantum - first + 1
+        doc = np.repeat(np.arange(len(queue)), many)
+        quanta = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]) * self.quantum
+        rounds = self._round(queue[doc], quanta)
+        keep = np.flatnonzero((np.diff(rounds, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        doc, rounds, own = doc[keep], rounds[keep], queue[doc[keep]]
+        begins = np.maximum(begin[doc], quanta[keep])
+        last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.empty(0, bool)
+        ends = np.where(last, end[doc], np.append(begins[1:], 0) if len(doc) else begins)
+        at, every, step = np.empty(len(doc), np.int64), np.arange(len(self.totals)), max(1, ROUNDS // len(self.totals))
+        for some in range(0, len(doc), step):  # queues before the own one have been served in this window, the others before it
+            here = slice(some, some + step)
+            w, q = rounds[here], own[here]
+            upto = np.where(every < q[:, None], self.served(w[:, None] + 1, every[None, :]), self.served(w[:, None], every[None, :]))
+            at[here] = upto.sum(1) + begins[here] - upto[np.arange(len(q)), q]
+        cuts = (at + ends - begins - 1) // self.window - at // self.window + 1
+        part = np.repeat(np.arange(len(doc)), cuts)
+        nth = np.arange(len(part)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        bound = (at[part] // self.window + nth) * self.window
+        here = np.maximum(at[part], bound)
+        stop = np.minimum(at[part] + (ends - begins)[part], bound + self.window)
+        return doc[part], begins[part] + here - at[part], stop - here, here
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, window: int = WINDOW, quantum: int = QUANTUM, weights: dict | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -185,19 +199,19 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
-            keys, out = batch.column("key"), [[] for _ in range(9)]
-            for i, (queue, line, n, ids, src) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "line", "doc_tokens", "ids", "source")), strict=True)):
-                wide = len(ids) // n
-                long = np.frombuffer(ids, np.uint16 if wide == 2 else np.uint32).astype("<u4").tobytes()
-                for begin, length, at in plan.stretches(queue, line, line + n):
-                    while length:
-                        take = min(length, window - at % window)
-                        start = begin - line
-                        for column, value in zip(out, (i, src, start, take, ids[start * wide : (start + take) * wide], zlib.crc32(long[4 * start : 4 * (start + take)]), n, at // window, at % window), strict=True):
-                            column.append(value)
-                        begin, length, at = begin + take, length - take, at + take
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.string()), *(pa.array(x, pa.int64()) for x in out[2:4]), pa.array(out[4], pa.binary()), *(pa.array(x, pa.int64()) for x in out[5:])], [key, "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        for whole in batches:
+            for small in range(0, whole.num_rows, 1024):
+                batch = whole.slice(small, 1024)
+                queue, line, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("queue", "line", "doc_tokens"))
+                doc, begin, length, at = plan.pieces(queue, line, line + n)
+                start, ids = begin - line[doc], batch.column("ids").to_pylist()
+                wide = len(ids[0]) // int(n[0])
+                long = [np.frombuffer(x, np.uint16 if wide == 2 else np.uint32).astype("<u4").tobytes() for x in ids]
+                bounds = list(zip(doc.tolist(), start.tolist(), (start + length).tolist(), strict=True))
+                parts = pa.array([ids[d][a * wide : b * wide] for d, a, b in bounds], pa.binary())
+                sums = pa.array([zlib.crc32(long[d][4 * a : 4 * b]) for d, a, b in bounds], pa.int64())
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(take), batch.column("source").take(take), pa.array(start), pa.array(length), parts, sums, pa.array(n[doc]), pa.array(at // window), pa.array(at % window)], [key, "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return joined.select("key", "source", "queue", "line", "doc_tokens", "ids").mapInArrow(cut, f"{narrow} {kind}, source string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

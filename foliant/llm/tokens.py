@@ -32,7 +32,9 @@ _class = lambda kind: "".join(re.escape(chr(c)) for c in range(0x250) if unicode
 _L, _N = _class("L"), _class("N")
 #: The byte-level pre-tokenizer's pattern, for texts below U+0250; others go through the library's own.
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_SPACES}{_L}{_N}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-_BEYOND = re.compile("[^\x00-ɏ]")
+#: The first character that goes through the library's own pre-tokenizer.
+BEYOND = "\u0250"
+_BEYOND = re.compile(f"[{BEYOND}-\U0010ffff]")
 _CLEAN_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
