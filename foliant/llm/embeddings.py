@@ -255,3 +255,10 @@ def _loaded(part: pa.RecordBatch, size: int, kind: str) -> dict[str, np.ndarray]
 
 def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).drop("uid")
+
+
+OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+good AS (SELECT vec_id, label, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS size FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.93),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, least AS component_id, v.vec_id = least AS kept FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = v.vec_id JOIN (SELECT a, min(b) AS least FROM reached GROUP BY a) r ON r.a = v.vec_id"""

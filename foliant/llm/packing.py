@@ -44,7 +44,7 @@ class IdEncoder(Pieces):
         self._model, self._code = self.library.model, "H" if self.width is np.uint16 else "I"
         self._letters = {b: c for c, b in byte_alphabet().items()}
         self._chunks = Kept(self._word, CHUNKS)
-        self._pieces = Kept(self._piece, PIECES)
+        self._pieces = Kept(self._piece, PIECES // 3)
 
     def _piece(self, piece: str) -> bytes:
         """By the library's own model; its byte letters are put in here, its pre-tokenizer would cut the piece no further."""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_near_duplicates": minhash.OP1_SQL,
     "op3_chat_formatting": chat.OP3_SQL,
+    "op8_embedding_duplicates": embeddings.OP8_SQL,
     "op9_url_filters": urls.OP9_SQL,
+    "op10_repeated_passages": substring.OP10_SQL,
 }

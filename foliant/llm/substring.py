@@ -328,3 +328,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+
+
+#: The words of every window of 35, joined by spaces, which no word has.
+OP10_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, t.s, array_to_string(w[t.s + 1:t.s + 35], ' ') AS k FROM d, unnest(range(0, greatest(len(w) - 34, 0))) AS t(s)),
+again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, s + r.i AS p FROM windows SEMI JOIN again USING (k), range(0, 35) AS r(i)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
