@@ -34,11 +34,14 @@ _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _reduce(x: np.ndarray, k: int) -> np.ndarray:
-    if k == 0:  # 2**31 - 1: folding the high bits is enough
+    """x modulo the k-th prime, for x below 2**63: both are a little below 2**31, so that high bits fold down."""
+    if k == 0:  # 2**31 - 1
         x = (x & P[0]) + (x >> U(31))
         x = (x & P[0]) + (x >> U(31))
         return np.where(x >= P[0], x - P[0], x)
-    return x % P[1]
+    x = (x & P[0]) + (x >> U(31)) * U(19)
+    x = (x & P[0]) + (x >> U(31)) * U(19)
+    return np.where(x >= P[1], x - P[1], x)
 
 
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -84,11 +87,17 @@ class Prefixes:
         parts = []
         for k, s in enumerate(self.sums):
             x = s[begin + width : end + 1] + P[k] - s[begin : end - width + 1]
-            parts.append(_reduce(_reduce(x, k) * self.powers[k][1][begin : end - width + 1], k))
+            parts.append(_reduce(x * self.powers[k][1][begin : end - width + 1], k))  # below 2**32 * 2**31
         return parts[0] << U(31) | parts[1]
 
     def equal(self, i: int, other: Prefixes, j: int, length: int) -> bool:
-        return bool(self.spans(np.array([i]), np.array([i + length]))[0] == other.spans(np.array([j]), np.array([j + length]))[0])
+        """Whether two spans have equal hashes: differences of prefixes, each moved to the other's place."""
+        for k in (0, 1):
+            here = self.sums[k].item(i + length) - self.sums[k].item(i)
+            there = other.sums[k].item(j + length) - other.sums[k].item(j)
+            if (here * other.powers[k][0].item(j) - there * self.powers[k][0].item(i)) % int(P[k]):
+                return False
+        return True
 
     def common(self, i: int, other: Prefixes, j: int) -> int:
         """Longest common extension: how many code points agree from place i here and j there."""
@@ -128,9 +137,9 @@ def likeness(a: str, b: str, k: int = LEAST) -> float:
     """
     if a[:32] == b[:32]:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(s[32:]), ">u8").astype(U) for s in (a, b))
-    both = np.union1d(x, y)[:k]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True)).mean()) if len(both) else 0.0
+    x, y = (set(np.frombuffer(bytes.fromhex(s[32:]), ">u8").tolist()) for s in (a, b))
+    both, shared = sorted(x | y)[:k], x & y
+    return sum(v in shared for v in both) / len(both) if both else 0.0
 
 
 def of_text(text: str) -> str:

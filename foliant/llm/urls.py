@@ -134,7 +134,8 @@ def filter_urls(pages: DataFrame, rules=RULES, block_globs=BLOCK_GLOBS, key: str
 
     A null url, or one without ``://``, has empty host and path and fits no rule. Repeated rows stay
     repeated; an empty table gives an empty one; other columns are not read. Rules are literal text
-    without ``*``. One scan, no shuffle: URLs are the only column read besides the key.
+    without ``*``. A very long URL is judged whole (its batch of 4,096 takes as many steps as its longest has bytes); of rules that fit, the
+    longest wins, so that none tie. One scan, no shuffle: URLs are the only column read besides the key.
     """
     kind = pages.schema[key].dataType.simpleString()
 
