@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import artifacts as A
-from .kernels.export import _TEX_PREAMBLE
+from .kernels.export import _TEX_PREAMBLE, escape_xml
+from .kernels.package import _zipped
 from .operators import cleaning, mathematics, parts, scholarly
+from .operators.rowwise import each
 from .plans.decorate import SQL, decorated
 from .queries import ORACLES, QUERIES, register
 from .sinks.files import export_documents
 from .sources.files import import_documents, recover_documents
+from .sources.files import review_items as word_review_items
 
 _NL = "chr(10)"
 
@@ -246,6 +249,33 @@ def equation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.segments(decorated(spark, sf_dir)).where("is_equation").select("doc_id", "ord", "content", "begin", "end")
 
 
+_HTML = """'<h1>Doc ' || doc_id || '</h1>' || n || '<p>para <strong>b</strong> <em>i</em> <code>c</code> <a href="u">l</a></p>' || n || '<pre><code class="language-text">' || t || n || '</code></pre>' || n || '<ul>' || n || '<li>x</li>' || n || '<li>y</li>' || n || '</ul>' || n || '<table><thead><tr><th>a</th><th>b</th></tr>' || n || '</thead><tbody>' || n || '<tr><td>1</td><td>' || doc_id || '</td></tr>' || n || '</tbody></table>' || n"""
+
+
+@register(f"SELECT doc_id, {_HTML} AS body FROM (SELECT doc_id, chr(10) AS n, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM documents)")
+def export_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bodies of documents written as HTML pages."""
+    docs = _documents(spark, sf_dir).select("doc_id", _source(_EXPORTED).alias("md"))
+    pages = export_documents(docs, "html").select("doc_id", F.decode("content", "utf-8").alias("page"))
+    return pages.select("doc_id", F.regexp_extract("page", r"(?s)<body>\n(.*)</body>", 1).alias("body"))
+
+
+def _reviewed(doc_id: int, text: str) -> tuple[bytes]:
+    """A Word file with an insertion, a deletion and a comment."""
+    names, told = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"', escape_xml(text)
+    body = f'<w:p><w:ins w:author="A{doc_id}" w:date="2020"><w:r><w:t>{told}</w:t></w:r></w:ins><w:del w:author="B"><w:r><w:delText>old {doc_id}</w:delText></w:r></w:del><w:commentRangeStart w:id="7"/><w:r><w:t>about</w:t></w:r><w:commentRangeEnd w:id="7"/></w:p>'
+    notes = f'<w:comment w:id="7" w:author="C"><w:p><w:r><w:t>why {doc_id}</w:t></w:r></w:p></w:comment><w:comment w:id="8" w:author="foliant"><w:p><w:r><w:t>LaTeX: x</w:t></w:r></w:p></w:comment>'
+    return (_zipped([("word/document.xml", f"<w:document {names}><w:body>{body}</w:body></w:document>"), ("word/comments.xml", f"<w:comments {names}>{notes}</w:comments>")]),)
+
+
+@register("""SELECT doc_id, 'insertion' AS kind, 'A' || doc_id AS author, '2020' AS date, text, '' AS context FROM documents WHERE trim(text, ' ' || chr(9) || chr(10)) <> ''
+UNION ALL SELECT doc_id, 'deletion', 'B', '', 'old ' || doc_id, '' FROM documents UNION ALL SELECT doc_id, 'comment', 'C', '', 'why ' || doc_id, 'about' FROM documents""")
+def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracked changes and comments of Word files; our own comments do not count."""
+    files = each(_documents(spark, sf_dir).withColumn("id", F.col("doc_id")), "doc_id", {"doc_id": "id", "text": "text"}, "content binary", _reviewed)
+    return word_review_items(files, "doc_id").drop("ord")
+
+
 @register("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'f_' || o_orderkey || '_x.html' ELSE 'x_f_' || o_orderkey || '.html' END AS name,
 CASE WHEN o_orderkey % 4 = 0 THEN 'image/jpeg' WHEN o_orderkey % 4 = 1 THEN 'image/svg+xml' ELSE 'image/png' END AS mime, CASE WHEN o_orderkey % 4 = 2 THEN NULL ELSE 'a b/f_' || o_orderkey || '.x' END AS local,
 least(1 + o_custkey, 600)::BIGINT AS width, (CASE WHEN 1 + o_custkey <= 600 THEN 1 + o_orderkey ELSE (1 + o_orderkey) * 600 // (1 + o_custkey) END)::BIGINT AS height, o_orderkey % 5 <> 0 AS safe FROM orders""")
