@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import artifacts as A
 from .kernels.export import _TEX_PREAMBLE, escape_xml
 from .kernels.package import _zipped
+from .kernels.text import ENTITIES
 from .operators import cleaning, mathematics, parts, scholarly
 from .operators.rowwise import each
 from .plans.decorate import SQL, decorated
@@ -18,6 +19,7 @@ from .queries import ORACLES, QUERIES, register
 from .sinks.files import export_documents
 from .sources.files import import_documents, recover_documents
 from .sources.files import review_items as word_review_items
+from .sources.html import import_html
 
 _NL = "chr(10)"
 
@@ -293,5 +295,27 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", name.alias("name"), N.image_mime(F.col("image")).alias("mime"), N.local_image(source).alias("local"), size["width"].alias("width"), size["height"].alias("height"), N.safe_name(tried).alias("safe"))
 
 
+def _pages_sql() -> str:
+    """Tags one kind after the other. \\x01 stands for what begins a paragraph and \\x02 for what begins a line, until all breaks are known."""
+    steps = [
+        ("(?s)^.*?</head>", ""), ("(?s)<!--.*?-->", "<x>"), (">[ \\t\\n\\f\\r]+", ">"), ("[ \\t\\n\\f\\r]+", " "),
+        ("<ul[^>]*>|</li>", "\x02"), ("</ul>", "\n"), ("<li[^>]*>", "- "), ("<h1[^>]*>", "\x01# "), ("</h1>", "\n\n"), ("</?(?:p|div|article|section|main|header|footer|aside)(?:[ /][^>]*)?>", "\x01"), ("</?b>", "**"), ("<br ?/?>", "  \n"), ("<[^>]*>", ""),
+        ("^[\x01\x02]+", ""), ("[\x01\x02]*\x01[\x01\x02]*", "\x01"), ("(\n)\x02+", "\\1"), ("\x02+", "\n"), ("(\n\n+)\x01", "\\1"), ("\n\x01", "\n\n"), ("\x01", "\n\n"),
+        ("\n +\n", "\n\n"), ("\n{4,}", "\n\n\n"), ("^\n+|\n+$", ""),
+    ]
+    out = "html"
+    for what, by in steps:
+        out = f"regexp_replace({out}, '{what}', '{by}', 'g')"
+    for name, char in ENTITIES:
+        out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"SELECT page_id, {out} || chr(10) AS md, NULL::VARCHAR AS error FROM pages"
+
+
+@register(_pages_sql())
+def html_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as Markdown."""
+    return import_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES |= {"purify_markdown": purify_markdown, "zone_decisions": zone_decisions}
 __all__ = ["ORACLES", "QUERIES"]

@@ -173,3 +173,62 @@ def align_block(md: str, index: int, how: str) -> str:
     else:
         raw = f'<div style="text-align: {how}">\n\n{raw}\n\n</div>'
     return "\n".join([*lines[: b.first], raw, *lines[b.stop :]])
+
+
+class Span(NamedTuple):
+    """A stretch of a block's visible text and the source that it comes from; ``linear`` if both are the same characters."""
+
+    vis_begin: int
+    vis_end: int
+    src_begin: int
+    src_end: int
+    kind: str
+    linear: bool
+
+
+_VISIBLE = re.compile(
+    r"(?P<image>!\[(?P<alt>[^\]]*)\]\([^)]*\))|\[(?P<words>[^\]]*)\]\([^)]*\)|`(?P<code>[^`]+)`|\*\*(?P<strong>.+?)\*\*|~~(?P<strike>.+?)~~|(?<![\w*])\*(?P<em>[^*\s][^*]*)\*|\$(?P<math>(?!\s)[^$\n]+?(?<!\s))\$|<(?P<tag>/?[A-Za-z][^>]*)>"
+)
+
+
+def visible_map(block: str) -> list[Span]:
+    """Spans of a block in order: text as it is, and marked stretches without their marks; marks inside marks stay as they are."""
+    lead = re.match(r"\s*(?:#{1,6}[ \t]+|[-*+][ \t]+|\d+[.)][ \t]+|>[ \t]?)?", block).end()
+    out: list[Span] = []
+    at, shown = lead, 0
+
+    def put(begin: int, end: int, kind: str, linear: bool = True) -> None:
+        nonlocal shown
+        if end > begin:
+            out.append(Span(shown, shown + end - begin, begin, end, kind, linear))
+            shown += end - begin
+
+    for m in _VISIBLE.finditer(block, lead):
+        put(at, m.start(), "text")
+        name = next((k for k in ("alt", "words", "code", "strong", "strike", "em", "math") if m[k] is not None), None)
+        if name:
+            put(m.start(name), m.end(name), name, name not in ("math", "alt"))
+        at = m.end()
+    put(at, len(block), "text")
+    return out
+
+
+def visible_text(block: str) -> str:
+    return "".join(block[s.src_begin : s.src_end] for s in visible_map(block))
+
+
+def sync_edit(block: str, visible: str) -> str | None:
+    """The block after its visible text has been edited in one place; None if the edit crosses the edge of a span or meets one that is not linear."""
+    before = visible_text(block)
+    begin = next((i for i, (a, b) in enumerate(zip(before, visible, strict=False)) if a != b), min(len(before), len(visible)))
+    end = 0
+    while end < min(len(before), len(visible)) - begin and before[-1 - end] == visible[-1 - end]:
+        end += 1
+    last, new = len(before) - end, visible[begin : len(visible) - end]
+    if begin == last and not new:
+        return block
+    for s in visible_map(block):
+        if s.linear and s.vis_begin <= begin and last <= s.vis_end:
+            place = s.src_begin - s.vis_begin
+            return block[: begin + place] + new + block[last + place :]
+    return None

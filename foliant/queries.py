@@ -10,7 +10,6 @@ from .functions import text as T
 from .operators import blocks as B
 from .operators import structure as S
 from .plans.decorate import SQL, decorated
-from .sources.html import import_html
 
 QUERIES, ORACLES = {}, {}
 FLAGSHIP = "document_analysis"
@@ -183,8 +182,4 @@ def inline_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.inline_equations(decorated(spark, sf_dir))
 
 
-def html_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return import_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-
-
-QUERIES |= {"document_measures": document_measures, "inline_equations": inline_equations, "html_import": html_import}
+QUERIES |= {"document_measures": document_measures, "inline_equations": inline_equations}

@@ -314,3 +314,13 @@ def test_spelling():
     assert [w for w, _, _ in words] == ["Ab", "yes", "don't", "end"]
     known = spelling.expand_dictionary("SFX S Y 1\nSFX S 0 s [^s]\nPFX U Y 1\nPFX U 0 un .\n", "3\ndo/SU\nbus/S\ncat")
     assert known == {"do", "dos", "undo", "undos", "bus", "cat"}
+
+
+def test_visible_text_and_edits():
+    block = "## a **b c** `d` [e](u) $x^2$ f"
+    assert segments.visible_text(block) == "a b c d e x^2 f"
+    for s in segments.visible_map(block):
+        assert s.vis_end - s.vis_begin == s.src_end - s.src_begin
+    assert segments.sync_edit(block, "a b NEW c d e x^2 f") == "## a **b NEW c** `d` [e](u) $x^2$ f"
+    assert segments.sync_edit(block, "a b c d e x^2 f") == block
+    assert segments.sync_edit(block, "a b c d e x^3 f") is None and segments.sync_edit(block, "a f") is None
