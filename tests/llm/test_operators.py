@@ -168,8 +168,10 @@ def test_chat(spark):
     for c, own in told.items():
         lost = "".join(x for r, x in own if r == "assistant")
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(own), sha("".join(f"{r}\n{x}\n" for r, x in own)), len(lost), sha(lost))
-    windows = chat.format_windows(df).collect()
-    assert all(WORD.findall(w["formatted"]).__len__() <= chat.BUDGET * 1.2 or w["n_turns"] - w["n_repeated"] == 1 for w in windows)
+    for w in chat.format_windows(df).collect():
+        turns = re.findall(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", w["formatted"], re.S)
+        assert len(turns) == w["n_turns"] and "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in turns) == w["formatted"]
+        assert sum(len(WORD.findall(x)) + chat.MARKUP for _, x in turns) <= chat.BUDGET or w["n_turns"] - w["n_repeated"] == 1
 
 
 def test_fingerprints(docs, monkeypatch):
