@@ -80,14 +80,18 @@ def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     return replayable(df).withColumn(name, F.monotonically_increasing_id())
 
 
-def spread_join(many: DataFrame, few: DataFrame, keys: list[str], count: str, spread: Column, total: int, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], count: str, spread: Column, total: int, how: str = "inner", largest: int | None = None, salt: str | None = None) -> DataFrame:
     """Joins ``many`` with ``few`` on ``keys``, which are unique in ``few``; the rows of a hot key go to several tasks.
 
     ``few`` holds in ``count`` how many rows of ``many`` have the key, out of ``total``; ``spread`` is an expression over ``many`` that tells rows
     of a key apart. A key is hot beyond SPREAD rows, or beyond a 4096th of all: there are never more than 4096
-    hot keys, so that they can be broadcast; each is dealt to as many tasks as its rows need. No key may be null in ``few``.
+    hot keys, so that they can be broadcast; each is dealt to as many tasks as its rows need. No key may be null in ``few``. Where ``largest`` bounds the
+    rows of any key and none can be hot, it is a plain join. ``salt`` names a column that tells the parts of a hot key apart.
     """
     most = max(SPREAD, total // 4096)
+    if largest is not None and largest <= most:
+        joined = many.join(few, keys, how)
+        return joined.withColumn(salt, F.lit(0)) if salt else joined
     hot = few.where(F.col(count) > most).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col(count) / most).cast("int").alias("_salts"))
     same = None
     for k in keys:
@@ -95,4 +99,5 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], count: str, sp
         same = one if same is None else same & one
     salted = many.join(F.broadcast(hot), same, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts", *[f"_hot_{k}" for k in keys])
     copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(count) / most).cast("int") - 1, F.lit(0)))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    joined = salted.join(copies, [*keys, "_salt"], how)
+    return joined.withColumnRenamed("_salt", salt) if salt else joined.drop("_salt")
