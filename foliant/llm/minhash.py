@@ -180,8 +180,9 @@ def _across(left: DataFrame, classes: DataFrame, bodies: DataFrame, k: int, leas
 
     needed = left.select("cls").distinct()
     known = bodies.join(needed, "cls", "left_semi").mapInArrow(shrink, "cls long, least binary").join(classes.select("cls", "n", "marks"), "cls")
+    total = left.count()
     sized = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("many"))
-    dealt = spread_join(left, sized, ["band"], "many", F.col("cls"), left.count()).drop("many").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = spread_join(left, sized, ["band"], "many", F.col("cls"), total, largest=total).drop("many").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     stay = dealt.withColumn("block", F.col("own")).withColumn("stays", F.lit(True))
     pass_by = dealt.where("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).where("own > 0").withColumn("stays", F.lit(False))
     ordered = stay.unionByName(pass_by).join(known, "cls").repartition("band", "block").sortWithinPartitions("band", "block", F.col("stays").desc())
@@ -236,7 +237,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
 
     The members of a star travel to its centre, in groups of about STAR, and are compared as they stream by.
     """
-    sized = spread_join(pairs, pairs.groupBy("a").agg(F.count("*").alias("many")), ["a"], "many", F.col("b"), pairs.count())
+    total = pairs.count()
+    sized = spread_join(pairs, pairs.groupBy("a").agg(F.count("*").alias("many")), ["a"], "many", F.col("b"), total, largest=total)
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / STAR)).cast("long")
     members = sized.select("a", salt.alias("salt"), F.col("b").alias("cls"), F.lit(False).alias("centre"))
     centres = members.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("cls"), F.lit(True).alias("centre"))
@@ -281,17 +283,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     best = F.struct(F.col("key").isNull().alias("blank"), "key", "uid")
     kinds = stash(named.groupBy("cls", "proof").agg(F.min("uid").alias("node"), F.count("*").alias("rows"), F.min("key").alias("least"), F.min(best).alias("best")))
     classes = stash(named.join(kinds.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cls"), "n", "marks"))
-    sizes = kinds.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    sizes = kinds.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
     bands = _bands(classes, width)
     shared = bands.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
     # only classes that share a bucket go on; hot buckets are dealt to several tasks
     entries = sizes[0] * (BANDED // width)
-    members = stash(spread_join(bands, shared, ["band"], "many", F.col("cls"), entries))
+    members = stash(spread_join(bands, shared, ["band"], "many", F.col("cls"), entries, largest=sizes[0]))
+    largest = members.agg(F.coalesce(F.max("many"), F.lit(0))).first()[0]
     # the class that meets most others is the likeliest to be what they are copies of
     score = members.groupBy("cls").agg(F.sum("many").alias("score"))
     buckets = stash(members.select("band", "slot", "cls").join(score, "cls"))
     centre = buckets.groupBy("band").agg(F.max(F.struct("score", "cls"))["cls"].alias("top"), F.min("cls").alias("low"), F.count("*").alias("many"))
-    stars = spread_join(buckets.select("band", "cls"), centre, ["band"], "many", F.col("cls"), entries)
+    stars = spread_join(buckets.select("band", "cls"), centre, ["band"], "many", F.col("cls"), entries, largest=largest)
     ends = stars.select(F.col("top").alias("a"), F.col("cls").alias("b")).unionAll(stars.select(F.col("low").alias("a"), F.col("cls").alias("b"))).where("a <> b").distinct()
     tried = stash(ends)
     likely = stash(_likely(tried, classes, least))
@@ -302,7 +305,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # buckets that still hold several components: all pairs between different ones
     placed = buckets.select("band", "slot", "cls").join(parts, F.col("cls") == F.col("node"), "left").select("band", "slot", "cls", F.coalesce("root", "cls").alias("part"))
     mixed = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("many")).where("low < high").select("band", "many")
-    across = _across(stash(spread_join(placed, mixed, ["band"], "many", F.col("cls"), entries).drop("many")), classes, bodies, k, least, width)
+    across = _across(stash(spread_join(placed, mixed, ["band"], "many", F.col("cls"), entries, largest=largest).drop("many")), classes, bodies, k, least, width)
     met = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stash(across.distinct().join(met, ["a", "b"], "left_anti"))
     if not more.isEmpty():
@@ -310,8 +313,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # components of classes first, then of rows, so that only one join has a row for each document
     told = kinds.join(parts.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").withColumn("part", F.coalesce("root", "node")).select("cls", "proof", "node", "rows", "least", "best", "part")
     whole = told.groupBy("part").agg(F.min("least").alias("component"), F.min("best")["uid"].alias("one"), F.count("*").alias("classes"))
-    final = spread_join(told.select("cls", "proof", "node", "rows", "part"), whole, ["part"], "classes", F.col("node"), sizes[0]).select("cls", "proof", "rows", "component", "one")
-    found = spread_join(named.select("uid", "key", "n", "cls", "proof"), final, ["cls", "proof"], "rows", F.col("uid"), sizes[1])
+    final = spread_join(told.select("cls", "proof", "node", "rows", "part"), whole, ["part"], "classes", F.col("node"), sizes[0], largest=sizes[0]).select("cls", "proof", "rows", "component", "one")
+    found = spread_join(named.select("uid", "key", "n", "cls", "proof"), final, ["cls", "proof"], "rows", F.col("uid"), sizes[1], largest=sizes[2])
     with_set = found.select("uid", F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"), (F.col("uid") == F.col("one")).alias("chosen"))
     without = marked.where("n = 0").select("uid", F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), F.col("key").isNotNull().alias("kept"), F.lit(True).alias("chosen"))
     return with_set.unionByName(without)

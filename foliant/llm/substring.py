@@ -217,13 +217,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     named = with_uid(docs.select(docs[text].cast("string").alias("text"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("none")).alias("rest")))
     found = _stretch_rows(named, window, anchor)
     counted = stash(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1").select("anchor", "n", (F.col("low") == F.col("high")).alias("alike")))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    recurring = stash(spread_join(found, counted, ["anchor"], "n", F.struct("uid", "place"), total).select("uid", "place", "whole", "alike"), packed=True)
+    total, largest = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    recurring = stash(spread_join(found, counted, ["anchor"], "n", F.struct("uid", "place"), total, largest=largest).select("uid", "place", "whole", "alike"), packed=True)
     # a stretch that recurs as a whole is one phrase; windows are tried of those that do not, and of the first of those that do
     differ = recurring.where("NOT alike").select("uid", "place", "whole")
     wholes = differ.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("first")).where("n > 1")
     first = (F.col("first.uid") == F.col("uid")) & (F.col("first.place") == F.col("place"))
-    told = spread_join(differ, wholes, ["whole"], "n", F.struct("uid", "place"), total, "left").select("uid", "place", F.col("n").isNotNull().alias("twice"), F.coalesce(first, F.lit(True)).alias("tried"))
+    told = spread_join(differ, wholes, ["whole"], "n", F.struct("uid", "place"), total, "left", largest).select("uid", "place", F.col("n").isNotNull().alias("twice"), F.coalesce(first, F.lit(True)).alias("tried"))
     twice = recurring.where("alike").select("uid", "place", F.lit(True).alias("twice"), F.lit(False).alias("tried")).unionByName(told)
     own = twice.groupBy("uid").agg(F.collect_list(F.when(F.col("twice"), F.col("place"))).alias("whole"), F.collect_list(F.when(F.col("tried"), F.col("place"))).alias("unlike"))
 
@@ -256,13 +256,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 phrase, place = np.frombuffer(b"".join(seen), np.int64).reshape(-1, 2).T.copy()
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (uid, phrase, place, followers(uid, phrase, place)))], ["uid", "phrase", "place", "following"])
 
-    # where phrases may be met: by shard, with the first place and what follows if that is always the same
     each = suspects.select("uid", "seen").mapInArrow(single, "uid long, phrase long, place long, following long")
-    met = each.groupBy("phrase", shard.cast("int").alias("shard")).agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("first"), F.min("following").alias("low"), F.max("following").alias("high"))
-    wanted = stash(met.select("phrase", "shard", F.col("n").cast("int").alias("n"), "first", "low", (F.col("low") == F.col("high")).alias("same")), packed=True)
-    # always followed by the same phrase: so it is in each shard, and the least and the greatest of the shards are one
+    counts = stash(each.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1"), packed=True)
+    asked, largest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    # where phrases are met: the shards (of a hot phrase in several rows), the first place, and what follows if that is always the same
+    met = spread_join(each, counts, ["phrase"], "n", F.struct("uid", "place"), asked, largest=largest, salt="salt").withColumn("shard", shard.cast("int"))
+    met = met.groupBy("phrase", "salt").agg(F.max("n").alias("n"), F.min(F.struct("uid", "place")).alias("first"), F.min("following").alias("low"), F.max("following").alias("high"), F.collect_set("shard").alias("shards"))
+    wanted = stash(met.select("phrase", "n", "first", "low", (F.col("low") == F.col("high")).alias("same"), "shards"), packed=True)
     follows = F.when((F.min("low") == F.max("low")) & F.bool_and("same"), F.min("low"))
-    confirmed = wanted.groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("shards"), F.min("first").alias("first"), follows.alias("following")).where("n > 1")
+    confirmed = wanted.groupBy("phrase").agg(F.max("n").alias("n"), F.sum(F.size("shards")).alias("shards"), F.min("first").alias("first"), follows.alias("following"))
     # the first document that has a phrase gives its words
     given = confirmed.groupBy(F.col("first.uid").alias("u")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "phrase", "n", "shards", "following")).alias("phrases"))
 
@@ -278,9 +280,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     givers = suspects.select("uid", "body").join(given, F.col("uid") == F.col("u")).select("body", "phrases")
     runs = stash(givers.mapInArrow(extract, "body binary, phrases array<long>, shards long"), packed=True).withColumn("run", F.monotonically_increasing_id())
-    asked = wanted.count()
-    sent = spread_join(wanted.select("phrase", "shard"), runs.select(F.explode("phrases").alias("phrase"), "run", "shards"), ["phrase"], "shards", F.col("shard"), asked).select("run", "shard").distinct()
-    delivered = spread_join(sent, runs.select("run", "body", "shards"), ["run"], "shards", F.col("shard"), asked)
+    told = wanted.select("phrase", "shards").join(runs.select(F.explode("phrases").alias("phrase"), "run"), "phrase")
+    sent = told.select("run", F.explode("shards").alias("shard")).distinct()
+    delivered = spread_join(sent, runs.select("run", "body", "shards"), ["run"], "shards", F.col("shard"), asked, largest=shards)
     blank = F.lit(None)
     patterns = delivered.select("shard", F.lit(False).alias("document"), "body", blank.cast(rest_kind).alias("rest"), blank.cast("long").alias("n_words"))
     streams = patterns.unionByName(suspects.select(shard.cast("int").alias("shard"), F.lit(True).alias("document"), "body", "rest", "n_words"))
