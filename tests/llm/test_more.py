@@ -245,3 +245,18 @@ def test_equal_keys_and_classes(spark):
     for r in found:
         groups[r["component_id"]] += r["chosen"]
     assert groups[5] == 1
+
+
+def test_hot_paths_give_the_same(spark, monkeypatch):
+    """With every key hot beyond five rows, results are those of plain joins."""
+    from foliant import rows
+
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)] * 12 + [" ".join(w if rng.random() > 0.02 else f"e{rng.integers(9)}" for w in base) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4).round(0 if i % 2 else 2)], 0) for i in range(80)], "vec_id long, embedding array<float>, label int")
+    runs = (lambda: substring.remove_repeats(docs).select("doc_id", "n_removed", "kept_sha256"), lambda: minhash.near_duplicates(docs, 3, 85, 100).drop("uid"), lambda: embeddings.near_vectors(vectors, fill=4).drop("uid"))
+    plain = [sorted(map(tuple, run().collect())) for run in runs]
+    monkeypatch.setattr(rows, "SPREAD", 5)
+    assert [sorted(map(tuple, run().collect())) for run in runs] == plain
