@@ -84,7 +84,7 @@ def collapse_blank_lines(text: Column) -> Column:
 
 
 def code_block(text: Column, language: str) -> Column:
-    return F.concat(F.lit(f"```{language}\n"), F.rtrim(text), F.lit("\n```\n"))
+    return F.concat(F.lit(f"```{language}\n"), F.regexp_replace(text, r"(?U)\s+\z", ""), F.lit("\n```\n"))
 
 
 def escape_xml(text: Column) -> Column:
@@ -102,6 +102,7 @@ def escape_tex(text: Column) -> Column:
 
 
 def escape_rtf(text: Column) -> Column:
+    """Braces and backslashes; the writer also spells out line ends and characters beyond ASCII."""
     return F.regexp_replace(text, r"([\\{}])", r"\\$1")
 
 
@@ -123,7 +124,7 @@ def outdent(text: Column, width: int = 2) -> Column:
 
 def subsequence(text: Column, query: str) -> Column:
     """Whether the query's characters occur in this order, ignoring case."""
-    return F.rlike(F.lower(text), F.lit(".*".join(r"\Q" + c + r"\E" for c in query.lower())))
+    return F.rlike(F.lower(text), F.lit("(?s)" + ".*".join(r"\Q" + c + r"\E" for c in query.lower())))
 
 
 def byte_offset(text: Column, chars: Column) -> Column:

@@ -104,7 +104,7 @@ def test_small_text_functions(spark):
     assert one("x", T.toggle_comment) == "<!-- x -->" and one(" <!-- x -->", T.toggle_comment) == " x"
     assert one("a\nb", lambda c: T.duplicate_line(c, F.lit(1))) == "a\na\nb"
     assert one('<div style="text-align: left">', lambda c: T.set_alignment(c, "right")) == '<div style="text-align: right">'
-    assert one("x \n", lambda c: T.code_block(c, "py")).startswith("```py\nx")
+    assert one("x \n\t\n", lambda c: T.code_block(c, "py")) == "```py\nx\n```\n" and one("a\nb", lambda c: T.subsequence(c, "ab"))
 
 
 def test_files_and_streams(spark, tmp_path):
