@@ -14,6 +14,7 @@ several components are pairs between different components tried, by their sketch
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -265,6 +266,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
     return ordered.select("a", "salt", "cls", "centre", "text").mapInArrow(run, "a long, b long")
 
 
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts in slices(batches):
+        yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([zlib.compress(t or b"", 5) for t in texts], pa.binary())], ["uid", "body"])
+
+
+def _inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([zlib.decompress(b).decode() for b in part.column("body").to_pylist()], pa.string())], ["cls", "text"])
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(uid, key, n_shingles, component_id, kept, chosen) for every row; links need den * intersection >= num * union.
 
@@ -277,12 +290,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """
     least, width = num / den, band_width(num / den)
     rows = with_uid(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")))
-    marked = stash(_sketched(rows, k))
+    marked = stash(_sketched(rows, k), packed=True)
     named = marked.where("n > 0")
     # rows with equal sets (two hashes of the set together: some 2**126 values) are one class, which goes by its first row's number
     best = F.struct(F.col("key").isNull().alias("blank"), "key", "uid")
     kinds = stash(named.groupBy("cls", "proof").agg(F.min("uid").alias("node"), F.count("*").alias("rows"), F.min("key").alias("least"), F.min(best).alias("best")))
-    classes = stash(named.join(kinds.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cls"), "n", "marks"))
+    classes = stash(named.join(kinds.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cls"), "n", "marks"), packed=True)
     sizes = kinds.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
     bands = _bands(classes, width)
     shared = bands.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
@@ -299,7 +312,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     tried = stash(ends)
     likely = stash(_likely(tried, classes, least))
     needed = buckets.select(F.col("cls").alias("uid")).distinct()
-    bodies = stash(rows.select("uid", "text").join(needed, "uid", "left_semi").select(F.col("uid").alias("cls"), "text"))
+    # all texts are shuffled to find these: as compressed bytes
+    told = rows.select("uid", "text").mapInArrow(_deflated, "uid long, body binary").join(needed, "uid", "left_semi")
+    bodies = stash(told.mapInArrow(_inflated, "cls long, text string"), packed=True)
     links = stash(_confirmed(likely, bodies, k, num, den))
     parts = components(links)
     # buckets that still hold several components: all pairs between different ones
