@@ -59,8 +59,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     the last round of its source, the words are joined by one space. Repeated rows are documents of their own. An empty table gives an empty one.
     """
     docs = replayable(docs)
-    taken, mixed = mixing.mix(docs)
-    parts = mixed.groupBy("uid", "epoch").agg(F.min("begin").alias("begin"), F.sum("length").alias("length")).join(taken.select("uid", "size"), "uid")
+    _, mixed = mixing.mix(docs)
+    parts = mixed.groupBy("uid", "epoch").agg(F.min("begin").alias("begin"), F.sum("length").alias("length"), F.min("size").alias("size"))
     rows = with_uid(docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs["text"].cast("string").alias("text")))
     met = rows.join(parts, "uid")
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("begin") + 1).cast("int"), F.col("length").cast("int"))

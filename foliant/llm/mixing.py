@@ -86,9 +86,9 @@ def schedule(plan: DataFrame, total: int, run: int = RUN) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, slots: int = SLOTS, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """What the mix takes of every row, and the mix itself.
 
-    First: (uid, key, source, size, source_size, target, taken) for every row; ``taken`` counts words with
-    repeats and never exceeds ``repeats`` times the size. Second: (slot, source, block, epoch, uid, begin,
-    length): the words of documents that each slot takes, in words from the document's begin. uid numbers the
+    First: (uid, key, source, size, source_size, target, taken) for every row; ``taken`` counts the words of the
+    second, with repeats, and never exceeds ``repeats`` times the size. Second: (slot, source, block, epoch, uid, size,
+    begin, length): the words of documents that each slot takes, in words from the document's begin. uid numbers the
     rows as with_uid() does. A null or empty text has size 0, a null source is a source, repeated rows count
     each, ties in the shuffle go by row number, a very long text is cut into as many blocks as it fills, an empty table gives empty results. Other columns are not read, so their names do not matter.
     What is reckoned for sources alone (targets, first points) takes one task a row for each distinct source.
@@ -108,15 +108,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     # by key: the same mix however the table is split; rows without a key are told apart by number
     spread = F.xxhash64("key", "size", F.when(F.col("key").isNull(), F.col("uid")))
     placed = positions(sized.where("size > 0"), "source", spread, "size", "line", stats[1])
-    placed = placed.join(plan.select(F.col("source").alias("s"), "own", "passes", "rest"), F.col("source").eqNullSafe(F.col("s")))
+    placed = placed.join(plan.select(F.col("source").alias("s"), "own"), F.col("source").eqNullSafe(F.col("s")))
     cut = placed.withColumn("block", F.explode(F.sequence(F.expr("line DIV own"), F.expr("(line + size - 1) DIV own"))))
     begin = F.greatest("line", F.col("block") * F.col("own"))
-    pieces = cut.select("uid", F.col("source").alias("of"), F.col("block").alias("at"), "line", begin.alias("from"), F.least(F.col("line") + F.col("size"), (F.col("block") + 1) * F.col("own")).alias("to"))
-    got = placed.select(F.col("uid").alias("u"), (F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("line")))).alias("got"))
+    pieces = cut.select("uid", "size", F.col("source").alias("of"), F.col("block").alias("at"), "line", begin.alias("from"), F.least(F.col("line") + F.col("size"), (F.col("block") + 1) * F.col("own")).alias("to"))
+    met = slotted.join(pieces, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).withColumn("to", F.least("to", "until"))
+    mixed = met.where(F.col("to") > F.col("from")).select("slot", "source", "block", "epoch", "uid", "size", (F.col("from") - F.col("line")).alias("begin"), (F.col("to") - F.col("from")).alias("length"))
+    got = mixed.groupBy(F.col("uid").alias("u")).agg(F.sum("length").alias("got"))
     rows = sized.join(got, F.col("uid") == F.col("u"), "left").join(plan.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")), "left")
     taken = rows.select("uid", F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
-    met = slotted.join(pieces, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).withColumn("to", F.least("to", "until"))
-    mixed = met.where(F.col("to") > F.col("from")).select("slot", "source", "block", "epoch", "uid", (F.col("from") - F.col("line")).alias("begin"), (F.col("to") - F.col("from")).alias("length"))
     return taken, mixed
 
 

@@ -135,6 +135,20 @@ def test_mixing_tiny_sources_beside_large_blocks(spark):
         assert all(abs(held[s] - t * (k + 1) / len(at)) <= 3 * largest[s] + 0.15 * t for s, t in goals.items())
 
 
+def test_mixing_takes_what_the_schedule_deals(docs, tmp_path, spark, monkeypatch):
+    docs.selectExpr("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = mixing.table(spark, str(tmp_path), "documents")
+    dealt = mixing.schedule
+    whole = sum(r["taken"] for r in mixing.op2_mixing(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(mixing, "schedule", lambda *a, **k: dealt(*a, **k).where("slot % 2 = 0"))  # half of the slots
+    taken, mixed = mixing.mix(docs)
+    half = defaultdict(int)
+    for p in mixed.collect():
+        half[p["uid"]] += p["length"]
+    assert {r["uid"]: r["taken"] for r in taken.collect() if r["taken"]} == dict(half)
+    assert 0 < sum(r["taken"] for r in mixing.op2_mixing(spark, str(tmp_path)).collect()) < whole
+
+
 def test_targets_water_filling(spark):
     sizes = [("a", 100), ("b", 1000), ("c", 10), ("d", 5000), (None, 40)]
     found = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
