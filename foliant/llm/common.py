@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..rows import replayable, shared_folder, spread_join, stash, with_uid
+from ..rows import replayable, shared_folder, spread_join, stash, trim, with_uid
+from . import wordhash
 
-__all__ = ["SLICE_BYTES", "WORD", "kept", "n_words", "release", "replayable", "shared_folder", "slices", "spread_join", "stash", "table", "with_uid"]
+__all__ = ["SLICE_BYTES", "WORD", "kept", "n_words", "release", "replayable", "shared_folder", "slices", "spread_join", "stash", "table", "trimmed", "with_uid"]
 
 #: A word is a maximal run of anything but space, \t, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,14 +38,30 @@ _kept: dict = {}
 def kept(name: str, make):
     """An object with caches that a worker process keeps from task to task; it holds one at a time."""
     if name not in _kept:
-        _kept.clear()
+        release()
         _kept[name] = make()
     return _kept[name]
 
 
 def release() -> None:
-    """Gives up what an earlier operator kept in this worker process."""
-    _kept.clear()
+    """Gives up what an earlier operator kept in this worker process, and gives its memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()  # an object with caches that call its methods refers to itself
+    wordhash.forget()
+    trim()
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back to the system as its task ends; what kept() holds stays."""
+
+    @functools.wraps(run)
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        wordhash.forget()
+        trim()
+
+    return to_the_end
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -51,13 +71,12 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
     """
     for batch in batches:
         kind = pa.large_binary() if pa.types.is_large_string(batch.column(column).type) else pa.binary()
-        texts = batch.column(column).cast(kind).to_pylist()
+        texts = batch.column(column).cast(kind)  # a view; only a run's texts are copied at a time
         begin, held = 0, 0
-        for i, text in enumerate(texts):
-            size = len(text) if text else 0
+        for i, size in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
             if held and held + size > limit:
-                yield batch.slice(begin, i - begin), texts[begin:i]
+                yield batch.slice(begin, i - begin), texts.slice(begin, i - begin).to_pylist()
                 begin, held = i, 0
             held += size + 16
         if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+            yield batch.slice(begin), texts.slice(begin).to_pylist()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices, spread_join, stash, table, with_uid
+from .common import release, slices, spread_join, stash, table, trimmed, with_uid
 from .graph import components
 from .wordhash import mix, span_sums, spans, words_of
 
@@ -99,6 +99,7 @@ def plausible(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, le
 
 
 def _sketched(rows: DataFrame, k: int) -> DataFrame:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for part, texts in slices(batches):
@@ -120,6 +121,7 @@ def _bands(classes: DataFrame, width: int) -> DataFrame:
     """(band, slot, cls) for every band of every class; slot is the band's number."""
     count = BANDED // width
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, (count, width), dtype=U) * U(2) + U(1)
         for batch in batches:
@@ -137,6 +139,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Of pairs (a, b) those whose sketches leave the threshold possible."""
     mark = lambda side: classes.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("marks").alias(f"m{side}"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
@@ -174,6 +177,7 @@ def _across(left: DataFrame, classes: DataFrame, bodies: DataFrame, k: int, leas
     """
     count = BANDED // width
 
+    @trimmed
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             hashes, at = shingles(texts, k)
@@ -188,6 +192,7 @@ def _across(left: DataFrame, classes: DataFrame, bodies: DataFrame, k: int, leas
     pass_by = dealt.where("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).where("own > 0").withColumn("stays", F.lit(False))
     ordered = stay.unionByName(pass_by).join(known, "cls").repartition("band", "block").sortWithinPartitions("band", "block", F.col("stays").desc())
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, here = None, None
         for batch in batches:
@@ -246,6 +251,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
     told = members.unionByName(centres).join(texts, "cls")
     ordered = told.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("centre").desc())
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for batch in batches:
@@ -266,11 +272,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
     return ordered.select("a", "salt", "cls", "centre", "text").mapInArrow(run, "a long, b long")
 
 
+@trimmed
 def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in slices(batches):
         yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([zlib.compress(t or b"", 5) for t in texts], pa.binary())], ["uid", "body"])
 
 
+@trimmed
 def _inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):

@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, release, slices, stash, table, with_uid
+from .common import kept, release, slices, stash, table, trimmed, with_uid
 from .lines import positions
 from .tokens import BEYOND, CHUNKS, PIECES, VOCABULARY, Kept, Pieces, byte_alphabet, unmixed
 
@@ -40,6 +40,7 @@ class IdEncoder(Pieces):
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__(path)
+        del self.model  # large, and the library has its own
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self._model, self._code = self.library.model, "H" if self.width is np.uint16 else "I"
         self._letters = {b: c for c, b in byte_alphabet().items()}
@@ -174,6 +175,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
     """
     kind, narrow = docs.schema[key].dataType.simpleString(), f"`{key}`"
 
+    @trimmed
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(public_tokenizers.path(vocabulary))
         end = np.array([end_id], known.width).tobytes()
@@ -197,6 +199,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
     placed = positions(queued, "queue", F.xxhash64("uid"), "doc_tokens", "line", whole[1])
     joined = coded.join(placed.select("uid", "queue", "line"), "uid")
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for whole in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices, table
+from .common import release, slices, table, trimmed
 from .wordhash import _CODES, mix, powers
 
 U = np.uint64
@@ -200,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, span: int
     cut = found.groupBy("key").agg(F.min(F.struct(F.xxhash64("text"), F.substring("text", begin, F.lit(span)).alias("span")))["span"].alias("span")).collect()
     model = vectors([r["span"].encode() for r in sorted(cut, key=lambda r: r["key"])])
 
+    @trimmed
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for part, texts in slices(batches):
@@ -220,6 +221,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """
     kept = [c for c in docs.columns if c != name]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for part, texts in slices(batches, "text"):

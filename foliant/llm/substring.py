@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices, spread_join, stash, table, with_uid
+from .common import release, slices, spread_join, stash, table, trimmed, with_uid
 from .wordhash import span_sums, spans, words_of
 
 U = np.uint64
@@ -66,6 +66,7 @@ def stretches(h: np.ndarray, bounds: np.ndarray, window: int, anchor: int) -> tu
 
 
 def _stretch_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             text, anchors, whole, starts, many = stretches(*words_of(texts), window, anchor)
@@ -175,6 +176,7 @@ def kept_text(text: bytes, covered: np.ndarray) -> bytes:
     return b"".join(out) + text[last:]
 
 
+@trimmed
 def deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, which halves what a shuffle of whole texts writes."""
     release()
@@ -227,6 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     twice = recurring.where("alike").select("uid", "place", F.lit(True).alias("twice"), F.lit(False).alias("tried")).unionByName(told)
     own = twice.groupBy("uid").agg(F.collect_list(F.when(F.col("twice"), F.col("place"))).alias("whole"), F.collect_list(F.when(F.col("tried"), F.col("place"))).alias("unlike"))
 
+    @trimmed
     def sight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bodies in inflated(batches):
             h, bounds = words_of(bodies)
@@ -247,6 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     shards = 1 + (suspects.agg(F.sum("flagged")).first()[0] or 0) // SHARD_BYTES
     shard = F.pmod(F.xxhash64("uid"), F.lit(shards))
 
+    @trimmed
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
@@ -268,6 +272,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     # the first document that has a phrase gives its words
     given = confirmed.groupBy(F.col("first.uid").alias("u")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "phrase", "n", "shards", "following")).alias("phrases"))
 
+    @trimmed
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bodies in inflated(batches):
             out: list[list] = [[] for _ in range(3)]
@@ -288,6 +293,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     streams = patterns.unionByName(suspects.select(shard.cast("int").alias("shard"), F.lit(True).alias("document"), "body", "rest", "n_words"))
     ordered = streams.repartition("shard").sortWithinPartitions("shard", "document")
 
+    @trimmed
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, phrases, passages = None, [], None
         for batch in batches:
@@ -317,6 +323,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     if not texts:
         return clean.drop("body").unionByName(cut.drop("body")).select(*columns, *added)
 
+    @trimmed
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):

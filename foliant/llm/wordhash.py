@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n; kept for later calls."""
+    """base**i and base**-i modulo 2**64 for i below n; kept for later calls, until forget()."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
         size = 1 << max(10, (n - 1).bit_length())
@@ -42,6 +42,10 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def forget() -> None:
+    _powers.clear()
+
+
 def _piece_words(data: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     edge = np.diff(_SPACE[raw].view(np.int8), prepend=np.int8(1), append=np.int8(1))

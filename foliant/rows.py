@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -42,18 +43,27 @@ def stash(df: DataFrame, packed: bool = False) -> DataFrame:
     return df.mapInArrow(_pack, "batch binary").checkpoint(eager=True).mapInArrow(_unpack, df.schema)
 
 
+def trim() -> None:
+    """Gives the system what this process has freed; allocators keep it otherwise, in every worker that waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):  # glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = pa.BufferOutputStream()
         with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
             stream.write_batch(batch)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["batch"])
+    trim()
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             yield from pa.ipc.open_stream(data.as_py())
+    trim()
 
 
 #: Plan nodes that give the same rows in the same order whenever they run again, and whatever columns are read.

@@ -1,17 +1,21 @@
 """Caps that are gone, methods that have to matter, and names that clash."""
 
+import gc
 import re
 import sys
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter, defaultdict
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from foliant.llm import embeddings, fingerprint, minhash, mixing, packing, quality, substring
+from foliant.llm import common, embeddings, fingerprint, minhash, mixing, packing, quality, substring, tokens, wordhash
 from foliant.llm.common import spread_join
 from foliant.llm.wordhash import _CODES
 
@@ -260,3 +264,37 @@ def test_hot_paths_give_the_same(spark, monkeypatch):
     plain = [sorted(map(tuple, run().collect())) for run in runs]
     monkeypatch.setattr(rows, "SPREAD", 5)
     assert [sorted(map(tuple, run().collect())) for run in runs] == plain
+
+
+def test_release_gives_memory_back():
+    """Without a later run of the garbage collector."""
+
+    class Cached:
+        def __init__(self):
+            self.cache = tokens.Kept(self.make, 10)
+
+        def make(self, key):
+            return key
+
+    gc.disable()
+    try:
+        held = weakref.ref(common.kept("cached", Cached))
+        assert held() is common.kept("cached", Cached)
+        wordhash.powers(np.uint64(3), 1000)
+        common.release()
+        assert held() is None
+        assert not wordhash._powers
+    finally:
+        gc.enable()
+
+
+def test_slices_copy_a_run_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array([*(chr(97 + i % 26) * (1 << 20) for i in range(48)), None, "", "é"])], ["text"])
+    tracemalloc.start()
+    try:
+        found = [(part.num_rows, [t and (len(t), t[:1]) for t in texts]) for part, texts in common.slices([batch.slice(1)])]
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
+    assert [n for n, _ in found] == [*[1] * 47, 3]
+    assert [t for _, ts in found for t in ts] == [*((1 << 20, chr(97 + i % 26).encode()) for i in range(1, 48)), None, b"", (2, b"\xc3")]
