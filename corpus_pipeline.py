@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     long ones are scored whole. Repeated rows stay repeated; an empty table gives an empty one.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs["text"].cast("string").alias("text"))
-    scored = quality.score(rows, model).where(F.col("score") >= quality.THRESHOLD)
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    scored = quality.score(rows, model, f"c{[c.lower() for c in docs.columns].index('text')}").where(F.col("score") >= quality.THRESHOLD)
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
@@ -47,7 +47,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Every row stays. A null text stays null, short and empty ones are as they were; repeated rows lose all they share. An empty table gives an empty one.
     """
-    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs["text"].cast("string").alias("text"))
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"], docs["text"].cast("string").alias("text"))
     left = substring.remove_repeats(rows, texts=True)
     return _with_text(left, docs, F.col("text"))
 

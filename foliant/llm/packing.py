@@ -194,7 +194,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
         told = np.array([float(weights.get(r["source"], 0)) for r in large] + [0.0])
         told = np.where(told > 0, told / max(told.sum(), 1e-300), np.array(totals) / max(1, whole[0])) + 1e-12
     plan = Schedule(np.array(totals, np.int64), window, quantum, told)
-    own = docs.sparkSession.createDataFrame([(r["source"], i) for i, r in enumerate(large)], "s string, q int")
+    # from Arrow, as rows of a list go through Python workers
+    own = docs.sparkSession.createDataFrame(pa.table({"s": pa.array([r["source"] for r in large], pa.string()), "q": pa.array(range(len(large)), pa.int32())}))
     queued = coded.select("uid", "doc_tokens", "source").join(F.broadcast(own), F.col("source").eqNullSafe(F.col("s")), "left").select("uid", "doc_tokens", F.coalesce("q", F.lit(len(large))).alias("queue"))
     placed = positions(queued, "queue", F.xxhash64("uid"), "doc_tokens", "line", whole[1])
     joined = coded.join(placed.select("uid", "queue", "line"), "uid")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import release, slices, table, trimmed
 from .wordhash import _CODES, mix, powers
@@ -77,7 +78,7 @@ def learn_vectors(ids: np.ndarray, bounds: np.ndarray, n: int, seed: int) -> np.
     """Word vectors: sums of the neighbours' index vectors at distances 1 and 2 inside a text, frequent neighbours damped, scaled to length 1."""
     index = index_vectors(n, seed)
     damped = index / np.sqrt(1 + np.bincount(ids, minlength=n)).astype(np.float32)[:, None]
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    text = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     sums = np.zeros((n, SIZE), np.float32)
     for begin in range(0, len(ids), 1 << 16):  # bounds the gathered rows
         for far in (1, 2):
@@ -139,11 +140,12 @@ def vectors(texts: list) -> Model:
         while stop < len(texts) and (stop == at or held < 1 << 19):
             held += len(texts[stop] or b"")
             stop += 1
-        parts.append(tokens(texts[at:stop]))
+        ids, shape, _, bounds = tokens(texts[at:stop])
+        parts.append((ids.astype(np.int16), shape.astype(np.int16), np.diff(bounds)))  # BUCKETS and SHAPES fit
         at = stop
-    ids = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
-    shape = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
-    bounds = np.cumsum(np.concatenate([[0], *(np.diff(p[3]) for p in parts)]).astype(np.int64))
+    ids = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int16)
+    shape = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int16)
+    bounds = np.cumsum(np.concatenate([[0], *(p[2] for p in parts)]).astype(np.int64))
     return Model(learn_vectors(ids, bounds, BUCKETS, 1), learn_vectors(shape, bounds, SHAPES, 2), np.zeros(1), np.ones(1), np.zeros((2 * SIZE + RATIOS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
 
 
@@ -193,12 +195,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, span: int
     """
     known = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").where(fold(F.col("k")) != 0)
     chosen = known.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
-    chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most `rows` rows
+    chosen = docs.sparkSession.createDataFrame(chosen.toArrow(), chosen.schema)  # at most `rows` rows; from Arrow, as rows of a list go through Python workers
     held = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where("text IS NOT NULL")
     found = held.join(F.broadcast(chosen), F.col("key") == F.col("k")).select("key", "text", "y", (fold(F.col("key")) == 1).alias("checked"))
     begin = F.pmod(F.xxhash64("key"), F.greatest(F.length("text") - span, F.lit(0)) + 1).cast("int") + 1
     cut = found.groupBy("key").agg(F.min(F.struct(F.xxhash64("text"), F.substring("text", begin, F.lit(span)).alias("span")))["span"].alias("span")).collect()
     model = vectors([r["span"].encode() for r in sorted(cut, key=lambda r: r["key"])])
+    del cut
+    release()  # the driver goes on for long
 
     @trimmed
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,20 +220,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, span: int
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """All columns and rows of ``docs`` with a score from 0 to 1; null and empty texts are scored like any other, very long ones are read whole.
 
-    One scan, no shuffle; scores depend on the text alone, so that repeated texts tie. A column of docs that has the score's name is replaced;
+    One scan, no shuffle; texts go to Python once, in their own column if that is of strings; scores depend on the text alone, so that repeated texts tie. A column of docs that has the score's name is replaced;
     no other name clashes, as columns go by number while they are scored. An empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c != name]
+    own = text in kept and isinstance(docs.schema[text].dataType, StringType)
+    read = f"c{kept.index(text) if own else len(kept)}"
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, read):
             found = pa.array(model.scores(texts), pa.float64())
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), found], [*kept, name])
 
     schema = docs.select(*[docs[c] for c in kept]).withColumn(name, F.lit(0.0)).schema
-    return docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(kept)], docs[text].cast("string").alias("text")).mapInArrow(run, schema)
+    added = [] if own else [docs[text].cast("string").alias(read)]
+    return docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(kept)], *added).mapInArrow(run, schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,3 +298,47 @@ def test_slices_copy_a_run_at_a_time():
         tracemalloc.stop()
     assert [n for n, _ in found] == [*[1] * 47, 3]
     assert [t for _, ts in found for t in ts] == [*((1 << 20, chr(97 + i % 26).encode()) for i in range(1, 48)), None, b"", (2, b"\xc3")]
+
+
+def test_small_tables_need_no_python_workers(spark, monkeypatch):
+    """And the driver keeps nothing of the fit but the model."""
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * (1 + i % 7), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    plain = [quality.score(docs, quality.train(docs, labels)).orderBy("doc_id").collect(), packing.pack(docs).count()]
+
+    def refused(*_, **__):
+        raise AssertionError("rows of a list go through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    model = quality.train(docs, labels)
+    assert not wordhash._powers
+    assert [quality.score(docs, model).orderBy("doc_id").collect(), packing.pack(docs).count()] == plain
+    assert quality.train(docs, labels.limit(0)).scores([b"x"])[0] == 0.5
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_vectors_hold_few_bytes_a_token():
+    rng = np.random.Generator(np.random.PCG64(3))
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 3000)).encode() for _ in range(300)]
+    quality.vectors(texts[:2])
+    tracemalloc.start()
+    try:
+        quality.vectors(texts)
+        assert tracemalloc.get_traced_memory()[1] < 90 * 300 * 3000
+    finally:
+        tracemalloc.stop()
+
+
+def test_stages_send_a_text_once(spark):
+    """To Python, that is: each further copy of a task's texts is held by the JVM and by the worker."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "ab"[i % 2], "s") for i in range(40)], "doc_id long, text string, source string, score string")
+    model = quality.vectors([b"some words"])
+    for scored in (quality.score(docs, model, name="found"), quality.score(docs.withColumn("text", F.col("text").cast("binary")), model, name="found")):
+        assert {r["doc_id"]: r["found"] for r in scored.collect()} == {i: 0.5 for i in range(40)}
+    for df in (quality.score(docs.select("doc_id", "text"), model), corpus_pipeline.substring_stage(spark, docs, "")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        sent = [x for x in re.findall(r"(?:Project|LogicalRDD) \[([^\n]*)\]", plan) if x.count("text#") > 1]
+        assert not sent, sent
+    assert corpus_pipeline.substring_stage(spark, docs, "").columns == docs.columns
