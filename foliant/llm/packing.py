@@ -14,6 +14,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,44 +24,55 @@ from pyspark.sql import functions as F
 
 from .common import kept, release, slices, stash, table, trimmed, with_uid
 from .lines import positions
-from .tokens import BEYOND, CHUNKS, PIECES, VOCABULARY, Kept, Pieces, byte_alphabet, unmixed
+from .tokens import BEYOND, VOCABULARY, Kept, Pieces, byte_alphabet, unmixed
 
 WINDOW, END_ID, QUANTUM = 2048, 1, 256
 #: A source that holds at least this part of all tokens has a queue of its own (a token in every window, on average).
 QUEUES = 2048
 #: Entries of the windows by queues that are worked out at once.
 ROUNDS = 1 << 18
+#: Words and lines' beginnings that half a cache of a worker may hold; a matter of memory, never of ids.
+WORDS = 600_000
 #: The byte-level letter for a space, and marks that end a word of letters and are a pre-token.
 _SPACE, _MARKS = "\u0120", frozenset(".,;:!?)")
+_id = attrgetter("id")
 
 
 class IdEncoder(Pieces):
     """ids of whole texts, as the library's encode() has them; recurring stretches are encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__(path)
         del self.model  # large, and the library has its own
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self._model, self._code = self.library.model, "H" if self.width is np.uint16 else "I"
         self._letters = {b: c for c, b in byte_alphabet().items()}
-        self._chunks = Kept(self._word, CHUNKS)
-        self._pieces = Kept(self._piece, PIECES // 3)
+        self._chunks = Kept(self._word, words)
+        self._pieces, self._lines = Kept(self._piece, words // 5), Kept(self._line, words // 5)
 
     def _piece(self, piece: str) -> bytes:
         """By the library's own model; its byte letters are put in here, its pre-tokenizer would cut the piece no further."""
-        return array(self._code, [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]).tobytes()
+        return array(self._code, map(_id, self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters)))).tobytes()
+
+    def _line(self, word: str) -> bytes:
+        """A line's end and the word after it."""
+        return self._pieces["\n"] + self._chunk(word)
 
     def _word(self, word: str) -> bytes:
         """A word and the space before it. Most are plain letters, perhaps with a mark behind them, which is a piece of its own."""
         if word.isalpha():
             if word.isascii():
-                return array(self._code, [t.id for t in self._model.tokenize(f"{_SPACE}{word}")]).tobytes()
+                return array(self._code, map(_id, self._model.tokenize(f"{_SPACE}{word}"))).tobytes()
             if max(word) < BEYOND:
                 return self._piece(f" {word}")
         elif word[-1:] in _MARKS and word[:-1].isalpha() and max(word) < BEYOND:
             return self._chunks[word[:-1]] + self._pieces[word[-1]]
-        return self._chunk(f" {unmixed(word)}")
+        unmixed(word)
+        head, _, tail = word.partition("\n")
+        if head and tail and not head[-1].isspace() and not tail[0].isspace():  # a line's end between other characters is a piece of its own
+            return self._chunks[head] + self._lines[tail]
+        return self._chunk(f" {word}")
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self._pieces[p] for p in self.pieces(chunk)])
@@ -76,8 +88,8 @@ class IdEncoder(Pieces):
         return b"".join(out)
 
 
-def encoder(path: str) -> IdEncoder:
-    return kept(f"encoder {path}", lambda: IdEncoder(path))
+def encoder(path: str, words: int = WORDS) -> IdEncoder:
+    return kept(f"encoder {path} {words}", lambda: IdEncoder(path, words))
 
 
 class Schedule:
@@ -156,7 +168,7 @@ class Schedule:
         return doc[part], begins[part] + here - at[part], stop - here, here
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, window: int = WINDOW, quantum: int = QUANTUM, weights: dict | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, window: int = WINDOW, quantum: int = QUANTUM, weights: dict | None = None, key: str = "doc_id", text: str = "text", source: str = "source", words: int = WORDS) -> DataFrame:
     """One row per piece: key, source, start, length, ids (binary), ids_crc32, doc_tokens, sequence_id, offset.
 
     ids hold little-endian ids of two bytes (four for vocabularies over 65,536); ids_crc32 is of the same as four-byte ids. ``sequence_id`` counts
@@ -169,7 +181,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
     all tokens. A source that ``weights`` lacks has the share of all tokens as well. At every size of the corpus, sources below
     one part in QUEUES of all tokens, which cannot be in every window, share one queue in random order; the others have one each.
 
-    Texts are tokenized once; the ids are checkpointed, then shuffled once to meet the places that
+    ``words`` bounds what each worker remembers of words' ids, in memory only. Texts are tokenized once; the ids are checkpointed, then shuffled once to meet the places that
     sums over queues give. Queues are ordered by a hash of the row number, in parts (see lines.positions), so that a
     source with a third of all rows is spread over many tasks.
     """
@@ -177,7 +189,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
 
     @trimmed
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(public_tokenizers.path(vocabulary))
+        known = encoder(public_tokenizers.path(vocabulary), words)
         end = np.array([end_id], known.width).tobytes()
         for batch, texts in slices(batches):
             ids = [(known.encode(t.decode()) if t else b"") + end for t in texts]

@@ -342,3 +342,15 @@ def test_stages_send_a_text_once(spark):
         sent = [x for x in re.findall(r"(?:Project|LogicalRDD) \[([^\n]*)\]", plan) if x.count("text#") > 1]
         assert not sent, sent
     assert corpus_pipeline.substring_stage(spark, docs, "").columns == docs.columns
+
+
+def test_encoders_caches_are_bounded():
+    """And ids do not depend on them: words with marks, over line ends, beside white space, beyond the pattern's letters."""
+    path = packing.public_tokenizers.path("byte_bpe_50k.json")
+    small, rng = packing.IdEncoder(path, 50), np.random.Generator(np.random.PCG64(9))
+    parts = ["ab", "c\n", "\n", "d.\nEf,", "g\nh\ni", "\x1c", "\x1c\nj", "k\n\x1cl", "\n\nm", "n\r\no", "\u00e9\n\u4e2d", "it's\n've", "3\n4", "p \n", "\xa0\nq", "r\n\xa0s", "$$\n##"]
+    texts = [rng.choice(["", " "]).join(str(x) for x in rng.choice(parts, 12)) + f" w{i} x{i}\ny{i}" for i in range(400)]
+    texts += [" ".join(str(x) for x in rng.choice(parts, 12)) for _ in range(400)]
+    for t in texts:
+        assert np.frombuffer(small.encode(t), small.width).tolist() == small.library.encode(t, add_special_tokens=False).ids, t
+    assert all(len(c) <= 50 and len(c.older) <= 50 for c in (small._chunks, small._pieces, small._lines))
