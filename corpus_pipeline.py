@@ -74,9 +74,13 @@ def _with_text(rows: DataFrame, docs: DataFrame, text) -> DataFrame:
     return rows.select(*[new.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
+#: Earlier stages leave each executor twice the workers that one operator has, and each worker comes to hold an encoder.
+PACKING_WORDS = 100_000
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the windows, with their ids; null and empty texts give their end id, repeated rows are packed each, an empty table gives no piece."""
-    return packing.pack(docs)
+    return packing.pack(docs, words=PACKING_WORDS)
 
 
 STAGES = [
