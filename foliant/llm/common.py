@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..rows import replayable, shared_folder, spread_join, stash, trim, with_uid
+from ..rows import replayable, shared_folder, spread_join, stash, sweep, trim, with_uid
 from . import wordhash
 
-__all__ = ["SLICE_BYTES", "WORD", "kept", "n_words", "release", "replayable", "shared_folder", "slices", "spread_join", "stash", "table", "trimmed", "with_uid"]
+__all__ = ["SLICE_BYTES", "WORD", "kept", "n_words", "release", "replayable", "shared_folder", "slices", "spread_join", "stash", "sweep", "table", "trimmed", "with_uid"]
 
 #: A word is a maximal run of anything but space, \t, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"

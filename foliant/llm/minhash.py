@@ -10,6 +10,8 @@ confirmed on the full sets.
 Work does not grow with the square of a group: documents with equal sets are one class from the start;
 in each bucket all classes meet its least one and the one that meets most others only; only where a bucket still holds
 several components are pairs between different components tried, by their sketches, in blocks.
+
+Each step ends in a checkpoint; what earlier steps have shuffled is removed on the way (``sweep``), so that the disk need not hold the files of all steps together.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices, spread_join, stash, table, trimmed, with_uid
+from .common import release, slices, spread_join, stash, sweep, table, trimmed, with_uid
 from .graph import components
 from .wordhash import mix, span_sums, spans, words_of
 
@@ -186,6 +188,7 @@ def _across(left: DataFrame, classes: DataFrame, bodies: DataFrame, k: int, leas
     needed = left.select("cls").distinct()
     known = bodies.join(needed, "cls", "left_semi").mapInArrow(shrink, "cls long, least binary").join(classes.select("cls", "n", "marks"), "cls")
     total = left.count()
+    sweep(left.sparkSession)
     sized = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("many"))
     dealt = spread_join(left, sized, ["band"], "many", F.col("cls"), total, largest=total).drop("many").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     stay = dealt.withColumn("block", F.col("own")).withColumn("stays", F.lit(True))
@@ -244,6 +247,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
     The members of a star travel to its centre, in groups of about STAR, and are compared as they stream by.
     """
     total = pairs.count()
+    sweep(pairs.sparkSession)
     sized = spread_join(pairs, pairs.groupBy("a").agg(F.count("*").alias("many")), ["a"], "many", F.col("b"), total, largest=total)
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / STAR)).cast("long")
     members = sized.select("a", salt.alias("salt"), F.col("b").alias("cls"), F.lit(False).alias("centre"))
@@ -296,7 +300,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     the key, the first by row number), and every row without a set. Repeated rows link with one another. Texts of any length are sketched and compared whole. An
     empty table gives an empty one; other columns are not read.
     """
-    least, width = num / den, band_width(num / den)
+    spark, least, width = docs.sparkSession, num / den, band_width(num / den)
     rows = with_uid(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")))
     marked = stash(_sketched(rows, k), packed=True)
     named = marked.where("n > 0")
@@ -311,20 +315,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     entries = sizes[0] * (BANDED // width)
     members = stash(spread_join(bands, shared, ["band"], "many", F.col("cls"), entries, largest=sizes[0]))
     largest = members.agg(F.coalesce(F.max("many"), F.lit(0))).first()[0]
+    sweep(spark)
     # the class that meets most others is the likeliest to be what they are copies of
     score = members.groupBy("cls").agg(F.sum("many").alias("score"))
     buckets = stash(members.select("band", "slot", "cls").join(score, "cls"))
     centre = buckets.groupBy("band").agg(F.max(F.struct("score", "cls"))["cls"].alias("top"), F.min("cls").alias("low"), F.count("*").alias("many"))
     stars = spread_join(buckets.select("band", "cls"), centre, ["band"], "many", F.col("cls"), entries, largest=largest)
-    ends = stars.select(F.col("top").alias("a"), F.col("cls").alias("b")).unionAll(stars.select(F.col("low").alias("a"), F.col("cls").alias("b"))).where("a <> b").distinct()
-    tried = stash(ends)
+    tried = stash(stars.select(F.col("top").alias("a"), F.col("cls").alias("b")).unionAll(stars.select(F.col("low").alias("a"), F.col("cls").alias("b"))).where("a <> b").distinct())
+    sweep(spark)
     likely = stash(_likely(tried, classes, least))
+    sweep(spark)
     needed = buckets.select(F.col("cls").alias("uid")).distinct()
     # all texts are shuffled to find these: as compressed bytes
     told = rows.select("uid", "text").mapInArrow(_deflated, "uid long, body binary").join(needed, "uid", "left_semi")
     bodies = stash(told.mapInArrow(_inflated, "cls long, text string"), packed=True)
+    sweep(spark)
     links = stash(_confirmed(likely, bodies, k, num, den))
     parts = components(links)
+    sweep(spark)
     # buckets that still hold several components: all pairs between different ones
     placed = buckets.select("band", "slot", "cls").join(parts, F.col("cls") == F.col("node"), "left").select("band", "slot", "cls", F.coalesce("root", "cls").alias("part"))
     mixed = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("many")).where("low < high").select("band", "many")
@@ -333,6 +341,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     more = stash(across.distinct().join(met, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         parts = components(links.unionAll(stash(_confirmed(more, bodies, k, num, den))))
+    sweep(spark)
     # components of classes first, then of rows, so that only one join has a row for each document
     told = kinds.join(parts.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").withColumn("part", F.coalesce("root", "node")).select("cls", "proof", "node", "rows", "least", "best", "part")
     whole = told.groupBy("part").agg(F.min("least").alias("component"), F.min("best")["uid"].alias("one"), F.count("*").alias("classes"))

@@ -43,6 +43,16 @@ def stash(df: DataFrame, packed: bool = False) -> DataFrame:
     return df.mapInArrow(_pack, "batch binary").checkpoint(eager=True).mapInArrow(_unpack, df.schema)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files (and checkpoints, where it is told to) that nothing refers to any more.
+
+    It does so once the driver collects its garbage, which a driver with room to spare may put off until all steps of a job
+    lie on disk together. A frame that has run refers to its shuffle files as long as Python holds it, in
+    cycles too, and the last actions' files can outlast a call.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def trim() -> None:
     """Gives the system what this process has freed; allocators keep it otherwise, in every worker that waits for its next task."""
     pa.default_memory_pool().release_unused()

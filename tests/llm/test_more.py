@@ -3,6 +3,7 @@
 import gc
 import re
 import sys
+import time
 import tracemalloc
 import weakref
 import zlib
@@ -266,6 +267,29 @@ def test_hot_paths_give_the_same(spark, monkeypatch):
     assert [sorted(map(tuple, run().collect())) for run in runs] == plain
 
 
+def test_shuffle_files_go_step_by_step(spark, monkeypatch):
+    """op1 sweeps between its steps; each time what had been shuffled before the last sweep but one is gone."""
+    sc = spark.sparkContext._jsc.sc()
+    made = [sc.newShuffleId()]
+
+    def swept(session, sweep=minhash.sweep):
+        gc.collect()  # as frames in cycles and events that still wait hold what they tell of
+        sc.listenerBus().waitUntilEmpty(10_000)
+        sweep(session)
+        until = time.time() + 10
+        while (old := [x for x in map(int, str(sc.env().mapOutputTracker().shuffleStatuses().keys().mkString(" ")).split()) if made[0] < x < made[-2:][0]]) and time.time() < until:
+            time.sleep(0.1)
+        assert not old, (old, made)
+        made.append(sc.newShuffleId())
+
+    monkeypatch.setattr(minhash, "sweep", swept)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 4}x{j}" for j in range(40 + i % 4))) for i in range(80)], "doc_id long, text string")
+    found = minhash.near_duplicates(docs, k=3, num=85, den=100)
+    assert len(made) > 8 and made[-1] - made[0] > 40
+    assert max(b - a for a, b in zip(made, made[1:], strict=False)) < (made[-1] - made[0]) / 2
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i // 4 * 4 for i in range(80)}
+
+
 def test_release_gives_memory_back():
     """Without a later run of the garbage collector."""
 
