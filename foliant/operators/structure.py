@@ -9,22 +9,72 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..rows import with_uid
+from .rowwise import ROWS
 
+#: Lines that leave a worker together.
+LINES = 8192
 
-def lines(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
-    """(key, line, content, fenced): every line, and whether it belongs to a fenced region or its fences."""
+
+#: So many repeated keys at most go to every executor; more are met by a join that Spark plans.
+FEW_KEYS = 1_000_000
+
+
+def by_repeats(docs: DataFrame, key: str, alone: Callable[[DataFrame], DataFrame], shared: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``alone`` of the rows whose key no other row has, with ``shared`` of all others; the keys are counted at once, as a column of their own.
+
+    Rows of one key are one document. Where none is repeated, which is the rule, each row is handled where it is read, and no
+    task's memory depends on how many rows there are.
+    """
+    again = docs.groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    found = again.count()
+    if not found:
+        return alone(docs)
+    again = F.broadcast(again) if found <= FEW_KEYS else again
+    same = docs[key].eqNullSafe(again["_again"])
+    return alone(docs.join(again, same, "left_anti")).unionByName(shared(docs.join(again, same, "left_semi")))
+
+
+def _lines_by_window(docs: DataFrame, key: str, md: str) -> DataFrame:
     parts = docs.select(F.col(key), F.posexplode(T.lines(F.col(md))).alias("line", "content")).withColumn("fence", F.col("content").rlike(T.FENCE))
     before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(F.col("fence").cast("int")).over(before), F.lit(0)) % 2 == 1
     return parts.withColumn("fenced", F.col("fence") | inside).drop("fence")
 
 
+def _lines_by_row(docs: DataFrame, key: str, md: str) -> DataFrame:
+    kind = docs.schema[key].dataType.simpleString()
+    fence = T.FENCE.replace(r"\s", r"[ \t\n\x0B\f\r]")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                split = pc.split_pattern(part.column(1), "\n")
+                rows, content = pc.list_parent_indices(split).to_numpy(), pc.list_flatten(split)
+                marks = pc.match_substring_regex(content, fence).to_numpy(zero_copy_only=False)
+                first = np.searchsorted(rows, rows)
+                before = np.cumsum(marks) - marks
+                fenced = marks | ((before - before[first]) % 2 == 1)
+                for at in range(0, len(rows), LINES):  # views of what is there
+                    here = slice(at, at + LINES)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[here])), pa.array((np.arange(len(rows)) - first)[here].astype("int32")), content[here], pa.array(fenced[here])], [key, "line", "content", "fenced"])
+
+    return docs.select(F.col(key), F.col(md)).mapInArrow(run, f"`{key}` {kind}, line int, content string, fenced boolean")
+
+
+def lines(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
+    """(key, line, content, fenced): every line, and whether it belongs to a fenced region or its fences. Rows that share a key share their fences."""
+    return by_repeats(docs.select(F.col(key), F.col(md)), key, lambda d: _lines_by_row(d, key, md), lambda d: _lines_by_window(d, key, md))
+
+
 def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, line, level, title, label) of the ATX headings outside fences."""
     found = lines(docs, key).where(~F.col("fenced")).withColumn("level", T.heading_level(F.col("content"))).where("level IS NOT NULL")
@@ -127,18 +177,63 @@ def citation_order(docs: DataFrame, bib: DataFrame, key: str = "doc_id", md: str
     return citing.join(known, "uid").select("key", "md", "known").mapInArrow(number, f"`{key}` {kind}, cited string, number long")
 
 
+_NO_PROSE = ("`[^`\n]*`", r"\$[^$\n]*\$", r"<[^>\n]*>", r"\\[A-Za-z]+", r"\]\([^)\n]*\)")
+
+
+def _words(text: Column) -> Column:
+    for pattern in _NO_PROSE:
+        text = F.regexp_replace(text, pattern, " ")
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}(?:[\p{L}']*\p{L}))"), F.lit(1))
+
+
+def _words_by_row(docs: DataFrame, key: str, md: str) -> DataFrame:
+    # pieces begin at fences: every second one is outside, but for its first line
+    pieces = F.split(F.concat(F.lit("\n"), F.col(md)), r"\n(?=" + T.FENCE.removeprefix("^").replace(r"\s", r"[ \t\x0B\f\r]") + ")")
+    prose = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, "").when(i == 0, p).otherwise(F.regexp_replace(p, r"\A[^\n]*", ""))), "\n")
+    found = docs.select(F.col(key), F.coalesce(F.sort_array(_words(prose)), F.array().cast("array<string>")).alias("words"))
+    at = F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: (i == 0) | (i == F.size("words")) | (F.get("words", i) != F.get("words", i - 1)))
+    runs = found.select(key, "words", at.alias("at"))
+    each = F.transform(F.slice("at", F.lit(1), F.size("at") - 1), lambda b, i: F.struct(F.get("words", b).alias("word"), (F.get("at", i + 1) - b).cast("long").alias("n")))
+    return runs.select(key, F.explode(each).alias("of")).select(key, "of.word", "of.n")
+
+
+def _words_by_key(docs: DataFrame, key: str, md: str) -> DataFrame:
+    return _lines_by_window(docs, key, md).where(~F.col("fenced")).select(key, F.explode(_words(F.col("content"))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+
+
 def words(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
     """(key, word, n): lower-cased words of two letters or more in prose (no fences, inline code, inline math, tags, commands, link targets)."""
-    prose = F.col("content")
-    for pattern in ("`[^`]*`", r"\$[^$]*\$", "<[^>]*>", r"\\[A-Za-z]+", r"\]\([^)]*\)"):
-        prose = F.regexp_replace(prose, pattern, " ")
-    found = F.regexp_extract_all(F.lower(prose), F.lit(r"(\p{L}(?:[\p{L}']*\p{L}))"), F.lit(1))
-    return lines(docs, key, md).where(~F.col("fenced")).select(key, F.explode(found).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    return by_repeats(docs.select(F.col(key), F.col(md)), key, lambda d: _words_by_row(d, key, md), lambda d: _words_by_key(d, key, md))
 
 
 def misspellings(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", md: str = "md") -> DataFrame:
-    """(key, word, n) of words that the dictionary (word) lacks. Both sides are hashed on the word; words are pre-aggregated by document."""
-    return words(docs, key, md).join(dictionary.select("word").distinct(), "word", "left_anti")
+    """(key, word, n) of words that the dictionary (word) lacks; words are counted by document first."""
+    return words(docs, key, md).join(dictionary.select("word").distinct(), "word", "left_anti").select(key, "word", "n")
+
+
+def word_summary(words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n, n_distinct, first_word, last_word) of (key, word, n).
+
+    Runs of rows with one key, which is how words() has them, are summed up where they are: a least string
+    is found by sorting, and only a row for each run is sorted.
+    """
+    kind = words.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            runs = np.arange(len(keys))
+            if not pa.types.is_nested(keys.type):
+                codes = pc.dictionary_encode(keys, null_encoding="encode").indices.to_numpy()
+                runs = np.cumsum(np.append([0], codes[1:] != codes[:-1]))[: len(keys)]
+            table = pa.table([pa.array(runs), *batch.columns[1:]], ["run", "word", "n"])
+            told = table.group_by("run", use_threads=False).aggregate([("n", "sum"), ("n", "count"), ("word", "min"), ("word", "max")]).combine_chunks()
+            if told.num_rows:
+                first = keys.take(pa.array(np.searchsorted(runs, told["run"].to_numpy())))
+                yield pa.RecordBatch.from_arrays([first, *(told[c].chunk(0) for c in ("n_sum", "n_count", "word_min", "word_max"))], [key, "n", "n_distinct", "first_word", "last_word"])
+
+    parts = words.select(key, "word", "n").mapInArrow(run, f"`{key}` {kind}, n long, n_distinct long, first_word string, last_word string")
+    return parts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("n_distinct").alias("n_distinct"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
 
 
 def suggestions(wrong: DataFrame, dictionary: DataFrame, most: int = 8) -> DataFrame:

@@ -123,8 +123,7 @@ _WORDS = r", prose AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_repla
 def misspelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}(?:[\p{L}']*\p{L}))"), F.lit(1))
     dictionary = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(found).alias("word"))
-    wrong = S.misspellings(decorated(spark, sf_dir), dictionary)
-    return wrong.groupBy("doc_id").agg(F.sum("n").alias("n_misspelled"), F.count("*").alias("n_distinct"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+    return S.word_summary(S.misspellings(decorated(spark, sf_dir), dictionary)).withColumnRenamed("n", "n_misspelled")
 
 
 @register(_LINES + r""" SELECT doc_id, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*[-*+]( |\s*$)')) AS bullets, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*\d+[.)] ')) AS ordered, count(*) FILTER (NOT fenced AND starts_with(trim(content), '|')) AS table_rows, count(*) FILTER (NOT fenced AND regexp_matches(content, '^\s*>')) AS quotes, count(*) FILTER (NOT fenced AND regexp_matches(replace(replace(content, ' ', ''), chr(9), ''), '^(-{3,}|\*{3,}|_{3,})$')) AS rules, count(*) FILTER (fenced) AS fenced_lines FROM lines GROUP BY doc_id""")
