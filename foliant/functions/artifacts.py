@@ -111,6 +111,36 @@ TICS = (
 )
 
 
+#: For each phrase, lower-case ASCII strings of which every match has one at least.
+HINTS = (
+    ("certainly", "absolutely", "of course", "sure", "great", "excellent", "wonderful", "fantastic", "awesome", "perfect"),
+    ("worth noting",),
+    ("important to note",),
+    ("additionally",),
+    ("furthermore",),
+    ("moreover",),
+    ("in conclusion",),
+    ("in summary",),
+    ("to summarize",),
+    ("i hope this help",),
+    ("let me know if you",),
+    ("feel free to ",),
+    ("as an ai",),
+    ("as a large language model",),
+    ("bien s", "absolument", "certainement", "effectivement", "tout ", "parfait", "excellent", "avec plaisir"),
+    ("il est important de ",),
+    ("il convient de ",),
+    ("il est ",),
+    ("de plus", "en outre", "par ailleurs", " noter qu"),
+    ("en conclusion", "sum", "en somme", "pour conclure"),
+    ("j'esp",),
+    ("sitez pas ",),
+    ("si vous avez d'autres questions",),
+    ("en tant qu",),
+    ("en tant que grand mod",),
+)
+
+
 def remove_tics(text: Column) -> Column:
     """Prose without stock openings, closings and self-references."""
     for pattern in TICS:

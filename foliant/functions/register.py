@@ -27,9 +27,9 @@ def _guarded(f: Callable) -> Callable:
 
 
 def _cleaned(mode: str) -> Callable[[str, str], str]:
-    from ..operators.cleaning import _TICS
+    from ..operators.cleaning import HINTS, _TICS
 
-    return lambda text, form: purify.purify(text, mode, form or None, tics=_TICS)[0]
+    return lambda text, form: purify.purify(text, mode, form or None, tics=_TICS, hints=HINTS)[0]
 
 
 #: name -> (function, type of its result)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.artifacts import TICS
+from ..functions.artifacts import HINTS, TICS
 from ..kernels import purify as K
 from .rowwise import each, many
 
@@ -61,10 +61,10 @@ def purify(docs: DataFrame, mode: str = "sanitize", key: str = "doc_id", text: s
     """
     if mode not in ("audit", "sanitize", "decontaminate"):
         raise ValueError(f"no such mode: {mode}")
-    phrases = _TICS if tics else []
+    phrases, hints = (_TICS, HINTS) if tics else ([], None)
 
     def one(text: str | None, path: str | None) -> tuple:
-        out, report = K.purify(text or "", mode, form, path, phrases, french, safelist)
+        out, report = K.purify(text or "", mode, form, path, phrases, french, safelist, hints)
         return out, report | {"artifact_breakdown": list(report["artifact_breakdown"].items())}
 
     return each(docs, key, {"text": text, "path": path or F.lit(None).cast("string")}, f"text string, report struct<{REPORT}>", one)

@@ -1,11 +1,16 @@
 """What a task holds must not grow with the table: steps that work row by row, against the plain ones."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant import queries as q
+from foliant.functions.artifacts import HINTS
+from foliant.kernels import purify as K
+from foliant.operators import cleaning
 from foliant.operators import structure as S
 
 DATA = "/root/testdata/sf0.001"
@@ -49,3 +54,30 @@ def test_word_summary(docs):
     wanted = words.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
     assert rows(S.word_summary(words)) == rows(wanted)
     assert rows(S.word_summary(words.repartition(5, "word"))) == rows(wanted)
+
+
+PHRASES = ["Certainly, ", "It's worth noting that ", "ıt is ımportant to note that ", "Additionally, ", "To Summarize, ", " I hope thiſ helps!", " Feel free to ask us.", "As an AI ", "Bien sûr, ", "Il est İmportant ", "À noter que ", "Pour resumer, ", " N'hésitez pas à poser vos questions", "En tant qu'IA, ", "in conAdditionally, clusion, ", "word", "x\n", "\n", "`c`", "$m$", "$$", "\\[", "\\]", "``", "```\n", " ;", "\t!", "« ", " »", "\r\n", "\r", "--", "---", "—", "​", "﻿", "а", "“", "\U000e0041", "\x00", "  \t "]
+
+
+def test_phrases_without_a_hint_are_found_by_none():
+    rng, tried = random.Random(7), 0
+    assert len(HINTS) == len(cleaning._TICS)
+    for _ in range(3000):
+        text = "".join(rng.choice(PHRASES) for _ in range(rng.randint(0, 25)))
+        plain = K.purify(text, "decontaminate", "markdown", tics=cleaning._TICS)
+        assert K.purify(text, "decontaminate", "markdown", tics=cleaning._TICS, hints=HINTS) == plain
+        tried += plain[1]["tic_changes"]
+    assert tried > 1000
+    letters = {c: re.compile(c, re.I) for c in sorted(set("".join("".join(h) for h in HINTS)))}
+    for odd in filter(str.isalpha, map(chr, range(128, 0x1F000))):
+        assert all(K._folded(odd) == c for c, pattern in letters.items() if pattern.fullmatch(odd))
+
+
+def test_texts_are_skimmed_for_anomalies():
+    text = "Été: word, and more. " * 100_000
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        assert K.purify(text, "decontaminate", "markdown", tics=cleaning._TICS, hints=HINTS)[0] == text
+        took.append(time.perf_counter() - began)
+    assert min(took) < 0.5  # some 1.6 s where each pattern is tried in each place
