@@ -1,15 +1,21 @@
 """What a task holds must not grow with the table: steps that work row by row, against the plain ones."""
 
+import hashlib
+import io
 import random
 import re
 import time
+import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant import queries as q
 from foliant.functions.artifacts import HINTS
+from foliant.kernels import office, package
 from foliant.kernels import purify as K
+from foliant.kernels.markdown import events
 from foliant.operators import cleaning
 from foliant.operators import structure as S
 
@@ -81,3 +87,27 @@ def test_texts_are_skimmed_for_anomalies():
         assert K.purify(text, "decontaminate", "markdown", tics=cleaning._TICS, hints=HINTS)[0] == text
         took.append(time.perf_counter() - began)
     assert min(took) < 0.5  # some 1.6 s where each pattern is tried in each place
+
+
+PIECES = ["# ", "## x", "```", "~~~", " ```py", "    ", "\t", "- ", "* ", "1. ", "2) ", "> ", "| a | b |", "| --- | --- |", "---", "===", "***", "_ _ _", "<div>", "<b>", "<!-- c -->", "word", "wörd\xa0", "`c`", "``", "$x_1$", "$$", "$$E=\\frac{a}{b}$$", "*e*", "**s**", "_u_", "~~d~~", "~", "[l](u)", '![i](p "t")', "[", "]", "!", "\\", "\\*", "&amp;", "&", "<a@b.c>", "\n", "\n", "\n", "\n\n", "  \n", "   \n", " \n", "\r\n", "[x] ", "٣. ", "#h", " x"]
+
+
+def test_markdown_is_read_as_before():
+    """The digest was taken of what the reader without its short cuts made of these texts."""
+    rng, told = random.Random(11), hashlib.sha256()
+    for _ in range(4000):
+        text = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 30)))
+        told.update(repr([tuple(e) for e in events(text, rng.random() < 0.8)]).encode())
+    assert told.hexdigest() == "b4ed81b112c6fdb98e7678dd61bd6d850cd3f20833b5a3c926c3b3063b156cc6"
+
+
+def test_packages_are_those_of_the_library(monkeypatch):
+    packed = []
+    monkeypatch.setattr(zlib, "compressobj", lambda *a, make=zlib.compressobj: packed.append(a) or make(*a))
+    parts = [("mimetype", "x"), ("a.xml", "é" * 5000), ("b.xml", b""), ("c.xml", "c" * 9000)]
+    assert package._zipped(parts, ("mimetype",), ("b.xml", "c.xml")) == package._zipped_by_library([(n, b.encode() if isinstance(b, str) else b) for n, b in parts], ("mimetype",))
+    package.to_word("first")
+    packed.clear()
+    made = package.to_word("# second *one*")
+    assert len(packed) == 2  # the document and its source; seven parts before
+    assert zipfile.ZipFile(io.BytesIO(made)).testzip() is None and office.recover_word(made) == ("# second *one*", True)
